@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from siftlake.llm import mixing, quality, sharding
+from siftlake.llm import chats, lines, minhash, mixing, packing, quality, sharding, substrings, toxicity, vectors
 
 
 def queries():
     return {
         "op1_curriculum_mix": mixing.op1_curriculum_mix,
+        "op2_line_chunks": lines.op2_line_chunks,
+        "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
+        "op4_impact_topk": vectors.op4_impact_topk,
         "op5_jump_sharding": sharding.op5_jump_sharding,
+        "op6_quote_threads": chats.op6_quote_threads,
+        "op7_genetic_packing": packing.op7_genetic_packing,
+        "op8_bbit_minhash": minhash.op8_bbit_minhash,
         "op9_line_quality": quality.op9_line_quality,
+        "op10_sentence_spans": substrings.op10_sentence_spans,
     }
 
 
 def oracle_sql():
-    return {"op1_curriculum_mix": mixing.OP1_SQL, "op9_line_quality": quality.OP9_SQL}
+    return {
+        "op1_curriculum_mix": mixing.OP1_SQL,
+        "op4_impact_topk": vectors.OP4_SQL,
+        "op8_bbit_minhash": minhash.OP8_SQL,
+        "op9_line_quality": quality.OP9_SQL,
+        "op10_sentence_spans": substrings.OP10_SQL,
+    }
