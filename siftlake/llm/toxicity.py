@@ -33,7 +33,7 @@ from siftlake.session import shipped, table
 PLACES_LOG2 = 22
 #: The bound of the sample that the model is fitted on.
 MOST_ROWS = 8000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 4.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 10, 1.0, 1.0, 6.0, 1.0
 THRESHOLD = 0.3
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
