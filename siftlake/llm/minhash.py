@@ -11,9 +11,10 @@
    below the threshold are dropped.
 4. Each member's best star pair is confirmed on full shingle sets, and the
    confirmed links give first components. Buckets whose members are all in one
-   component need no more work. In the others, members are dealt into blocks
-   and compared by bit counts with members of other components only; the
-   remaining candidates are confirmed, and components are taken again.
+   component need no more work. In the others, members outside the largest
+   component meet the rest in blocks and are compared by bit counts. Of the
+   pairs between components that remain, first each document's likeliest one is
+   confirmed, then, with the new components, all that still join two.
 
 No step makes all pairs of a group: copies meet only their class, near copies
 their centres, and what is left meets other components.
@@ -140,6 +141,50 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return shipped(both).withColumn("percent", F.lit(percent)).mapInArrow(_confirm, "u bigint, v bigint")
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) of every node after more links (u, v): the links are contracted to roots first, and only those are searched."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = links.join(side("u"), "u").join(side("v"), "v").filter("root_u <> root_v")
+    between = staged(between.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct(), "minhash-between")
+    if between.isEmpty():
+        return labels
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return staged(out, "minhash-labels")
+
+
+def candidates_between(members: DataFrame, labels: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Pairs (a, b, estimate) of one bucket and different components whose estimate is high enough; each pair once.
+
+    In every bucket the members outside its largest component meet all others.
+    Both sides are dealt into blocks of BLOCK, so a group of the join is bounded
+    and a bucket whose members are in one component makes no rows at all.
+    """
+    labelled = members.select("rep", "band", "number").join(labels.withColumnRenamed("node", "rep"), "rep")
+    parts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("roots"))
+    parts = parts.filter("roots > 1").select("band", F.col("m.root").alias("major"), "all", (F.col("all") - F.col("m.n")).alias("rest"))
+    rows = labelled.join(parts, "band").join(lanes, "rep")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    rows = staged(rows, "minhash-open")
+    x = rows.filter("root <> major").select("*", mine("rest").alias("i"), spread("all").alias("j")).alias("x")
+    y = rows.select("*", spread("rest").alias("i"), mine("all").alias("j")).alias("y")
+    same = F.zip_with("x.bands", "y.bands", lambda p, q: p == q)
+    first = ~F.exists(F.slice(same, F.lit(1), F.col("x.number")), lambda e: e)
+    meet = (
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.i") == F.col("y.i"))
+        & (F.col("x.j") == F.col("y.j"))
+        & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("y.root") == F.col("y.major")) | (F.col("x.rep") > F.col("y.rep")))
+        & (estimate("x", "y") >= LEAST_ESTIMATE)
+        & first
+    )
+    return x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), estimate("x", "y").alias("estimate"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     signed = staged(signatures(docs), "minhash-signed")
@@ -149,17 +194,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE]
     )
     classes = staged(classes, "minhash-classes")
-    in_bands = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1")
+    lanes = classes.select("rep", "bands", *SIGNATURE)
+    in_bands = classes.select("rep", F.posexplode("bands").alias("number", "band"))
+    buckets = in_bands.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = staged(in_bands.join(buckets, "band"), "minhash-members")
 
     # texts of the members of any shared bucket; other texts are not read again
-    taking_part = members.select(F.col("rep").alias("doc_id")).distinct()
+    taking_part = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-nodes")
     texts = docs.select("doc_id", "text").join(taking_part, "doc_id", "left_semi")
     texts = staged(texts.withColumn("_h", row_hash("text")).dropDuplicates(["doc_id", "_h"]).drop("_h"), "minhash-texts")
 
-    # a representative of one document with several texts may stand for several classes: one signature each is enough for stars
-    lanes = classes.select("rep", *SIGNATURE)
     stars = members.filter("rep > centre").select("rep", "centre").distinct()
     stars = (
         stars.join(lanes.alias("x"), stars["rep"] == F.col("x.rep"))
@@ -167,42 +211,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select(stars["rep"].alias("a"), F.col("centre").alias("b"), estimate("x", "y").alias("estimate"))
         .filter(F.col("estimate") >= LEAST_ESTIMATE)
     )
-    best = stars.groupBy("a").agg(F.max(F.struct("estimate", (-F.col("b")).alias("b"))).alias("m"))
-    best = staged(best.select("a", (-F.col("m.b")).alias("b")), "minhash-best")
-    first = staged(confirm(best, texts, percent), "minhash-links")
-    labels = components(first)
-
-    # what is left: members of a bucket in different components
-    labelled = members.join(labels, members["rep"] == labels["node"], "left").select(
-        "band", "rep", "members", F.coalesce("root", "rep").alias("root")
-    )
-    mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_rows = labelled.join(mixed_bands.select("band"), "band").join(lanes, "rep").withColumn("blocks", blocks)
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = staged(
-        open_rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")), "minhash-open"
-    )
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    meet = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.lo") == F.col("y.lo"))
-        & (F.col("x.hi") == F.col("y.hi"))
-        & (F.col("x.rep") > F.col("y.rep"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (estimate("x", "y") >= LEAST_ESTIMATE)
-    )
-    rest = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    rest = rest.join(best, ["a", "b"], "left_anti")
-    second = staged(confirm(rest, texts, percent), "minhash-links")
-    if second.isEmpty():
-        roots = labels
-    else:
-        roots = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
+    best = lambda pairs: pairs.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    labels = taking_part.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
+    labels = relabelled(labels, staged(confirm(best(stars), texts, percent), "minhash-links"))
+
+    # what the stars have left apart: first each document's likeliest partner, then every pair still between components
+    open_pairs = staged(candidates_between(members, labels, lanes), "minhash-pairs")
+    if not open_pairs.isEmpty():
+        likely = staged(best(open_pairs), "minhash-likely")
+        labels = relabelled(labels, staged(confirm(likely, texts, percent), "minhash-links"))
+        root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        rest = open_pairs.join(root("a"), "a").join(root("b"), "b").filter("root_a <> root_b").select("a", "b")
+        rest = rest.join(likely, ["a", "b"], "left_anti")
+        labels = relabelled(labels, staged(confirm(rest, texts, percent), "minhash-links"))
 
     by_set = live.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "rep")
-    linked = by_set.join(roots, by_set["rep"] == roots["node"], "left")
+    linked = by_set.join(labels, by_set["rep"] == labels["node"], "left")
     linked = linked.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     component = F.coalesce("component_id", signed["doc_id"])
     return signed.join(linked, "doc_id", "left").select(
