@@ -1,15 +1,536 @@
-"""The registered queries of the web-audit engine."""
+"""The registered queries of the web-audit engine, each with SQL to check it where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftlake.functions import dims, text
+from siftlake.operators import crawl, features, reports, rules
+from siftlake.plans import decorate
+from siftlake.plans.decorate import KEYWORD, decorated
+from siftlake.plans.oracle import audit, decode, host, low, occurrences, prelude, q, third, trim, words
+from siftlake.session import table
+from siftlake.sources import enrich, robots, sitemaps
+from siftlake.streaming import totals
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its name."""
+
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _features(spark, sf_dir, shift=0) -> DataFrame:
+    return features.page_features(decorated(table(spark, sf_dir, "pages"), shift), F.lit(KEYWORD))
+
+
+def _audited(spark, sf_dir, shift=0) -> DataFrame:
+    return rules.with_findings(_features(spark, sf_dir, shift))
+
+
+def _long(*columns: str) -> list:
+    return [F.col(c).cast("long").alias(c) for c in columns]
+
+
+def _bigint(*columns: str) -> str:
+    return ", ".join(f"{c}::bigint as {c}" for c in columns)
+
+
+_WITH = "with " + prelude() + "\n"
+_AUDIT = "with " + audit() + "\n"
+_DIFF = "with " + audit() + ", " + audit(5, "2") + "\n"
+
+
+# -- features -------------------------------------------------------------------------------------------------------
+
+
+@query(_WITH + "select page_id, title, description, h1, internal_links::bigint as internal_links, external_links::bigint as external_links, title_length::bigint as title_length from f")
+def page_core(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "title", "description", "h1", "internal_links", "external_links", "title_length")
+
+
+@query(
+    _WITH + f"select page_id, href, starts_with(href, '/') or starts_with(href, '#') or coalesce({host('href')} = {host('url')}, false) as is_internal,"
+    f" {host('href')} as host, {third('href', 'url')} as third_party from el where tag = 'a' and href is not null"
+)
+def link_classify(spark, sf_dir):
+    links = _features(spark, sf_dir).select("page_id", "url", F.explode("links").alias("x")).select("page_id", "url", "x.*")
+    third_party = text.is_third_party("href", "url")
+    return links.select("page_id", "href", "is_internal", text.hostname("href").alias("host"), third_party.alias("third_party"))
+
+
+@query(_WITH + "select page_id, level, text from hd where text <> ''")
+def heading_outline(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", F.explode("headings").alias("x")).select("page_id", "x.level", "x.text")
+
+
+_PERF = (
+    "external_scripts", "blocking_scripts", "async_scripts", "defer_scripts", "inline_scripts", "inline_script_bytes",
+    "external_stylesheets", "inline_styles", "inline_style_bytes", "image_count", "images_missing_dims",
+    "preload", "prefetch", "preconnect", "dns_prefetch", "html_bytes",
+)
+
+
+@query(_WITH + f"select page_id, {_bigint(*_PERF)}, array_to_string(third_party_domains, ' ') as domains from f")
+def perf_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", *_long(*_PERF), F.array_join("third_party_domains", " ").alias("domains"))
+
+
+_WCAG = ("h1_count", "images_missing_alt", "images_empty_alt", "empty_links", "generic_links", "inputs_missing_label", "n_positive_tabindex")
+
+
+@query(
+    _WITH + f"select page_id, {_bigint(*_WCAG)}, html_lang, zoom_disabled, has_skip_link, has_main_landmark, has_nav_landmark,"
+    " array_to_string(heading_sequence, ' ') as sequence from f"
+)
+def wcag_features(spark, sf_dir):
+    flags = ("html_lang", "zoom_disabled", "has_skip_link", "has_main_landmark", "has_nav_landmark")
+    sequence = F.array_join(F.col("heading_sequence").cast("array<string>"), " ").alias("sequence")
+    return _features(spark, sf_dir).select("page_id", *_long(*_WCAG), *flags, sequence)
+
+
+_SEO = ("canonical", "has_noindex", "has_nofollow", "og_title", "og_description", "og_image", "has_structured_data")
+
+
+@query(_WITH + f"select page_id, {', '.join(_SEO)}, {_bigint('hreflang_count', 'title_length', 'description_length')} from f")
+def seo_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", *_SEO, *_long("hreflang_count", "title_length", "description_length"))
+
+
+@query(_WITH + f"select page_id, is_https, {_bigint('mixed_content', 'deprecated_tags')} from f")
+def bp_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "is_https", *_long("mixed_content", "deprecated_tags"))
+
+
+_AEO = ("has_faq", "has_howto", "has_article", "has_author", "has_publisher", "has_qa_headings")
+
+
+@query(_WITH + f"select page_id, {', '.join(_AEO)}, {_bigint('outbound_links')} from f")
+def aeo_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", *_AEO, *_long("outbound_links"))
+
+
+@query(
+    _WITH + "select page_id, array_to_string(script_domains, ' ') as scripts, array_to_string(iframe_domains, ' ') as iframes,"
+    " n_trackers::bigint as n_trackers, has_banner, consent_tool from f"
+)
+def cookie_features(spark, sf_dir):
+    joined = lambda c, name: F.array_join(c, " ").alias(name)
+    trackers = F.size("trackers").cast("long").alias("n_trackers")
+    return _features(spark, sf_dir).select(
+        "page_id", joined("script_domains", "scripts"), joined("iframe_domains", "iframes"), trackers, "has_banner", "consent_tool"
+    )
+
+
+@query(
+    _WITH + "select page_id, domain, min_by(category, i) as category from ts where category is not null group by 1, 2"
+)
+def tracker_lookup(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", F.explode("trackers").alias("x")).select("page_id", "x.domain", "x.category")
+
+
+@query(_WITH + "select consent_tool, count(*)::bigint as pages from f group by 1")
+def consent_tool(spark, sf_dir):
+    return _features(spark, sf_dir).groupBy("consent_tool").agg(F.count("*").alias("pages"))
+
+
+# -- words ----------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(q(w) for w in sorted(set(dims.STOP_WORDS)))
+_TOP = (
+    "select {k}, word, n::bigint as n, rank::int as rank from (select *, row_number() over (partition by {k} order by n desc, word) as rank"
+    " from (select {k}, word, count(*) as n from {w} where word not in (" + _STOP + ") group by 1, 2)) where rank <= 20"
+)
+
+
+@query(_WITH + _TOP.format(k="page_id", w="wd"))
+def word_freq_top20(spark, sf_dir):
+    return features.top_words(_features(spark, sf_dir), "page_id", "body_text")
+
+
+@query(
+    f"with wd as (select doc_id, {low('w')} as word from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from documents) where len(w) between 3 and 128) "
+    + _TOP.format(k="doc_id", w="wd")
+)
+def document_top_words(spark, sf_dir):
+    return features.top_words(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(_WITH + "select page_id, total_words::bigint as total_words, has_keywords from f")
+def total_words(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "total_words", "has_keywords")
+
+
+@query(_WITH + f"select word, count(*)::bigint as n, count(distinct page_id)::bigint as pages from wd where word not in ({_STOP}) group by 1")
+def stopword_filter(spark, sf_dir):
+    found = features.page_features(decorated(table(spark, sf_dir, "pages"))).select("page_id", F.explode("words").alias("word"))
+    found = found.filter(~F.col("word").isin(*dims.STOP_WORDS))
+    by_page = found.groupBy("word", "page_id").agg(F.count("*").alias("n"))
+    return by_page.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+
+
+_GOALS = ("audit tool", "the", "How to", "plain site", "")
+_GOAL_ROWS = " union all ".join(f"select {q(g)} as keyword" for g in _GOALS)
+_COVERED = (
+    f"cv as (select f.page_id, g.keyword, contains({low('coalesce(title, chr(32))')}, {low('keyword')}) as in_title, contains({low('coalesce(h1, chr(32))')}, {low('keyword')}) as in_h1,"
+    f" contains({low('coalesce(description, chr(32))')}, {low('keyword')}) as in_description,"
+    f" case when {words('body_text')} > 0 and keyword <> '' then {occurrences('body_text', 'keyword')} * {words('keyword')} * 1000 // {words('body_text')} else 0 end as density"
+    f" from f, ({_GOAL_ROWS}) g where f.page_id % 2 = 0 or g.keyword <> 'the'),"
+    "cs as (select *, least(100, case when in_title then 40 else 0 end + case when in_h1 then 25 else 0 end + case when in_description then 20 else 0 end"
+    " + case when density between 5 and 30 then 15 else 0 end)::int as coverage from cv)"
+)
+
+
+def _covered(spark, sf_dir) -> DataFrame:
+    pages = _features(spark, sf_dir)
+    goals = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*[F.lit(g) for g in _GOALS])).alias("keyword"))
+    goals = goals.filter("page_id % 2 = 0 or keyword <> 'the'")
+    return reports.keyword_coverage(pages, goals, "page_id")
+
+
+@query(_WITH.rstrip() + ", " + _COVERED + " select page_id, keyword, in_title, in_h1, in_description, density::bigint as density, coverage from cs")
+def keyword_coverage(spark, sf_dir):
+    return _covered(spark, sf_dir)
+
+
+@query(_WITH.rstrip() + ", " + _COVERED + " select keyword, count(*)::bigint as pages, sum(density)::bigint as density_sum, max(density)::bigint as most from cs group by 1")
+def keyword_density(spark, sf_dir):
+    return _covered(spark, sf_dir).groupBy("keyword").agg(
+        F.count("*").alias("pages"), F.sum("density").alias("density_sum"), F.max("density").alias("most")
+    )
+
+
+@query(
+    _WITH.rstrip() + ", " + _COVERED + " select page_id, count(*)::bigint as n_keywords, sum(coverage)::bigint as coverage_sum,"
+    " count(*) filter (where coverage = 0)::bigint as n_uncovered from cs group by 1"
+)
+def goals_report(spark, sf_dir):
+    return reports.goals_report(_covered(spark, sf_dir), "page_id")
+
+
+# -- findings and scores --------------------------------------------------------------------------------------------
+
+
+@query(_AUDIT + "select page_id, rule_id, category, severity, penalty::int as penalty, detail from fi")
+def findings_long(spark, sf_dir):
+    return rules.findings(_audited(spark, sf_dir), "page_id").drop("ordinal")
+
+
+@query(_AUDIT + f"select page_id, {', '.join(dims.CATEGORIES)} from sc")
+def scores_wide(spark, sf_dir):
+    return rules.scores(_audited(spark, sf_dir), "page_id")
+
+
+_UNPIVOT = " union all ".join(f"select page_id, '{c}' as category, {c} as score from sc" for c in dims.CATEGORIES)
+
+
+@query(
+    _AUDIT + "select category, case when score >= 80 then 'good' when score >= 50 then 'warn' else 'poor' end as band, count(*)::bigint as pages"
+    f" from ({_UNPIVOT}) group by 1, 2"
+)
+def score_bands(spark, sf_dir):
+    scores = reports.scores_long(rules.scores(_audited(spark, sf_dir), "page_id"), "page_id")
+    return scores.groupBy("category", text.score_band("score").alias("band")).agg(F.count("*").alias("pages"))
+
+
+_COUNTS = ", ".join(f"count(*) filter (where severity = '{s}')::bigint as {s}" for s in dims.SEVERITIES)
+_KNOWN = " union all ".join(f"select '{c}' as category" for c in dims.CATEGORIES)
+
+
+@query(_AUDIT + f"select coalesce(k.category, 'TOTAL') as category, {_COUNTS} from ({_KNOWN}) k left join fi on fi.category = k.category group by grouping sets ((k.category), ())")
+def severity_summary(spark, sf_dir):
+    return reports.severity_summary(rules.findings(_audited(spark, sf_dir), "page_id"))
+
+
+@query(_AUDIT + f"select rule_id, severity, count(*)::bigint as pages, sum(penalty)::bigint as penalty from fi group by 1, 2")
+def rule_counts(spark, sf_dir):
+    found = rules.findings(_audited(spark, sf_dir), "page_id")
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("pages"), F.sum("penalty").alias("penalty"))
+
+
+@query(_AUDIT + f"select (select count(*) from f)::bigint as total_pages, count(*)::bigint as total_findings, {_COUNTS} from fi")
+def crawl_totals(spark, sf_dir):
+    return reports.crawl_totals(_audited(spark, sf_dir))
+
+
+_COMPARED = [1, 2, 3]
+
+
+@query(
+    _AUDIT + "select category, " + ", ".join(f"max(score) filter (where page_id = {p})::int as page_{p}" for p in _COMPARED)
+    + f" from ({_UNPIVOT}) where page_id in (1, 2, 3) group by 1"
+)
+def compare_pivot(spark, sf_dir):
+    return reports.compare(rules.scores(_audited(spark, sf_dir), "page_id"), "page_id", _COMPARED)
+
+
+@query(_DIFF + "select page_id, rule_id, category, severity from fi a where not exists (select 1 from fi2 b where b.page_id = a.page_id and b.rule_id = a.rule_id)")
+def diff_introduced(spark, sf_dir):
+    fresh, old = (rules.findings(_audited(spark, sf_dir, s), "page_id") for s in (0, 5))
+    return reports.introduced(fresh, old, "page_id").select("page_id", "rule_id", "category", "severity")
+
+
+@query(_DIFF + "select page_id, rule_id, category, severity from fi2 a where not exists (select 1 from fi b where b.page_id = a.page_id and b.rule_id = a.rule_id)")
+def diff_resolved(spark, sf_dir):
+    fresh, old = (rules.findings(_audited(spark, sf_dir, s), "page_id") for s in (0, 5))
+    return reports.resolved(fresh, old, "page_id").select("page_id", "rule_id", "category", "severity")
+
+
+@query(
+    _DIFF + f"select a.page_id, a.category, b.score as before, a.score as after, b.score - a.score >= 5 as regressed from ({_UNPIVOT}) a"
+    f" join ({_UNPIVOT.replace('from sc', 'from sc2')}) b on a.page_id = b.page_id and a.category = b.category"
+)
+def score_regressions(spark, sf_dir):
+    fresh, old = (rules.scores(_audited(spark, sf_dir, s), "page_id") for s in (0, 5))
+    return reports.score_deltas(fresh, old, "page_id")
+
+
+# -- exports and addresses ------------------------------------------------------------------------------------------
+
+
+@query(
+    _AUDIT + "select url, rule_id, category, severity, case when regexp_matches(detail, '[,\"\\n]') then '\"' || replace(detail, '\"', '\"\"') || '\"' else detail end as detail from fi"
+)
+def csv_rows(spark, sf_dir):
+    return reports.csv_rows(rules.findings(_audited(spark, sf_dir), "url"))
+
+
+@query()
+def page_json(spark, sf_dir):
+    return _audited(spark, sf_dir).select("page_id", reports.page_json(None).alias("json"))
+
+
+@query("select page_id, substr(regexp_replace(url, '^https?://', ''), 1, 12) as short, url from pages")
+def truncate_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.truncated("url").alias("short"), "url")
+
+
+@query(
+    f"select page_id, {host('url')} as host, substr(url, 1, instr(url, '://') + 2) || {host('url')} as origin, split_part(url, '?', 1) as path,"
+    " case when instr(url, '?') > 0 then substr(url, instr(url, '?') + 1) else '' end as query,"
+    " list_extract(list_transform(list_filter(string_split(case when instr(url, '?') > 0 then substr(url, instr(url, '?') + 1) else '' end, '&'), lambda p: starts_with(p, 'page=')), lambda p: substr(p, 6)), 1) as page,"
+    " list_extract(string_split(regexp_replace(split_part(url, '?', 1), '^/', ''), '/'), 4) as segment from pages"
+)
+def url_parts(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select(
+        "page_id", text.hostname("url").alias("host"), text.origin("url").alias("origin"), text.path_of("url").alias("path"), text.query_of("url").alias("query"),
+    )
+    return df.withColumn("page", text.get_param("query", "page")).withColumn("segment", text.segment("path", 3))
+
+
+@query(f"select {host('url')} as host, count(*)::bigint as pages, count(*) filter (where starts_with(url, 'https://'))::bigint as secure from pages group by 1")
+def host_counts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("url")
+    secure = F.count_if(F.col("url").startswith("https://")).alias("secure")
+    return pages.groupBy(text.hostname("url").alias("host")).agg(F.count("*").alias("pages"), secure)
+
+
+# -- sources --------------------------------------------------------------------------------------------------------
+
+_ROBOT_LINES = (
+    f"b as (select page_id, url, {decorate.ROBOTS_SQL} as body from pages),"
+    f"l as (select page_id, i, {trim('x')} as x from (select page_id, generate_subscripts(y, 1) as i, unnest(y) as x from (select page_id, string_split(body, chr(10)) as y from b))),"
+    f"kv as (select page_id, i, {low('trim(split_part(x, chr(58), 1))')} as k, trim(substr(x, instr(x, ':') + 1)) as v from l where x <> '' and not starts_with(x, '#') and contains(x, ':')),"
+    f"gr as (select *, last_value(case when k = 'user-agent' then case when {low('v')} = 'siteauditbot' then 'own' when v = '*' then 'any' else 'other' end end ignore nulls)"
+    " over (partition by page_id order by i) as g from kv),"
+    "us as (select page_id, case when bool_or(g = 'own') then 'own' else 'any' end as used from gr group by 1),"
+    "ru as (select gr.page_id, gr.i, gr.k, gr.v from gr join us on us.page_id = gr.page_id and gr.g = us.used and k in ('allow', 'disallow')),"
+    "dl as (select page_id, max_by(try_cast(v as double) * 1000, i)::bigint as delay from gr where k = 'crawl-delay' and g in ('own', 'any') group by 1)"
+)
+
+
+def _robots(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(decorate.ROBOTS_SQL).alias("body"))
+    return robots.parsed_robots(pages)
+
+
+@query(
+    f"with {_ROBOT_LINES} select b.page_id, (select string_agg(v, '|' order by i) from ru where ru.page_id = b.page_id and k = 'disallow') as disallowed,"
+    " (select string_agg(v, '|' order by i) from ru where ru.page_id = b.page_id and k = 'allow') as allowed,"
+    " (select string_agg(v, '|' order by i) from kv where kv.page_id = b.page_id and k = 'sitemap') as sitemaps, delay as crawl_delay_ms from b left join dl using (page_id)"
+)
+def robots_rules(spark, sf_dir):
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|")).alias(c)
+    return _robots(spark, sf_dir).select("page_id", *[joined(c) for c in ("disallowed", "allowed", "sitemaps")], "crawl_delay_ms")
+
+
+@query(
+    f"with {_ROBOT_LINES}, p as (select page_id, substr(split_part(split_part(url, '#', 1), '?', 1), len(substr(url, 1, instr(url, '://') + 2) || {host('url')}) + 1) as path from b),"
+    "m as (select p.page_id, path, coalesce(max(strlen(v)) filter (where k = 'disallow' and v <> '' and starts_with(path, v)), 0) as d,"
+    " coalesce(max(strlen(v)) filter (where k = 'allow' and v <> '' and starts_with(path, v)), 0) as a from p left join ru on ru.page_id = p.page_id group by 1, 2)"
+    " select page_id, path, d = 0 or a >= d as allowed from m"
+)
+def robots_allowed(spark, sf_dir):
+    cut = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
+    df = _robots(spark, sf_dir).withColumn("path", F.substring(cut, F.length(text.origin("url")) + 1, F.length("url")))
+    return df.select("page_id", "path", robots.is_allowed("path").alias("allowed"))
+
+
+_MAP_ROWS = (
+    f"b as (select page_id, {decorate.SITEMAP_XML_SQL} as xml from pages),"
+    "u as (select page_id, generate_subscripts(y, 1) as i, unnest(y) as x from (select page_id, regexp_extract_all(xml, '(?s)<url>.*?</url>') as y from b where not contains(xml, '<sitemapindex'))),"
+    f"c as (select page_id, i, {', '.join(f'''nullif({trim(decode(f'regexp_extract(x, {chr(39)}(?s)<{p}>(.*?)</{p}>{chr(39)}, 1)'))}, '') as {p}''' for p in ('loc', 'lastmod', 'changefreq', 'priority'))} from u)"
+)
+
+
+def _sitemaps(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(decorate.SITEMAP_XML_SQL).alias("xml"))
+    return sitemaps.parsed_sitemaps(pages)
+
+
+@query(f"with {_MAP_ROWS} select page_id, loc, lastmod, changefreq, priority::double as priority from c where loc is not null")
+def sitemap_entries(spark, sf_dir):
+    rows = _sitemaps(spark, sf_dir).select("page_id", F.explode("entries").alias("e")).select("page_id", "e.*")
+    return rows.withColumn("priority", F.col("priority").cast("double"))
+
+
+@query(
+    f"with {_MAP_ROWS} select b.page_id, contains(xml, '<sitemapindex') as is_index, count(loc)::bigint as entries,"
+    " count(*) filter (where loc is not null and lastmod is null)::bigint as missing_lastmod, count(*) filter (where loc is not null and priority is null)::bigint as missing_priority,"
+    " count(*) filter (where loc is not null and changefreq is null)::bigint as missing_changefreq, len(regexp_extract_all(xml, '<sitemap>'))::bigint as children"
+    " from b left join c using (page_id) group by b.page_id, xml"
+)
+def sitemap_missing_counts(spark, sf_dir):
+    return _sitemaps(spark, sf_dir).select(
+        "page_id", "is_index", F.size("entries").cast("long").alias("entries"), "missing_lastmod", "missing_priority", "missing_changefreq",
+        F.size("child_sitemaps").cast("long").alias("children"),
+    )
+
+
+@query(
+    f"with b as (select page_id, rtrim(substr(url, 1, instr(url, '://') + 2) || {host('url')}, '/') as o from pages)"
+    " select page_id, i::int as ordinal, case i when 1 then 'https://h' || page_id || '.example.org/sitemap.xml' when 2 then o || '/sitemap.xml'"
+    " when 3 then o || '/sitemap_index.xml' else o || '/sitemap.xml.gz' end as candidate from b, range(1, 5) r(i)"
+)
+def sitemap_candidates(spark, sf_dir):
+    df = _robots(spark, sf_dir).withColumn("c", sitemaps.candidates(text.origin("url"), F.col("sitemaps")))
+    return df.select("page_id", F.posexplode("c").alias("p", "candidate")).select("page_id", (F.col("p") + 1).alias("ordinal"), "candidate")
+
+
+_ANSWERED = "(page_id + ordinal) % 3 = 0"
+
+
+@query(
+    "with c as (select page_id, i::int as ordinal from pages, range(1, 5) r(i)) select page_id, min(ordinal) as ordinal from c where (page_id + ordinal) % 3 = 0 group by 1"
+)
+def sitemap_selection(spark, sf_dir):
+    df = sitemap_candidates(spark, sf_dir).withColumn("ok", F.expr(_ANSWERED)).withColumn("place", F.col("ordinal"))
+    return sitemaps.first_answered(df.select("page_id", "place", "ordinal", "ok"), ["page_id"], "place", "ok").select("page_id", "ordinal")
+
+
+@query(
+    "select page_id, (10 + page_id % 90)::int as lighthouse_performance, 1::int as lighthouse_accessibility, null::int as lighthouse_best_practices, null::int as lighthouse_seo,"
+    " (1001 + page_id % 977)::bigint as lcp_ms, (page_id % 300)::bigint as tbt_ms, null::bigint as inp_ms, 0.25::double as cls_score from pages"
+)
+def psi_flatten(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(decorate.PSI_SQL).alias("body"))
+    columns = [f"lighthouse_{s.replace('-', '_')}" for s in enrich.SCORES]
+    return enrich.page_speed(pages).select("page_id", *columns, "lcp_ms", "tbt_ms", "inp_ms", "cls_score")
+
+
+_TECHS = (
+    f"j as (select page_id, ({decorate.TECH_SQL})::json as body from pages),"
+    "p as (select page_id, generate_subscripts(x, 1) as i, unnest(x) as p from (select page_id, (body->'$.Results[0].Result.Paths')::json[] as x from j)),"
+    "n as (select page_id, i, generate_subscripts(x, 1) as k, unnest(x) as t from (select page_id, i, (p->'$.Technologies')::json[] as x from p)),"
+    "d as (select page_id, t->>'$.Name' as name, coalesce(t->>'$.Tag', '') as tag, coalesce(t->>'$.Categories[0].Name', '') as category,"
+    " row_number() over (partition by page_id, t->>'$.Name' order by i, k) as nth from n)"
+)
+
+
+def _technologies(spark, sf_dir) -> DataFrame:
+    return enrich.technologies(table(spark, sf_dir, "pages").select("page_id", F.expr(decorate.TECH_SQL).alias("body")), "page_id")
+
+
+@query(f"with {_TECHS} select page_id, name, tag, category from d where nth = 1")
+def builtwith_dedup(spark, sf_dir):
+    return _technologies(spark, sf_dir).select("page_id", "name", "tag", "category")
+
+
+@query(
+    f"with {_TECHS} select page_id, coalesce(nullif(category, ''), nullif(tag, ''), 'Other') as kind, string_agg(name, ', ' order by name) as names, count(*)::bigint as n"
+    " from d where nth = 1 group by 1, 2"
+)
+def tech_by_category(spark, sf_dir):
+    return enrich.by_category(_technologies(spark, sf_dir), "page_id")
+
+
+# -- history, crawl, streams ----------------------------------------------------------------------------------------
+
+
+@query(
+    "select user_id, event_id, rank::int as rank, (round(epoch_us(ts) / 1e6)::bigint * 1000000) as ran_at_us from"
+    " (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events) where rank <= 20"
+)
+def run_history_latest20(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    latest = reports.latest_runs(runs, "user_id", "ts", tie="event_id")
+    return latest.select("user_id", "event_id", "rank", text.epoch_micros_of_seconds("ts").alias("ran_at_us"))
+
+
+_DEPTH = 12
+_BFS = (
+    "n as (select count(*) as n from pages), e as (select page_id as s, unnest([2 * page_id + 1, 2 * page_id + 2, (page_id * 7) % n]) as t from pages, n),"
+    f"w(page, depth) as (select 0::bigint, 0 union select e.t, w.depth + 1 from w join e on e.s = w.page, n where w.depth < {_DEPTH} and e.t < n.n),"
+    "v as (select page, min(depth) as depth from w group by 1)"
+)
+
+
+def _visited(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    n = pages.count()
+    links = F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2, (F.col("page_id") * 7) % n)
+    edges = pages.select(F.col("page_id").alias("source"), F.explode(links).alias("target")).filter(F.col("target") < n)
+    return crawl.breadth_first(pages.filter("page_id = 0").select(F.col("page_id").alias("page")), edges, _DEPTH)
+
+
+@query(f"with recursive {_BFS} select page, depth::int as depth from v")
+def frontier_bfs(spark, sf_dir):
+    return _visited(spark, sf_dir)
+
+
+@query(
+    f"with recursive {_BFS} select page, depth::int as depth, ((i - 1) // 4)::bigint as round, ((i - 1) % 4)::int as runner"
+    " from (select *, row_number() over (order by depth, page) as i from v)"
+)
+def runner_assignment(spark, sf_dir):
+    return crawl.runners(_visited(spark, sf_dir))
+
+
+@query(
+    f"with recursive {_BFS} select ((i - 1) // 4)::bigint as round, count(*)::bigint as done, max(depth)::int as depth"
+    " from (select *, row_number() over (order by depth, page) as i from v) group by 1"
+)
+def crawl_progress(spark, sf_dir):
+    return crawl.progress(crawl.runners(_visited(spark, sf_dir)))
+
+
+@query(
+    "with " + audit(0, "") + " select category, severity, count(*)::bigint as n, sum(penalty)::bigint as penalty from fi group by 1, 2"
+)
+def stream_totals(spark, sf_dir):
+    stream = totals.page_stream(spark, f"{sf_dir}/pages.parquet")
+    pages = stream.select("page_id", "url", F.expr(decorate.html_sql()).alias("html"), F.expr(decorate.SITEMAP_SQL).alias("has_sitemap"))
+    found = rules.findings(rules.with_findings(features.page_features(pages, F.lit(KEYWORD))), "url")
+    return totals.run_totals(found.groupBy("category", "severity").agg(F.count("*").alias("n"), F.sum("penalty").alias("penalty")))
+
+
