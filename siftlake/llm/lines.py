@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.substrings import place
 from siftlake.llm.text import SPACE, row_hash, whole
-from siftlake.session import staged, table
+from siftlake.session import exploded, staged, table
 
 WINDOW = 2
 #: A chunk ends after one line in so many.
@@ -43,7 +43,7 @@ def chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES)
     begin = lambda j: F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0))
     made = F.transform("_ends", lambda e, j: F.struct(begin(j).alias("first"), e.alias("last")))
     made = F.filter(made, lambda c: c["last"] > c["first"])
-    df = df.select("doc_id", "row_hash", "_lines", "_hashes", F.explode(made).alias("_c"))
+    df = exploded(df, made, "_c", "doc_id", "row_hash", "_lines", "_hashes")
     part = lambda x: F.slice(x, F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1)
     return df.select(
         "doc_id", "row_hash", "_c.first", "_c.last", F.xxhash64(part("_hashes")).alias("hash"),
@@ -54,9 +54,11 @@ def chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES)
 def repeated_chunks(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, row_hash, first, last of every chunk that is not the first with its bytes."""
     every = chunks(docs, **settings)
-    shared = every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    # written first, so that the joins are between two shuffles, which adaptive execution may split at hot keys
+    shared = staged(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "line-shared")
     candidates = staged(every.join(shared, "hash").withColumn("place", place("doc_id", F.col("first"))), "line-chunks")
     same_bytes = candidates.groupBy("hash", "chunk").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
+    same_bytes = staged(same_bytes, "line-bytes")
     found = candidates.join(same_bytes, ["hash", "chunk"]).filter(F.col("place") > F.col("first_place"))
     return found.select("doc_id", "row_hash", "first", "last").distinct()
 
