@@ -21,6 +21,7 @@ from siftlake.functions.text import (
     n_bytes,
     trimmed,
 )
+from siftlake.session import exploded
 
 TOP_WORDS = 20
 
@@ -74,25 +75,29 @@ def parsed_elements(pages: DataFrame) -> DataFrame:
     lang = F.try_element_at(of("html"), F.lit(1))["open"]
     return (
         df.withColumn("scripts", scripts)
-        .withColumn("styles", F.transform(of("style"), html.raw_body))
-        .withColumn("metas", pick("meta", "name", "property", "content"))
-        .withColumn("link_els", pick("link", "rel", "href", "hreflang"))
-        .withColumn("hrefs", F.filter(F.transform(of("a"), lambda e: html.attr(e["open"], "href")), lambda h: h.isNotNull()))
-        .withColumn("iframes", F.transform(of("iframe"), lambda e: html.attr(e["open"], "src")))
-        .withColumn("images", images)
-        .withColumn("inputs", inputs)
-        .withColumn("label_fors", F.transform(of("label"), lambda e: html.attr(e["open"], "for")))
-        .withColumn("marks", F.filter(marks, lambda m: m["id"].isNotNull() | m["cls"].isNotNull()))
-        .withColumn("headings_all", html.headings(F.col("_plain")))
-        .withColumn("anchor_texts", html.anchor_texts(F.col("_plain")))
-        .withColumn("title", html.title(F.col("_plain")))
-        .withColumn("body_text", html.body_text(F.col("_page")))
-        .withColumn("html_lang", html.attr(lang, "lang"))
-        .withColumn("n_deprecated", count_if("_els", lambda e: e["tag"].isin("font", "center", "marquee")))
-        .withColumn("n_plain_http", count_if("_els", lambda e: e["open"].rlike(r"(?i)\s(?:src|href)\s*=\s*[\"']?(?-i:http://)")))
-        .withColumn("n_positive_tabindex", count_if("_els", lambda e: html.attr(e["open"], "tabindex").try_cast("double") > 0))
-        .withColumn("has_main_landmark", F.exists("_els", lambda e: (e["tag"] == "main") | F.coalesce(html.attr(e["open"], "role") == "main", F.lit(False))))
-        .withColumn("has_nav_landmark", F.exists("_els", lambda e: (e["tag"] == "nav") | F.coalesce(html.attr(e["open"], "role") == "navigation", F.lit(False))))
+        .withColumns(
+            {
+                "styles": F.transform(of("style"), html.raw_body),
+                "metas": pick("meta", "name", "property", "content"),
+                "link_els": pick("link", "rel", "href", "hreflang"),
+                "hrefs": F.filter(F.transform(of("a"), lambda e: html.attr(e["open"], "href")), lambda h: h.isNotNull()),
+                "iframes": F.transform(of("iframe"), lambda e: html.attr(e["open"], "src")),
+                "images": images,
+                "inputs": inputs,
+                "label_fors": F.transform(of("label"), lambda e: html.attr(e["open"], "for")),
+                "marks": F.filter(marks, lambda m: m["id"].isNotNull() | m["cls"].isNotNull()),
+                "headings_all": html.headings(F.col("_plain")),
+                "anchor_texts": html.anchor_texts(F.col("_plain")),
+                "title": html.title(F.col("_plain")),
+                "body_text": html.body_text(F.col("_page")),
+                "html_lang": html.attr(lang, "lang"),
+                "n_deprecated": count_if("_els", lambda e: e["tag"].isin("font", "center", "marquee")),
+                "n_plain_http": count_if("_els", lambda e: e["open"].rlike(r"(?i)\s(?:src|href)\s*=\s*[\"']?(?-i:http://)")),
+                "n_positive_tabindex": count_if("_els", lambda e: html.attr(e["open"], "tabindex").try_cast("double") > 0),
+                "has_main_landmark": F.exists("_els", lambda e: (e["tag"] == "main") | F.coalesce(html.attr(e["open"], "role") == "main", F.lit(False))),
+                "has_nav_landmark": F.exists("_els", lambda e: (e["tag"] == "nav") | F.coalesce(html.attr(e["open"], "role") == "navigation", F.lit(False))),
+            }
+        )
         .drop("html", "_page", "_els", "_plain")
     )
 
@@ -117,15 +122,19 @@ def wcag(df: DataFrame) -> DataFrame:
     shown = lambda i: ~F.coalesce(i["type"].isin(*buttons), F.lit(False))
     return (
         df.withColumn("viewport", viewport)
-        .withColumn("zoom_disabled", F.coalesce(F.col("viewport").contains("user-scalable=no") | F.col("viewport").contains("maximum-scale=1"), F.lit(False)))
-        .withColumn("has_skip_link", F.exists("hrefs", lambda h: h.startswith("#")))
-        .withColumn("heading_sequence", F.transform("headings_all", lambda h: h["level"]))
-        .withColumn("h1_count", count_if("headings_all", lambda h: h["level"] == 1))
-        .withColumn("images_missing_alt", count_if("images", lambda i: i["alt"].isNull()))
-        .withColumn("images_empty_alt", count_if("images", lambda i: i["alt"] == ""))
-        .withColumn("empty_links", count_if("anchor_texts", lambda t: t == ""))
-        .withColumn("generic_links", count_if("anchor_texts", lambda t: ascii_lower(t).isin(*dims.GENERIC_LINK_TEXTS)))
-        .withColumn("inputs_missing_label", count_if("inputs", lambda i: shown(i) & ~labelled(i)))
+        .withColumns(
+            {
+                "zoom_disabled": F.coalesce(F.col("viewport").contains("user-scalable=no") | F.col("viewport").contains("maximum-scale=1"), F.lit(False)),
+                "has_skip_link": F.exists("hrefs", lambda h: h.startswith("#")),
+                "heading_sequence": F.transform("headings_all", lambda h: h["level"]),
+                "h1_count": count_if("headings_all", lambda h: h["level"] == 1),
+                "images_missing_alt": count_if("images", lambda i: i["alt"].isNull()),
+                "images_empty_alt": count_if("images", lambda i: i["alt"] == ""),
+                "empty_links": count_if("anchor_texts", lambda t: t == ""),
+                "generic_links": count_if("anchor_texts", lambda t: ascii_lower(t).isin(*dims.GENERIC_LINK_TEXTS)),
+                "inputs_missing_label": count_if("inputs", lambda i: shown(i) & ~labelled(i)),
+            }
+        )
     )
 
 
@@ -140,19 +149,23 @@ def performance(df: DataFrame) -> DataFrame:
     )
     df = (
         df.withColumn("external_scripts", count_if("scripts", external))
-        .withColumn("blocking_scripts", count_if("scripts", lambda s: external(s) & ~s["is_async"] & ~s["is_defer"]))
-        .withColumn("async_scripts", count_if("scripts", lambda s: external(s) & s["is_async"]))
-        .withColumn("defer_scripts", count_if("scripts", lambda s: external(s) & s["is_defer"]))
-        .withColumn("inline_scripts", F.size(inline).cast("long"))
-        .withColumn("inline_script_bytes", bytes_of(F.transform(inline, lambda s: s["body"])))
-        .withColumn("external_stylesheets", count_if("link_els", sheet))
-        .withColumn("inline_styles", F.size("styles").cast("long"))
-        .withColumn("inline_style_bytes", bytes_of("styles"))
-        .withColumn("image_count", F.size("images").cast("long"))
-        .withColumn("images_missing_dims", count_if("images", lambda i: ~i["has_size"]))
+        .withColumns(
+            {
+                "blocking_scripts": count_if("scripts", lambda s: external(s) & ~s["is_async"] & ~s["is_defer"]),
+                "async_scripts": count_if("scripts", lambda s: external(s) & s["is_async"]),
+                "defer_scripts": count_if("scripts", lambda s: external(s) & s["is_defer"]),
+                "inline_scripts": F.size(inline).cast("long"),
+                "inline_script_bytes": bytes_of(F.transform(inline, lambda s: s["body"])),
+                "external_stylesheets": count_if("link_els", sheet),
+                "inline_styles": F.size("styles").cast("long"),
+                "inline_style_bytes": bytes_of("styles"),
+                "image_count": F.size("images").cast("long"),
+                "images_missing_dims": count_if("images", lambda i: ~i["has_size"]),
+            }
+        )
     )
-    for rel in ("preload", "prefetch", "preconnect", "dns-prefetch"):
-        df = df.withColumn(rel.replace("-", "_"), count_if("link_els", lambda x, rel=rel: x["rel"] == rel))
+    hints = lambda rel: count_if("link_els", lambda x: x["rel"] == rel)
+    df = df.withColumns({rel.replace("-", "_"): hints(rel) for rel in ("preload", "prefetch", "preconnect", "dns-prefetch")})
     hosts = F.transform(F.filter(loaded, lambda h: is_third_party(h, "url")), hostname)
     return df.withColumn("third_party_domains", F.array_sort(F.array_distinct(hosts)))
 
@@ -171,9 +184,13 @@ def privacy(df: DataFrame) -> DataFrame:
     tool = F.coalesce(F.try_element_at(tools("third_party_scripts"), F.lit(1)), F.try_element_at(tools(in_marks), F.lit(1)))
     return (
         df.withColumn("script_domains", F.array_sort(F.array_distinct(F.transform("third_party_scripts", hostname))))
-        .withColumn("iframe_domains", F.array_sort(F.array_distinct(F.transform(third("iframes"), hostname))))
-        .withColumn("trackers", F.filter("_found", first))
-        .withColumn("consent_tool", tool)
+        .withColumns(
+            {
+                "iframe_domains": F.array_sort(F.array_distinct(F.transform(third("iframes"), hostname))),
+                "trackers": F.filter("_found", first),
+                "consent_tool": tool,
+            }
+        )
         .withColumn("has_banner", F.col("consent_tool").isNotNull())
         .drop("_found")
     )
@@ -187,16 +204,24 @@ def seo(df: DataFrame) -> DataFrame:
     ldjson = F.transform(F.filter("scripts", lambda s: s["type"] == "application/ld+json"), lambda s: s["body"])
     return (
         df.withColumn("canonical", link("canonical"))
-        .withColumn("has_noindex", F.coalesce(robots.contains("noindex"), F.lit(False)))
-        .withColumn("has_nofollow", F.coalesce(robots.contains("nofollow"), F.lit(False)))
-        .withColumn("og_title", prop("og:title"))
-        .withColumn("og_description", prop("og:description"))
-        .withColumn("og_image", prop("og:image"))
-        .withColumn("ldjson", ldjson)
-        .withColumn("has_structured_data", F.size("ldjson") > 0)
-        .withColumn("hreflang_count", count_if("link_els", lambda x: x["hreflang"].isNotNull()))
-        .withColumn("title_length", n_bytes("title"))
-        .withColumn("description_length", n_bytes("description"))
+        .withColumns(
+            {
+                "has_noindex": F.coalesce(robots.contains("noindex"), F.lit(False)),
+                "has_nofollow": F.coalesce(robots.contains("nofollow"), F.lit(False)),
+                "og_title": prop("og:title"),
+                "og_description": prop("og:description"),
+                "og_image": prop("og:image"),
+                "ldjson": ldjson,
+            }
+        )
+        .withColumns(
+            {
+                "has_structured_data": F.size("ldjson") > 0,
+                "hreflang_count": count_if("link_els", lambda x: x["hreflang"].isNotNull()),
+                "title_length": n_bytes("title"),
+                "description_length": n_bytes("description"),
+            }
+        )
     )
 
 
@@ -237,12 +262,16 @@ def answers(df: DataFrame) -> DataFrame:
     question = F.exists("headings", lambda h: h["level"].between(2, 4) & is_question(h["text"], dims.QUESTION_PREFIXES))
     return (
         df.withColumn("has_faq", says("FAQPage"))
-        .withColumn("has_howto", says("HowTo"))
-        .withColumn("has_article", says("Article"))
-        .withColumn("has_author", says('"author"') | F.coalesce(author, F.lit(False)))
-        .withColumn("has_publisher", says('"publisher"', '"organization"'))
-        .withColumn("has_qa_headings", question)
-        .withColumn("outbound_links", count_if("hrefs", lambda h: is_third_party(h, "url")))
+        .withColumns(
+            {
+                "has_howto": says("HowTo"),
+                "has_article": says("Article"),
+                "has_author": says('"author"') | F.coalesce(author, F.lit(False)),
+                "has_publisher": says('"publisher"', '"organization"'),
+                "has_qa_headings": question,
+                "outbound_links": count_if("hrefs", lambda h: is_third_party(h, "url")),
+            }
+        )
     )
 
 
@@ -266,7 +295,7 @@ def top_words(df: DataFrame, key: str, text: str, n: int = TOP_WORDS) -> DataFra
     """The n most frequent words of each row's text without stop words; ties by word."""
     from pyspark.sql import Window
 
-    words = df.select(key, F.explode(keyword_words(text)).alias("word")).filter(~F.col("word").isin(*dims.STOP_WORDS))
+    words = exploded(df, keyword_words(text), "word", key).filter(~F.col("word").isin(*dims.STOP_WORDS))
     counts = words.groupBy(key, "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy(key).orderBy(F.col("n").desc(), "word")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

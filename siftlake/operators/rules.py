@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.dims import CATEGORIES
 from siftlake.functions.text import clamped
+from siftlake.session import exploded
 
 
 @dataclass(frozen=True)
@@ -101,15 +102,16 @@ def fired(rules: list[Rule] = RULES) -> Column:
 def with_findings(features: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Add the findings and the score of every category, 100 less its penalties, held between 0 and 100."""
     df = features.withColumn("findings", fired(rules))
-    for c in CATEGORIES:
-        lost = F.aggregate(F.filter("findings", lambda f, c=c: f["category"] == c), F.lit(0), lambda a, f: a + f["penalty"])
-        df = df.withColumn(c, clamped(100 - lost))
-    return df
+    return df.withColumns({c: clamped(100 - _lost(c)) for c in CATEGORIES})
+
+
+def _lost(category: str) -> Column:
+    return F.aggregate(F.filter("findings", lambda f: f["category"] == category), F.lit(0), lambda a, f: a + f["penalty"])
 
 
 def findings(audited: DataFrame, *keys: str) -> DataFrame:
     """One row for each finding."""
-    return audited.select(*keys, F.explode("findings").alias("_f")).select(*keys, "_f.*")
+    return exploded(audited, "findings", "_f", *keys).select(*keys, "_f.*")
 
 
 def scores(audited: DataFrame, *keys: str) -> DataFrame:

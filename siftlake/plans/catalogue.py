@@ -12,7 +12,7 @@ from siftlake.operators import crawl, features, reports, rules
 from siftlake.plans import decorate
 from siftlake.plans.decorate import KEYWORD, decorated
 from siftlake.plans.oracle import audit, decode, host, low, occurrences, prelude, q, third, trim, words
-from siftlake.session import table
+from siftlake.session import exploded, table
 from siftlake.sources import enrich, robots, sitemaps
 from siftlake.streaming import totals
 
@@ -74,14 +74,14 @@ def page_core(spark, sf_dir):
     f" {host('href')} as host, {third('href', 'url')} as third_party from el where tag = 'a' and href is not null"
 )
 def link_classify(spark, sf_dir):
-    links = _features(spark, sf_dir).select("page_id", "url", F.explode("links").alias("x")).select("page_id", "url", "x.*")
+    links = exploded(_features(spark, sf_dir), "links", "x", "page_id", "url").select("page_id", "url", "x.*")
     third_party = text.is_third_party("href", "url")
     return links.select("page_id", "href", "is_internal", text.hostname("href").alias("host"), third_party.alias("third_party"))
 
 
 @query(_WITH + "select page_id, level, text from hd where text <> ''")
 def heading_outline(spark, sf_dir):
-    return _features(spark, sf_dir).select("page_id", F.explode("headings").alias("x")).select("page_id", "x.level", "x.text")
+    return exploded(_features(spark, sf_dir), "headings", "x", "page_id").select("page_id", "x.level", "x.text")
 
 
 _PERF = (
@@ -146,7 +146,7 @@ def cookie_features(spark, sf_dir):
     _WITH + "select page_id, domain, min_by(category, i) as category from ts where category is not null group by 1, 2"
 )
 def tracker_lookup(spark, sf_dir):
-    return _features(spark, sf_dir).select("page_id", F.explode("trackers").alias("x")).select("page_id", "x.domain", "x.category")
+    return exploded(_features(spark, sf_dir), "trackers", "x", "page_id").select("page_id", "x.domain", "x.category")
 
 
 @query(_WITH + "select consent_tool, count(*)::bigint as pages from f group by 1")
@@ -183,7 +183,7 @@ def total_words(spark, sf_dir):
 
 @query(_WITH + f"select word, count(*)::bigint as n, count(distinct page_id)::bigint as pages from wd where word not in ({_STOP}) group by 1")
 def stopword_filter(spark, sf_dir):
-    found = features.page_features(decorated(table(spark, sf_dir, "pages"))).select("page_id", F.explode("words").alias("word"))
+    found = exploded(features.page_features(decorated(table(spark, sf_dir, "pages"))), "words", "word", "page_id")
     found = found.filter(~F.col("word").isin(*dims.STOP_WORDS))
     by_page = found.groupBy("word", "page_id").agg(F.count("*").alias("n"))
     return by_page.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
@@ -400,7 +400,7 @@ def _sitemaps(spark, sf_dir) -> DataFrame:
 
 @query(f"with {_MAP_ROWS} select page_id, loc, lastmod, changefreq, priority::double as priority from c where loc is not null")
 def sitemap_entries(spark, sf_dir):
-    rows = _sitemaps(spark, sf_dir).select("page_id", F.explode("entries").alias("e")).select("page_id", "e.*")
+    rows = exploded(_sitemaps(spark, sf_dir), "entries", "e", "page_id").select("page_id", "e.*")
     return rows.withColumn("priority", F.col("priority").cast("double"))
 
 
@@ -528,7 +528,7 @@ def crawl_progress(spark, sf_dir):
     "with " + audit(0, "") + " select category, severity, count(*)::bigint as n, sum(penalty)::bigint as penalty from fi group by 1, 2"
 )
 def stream_totals(spark, sf_dir):
-    stream = totals.page_stream(spark, f"{sf_dir}/pages.parquet")
+    stream = totals.page_stream(spark, f"{sf_dir}/pages.parquet*")
     pages = stream.select("page_id", "url", F.expr(decorate.html_sql()).alias("html"), F.expr(decorate.SITEMAP_SQL).alias("has_sitemap"))
     found = rules.findings(rules.with_findings(features.page_features(pages, F.lit(KEYWORD))), "url")
     return totals.run_totals(found.groupBy("category", "severity").agg(F.count("*").alias("n"), F.sum("penalty").alias("penalty")))

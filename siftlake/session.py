@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exploded(df: DataFrame, array: Column | str, name: str, *keys: str) -> DataFrame:
+    """``keys`` and one row for each element of ``array``, as ``name``.
+
+    An inner explode makes the optimizer filter on the array's size and push
+    that below the projection that computes the array, which is then computed
+    twice. The outer form is not rewritten so; empty arrays' rows go afterwards.
+    """
+    return df.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

@@ -39,9 +39,8 @@ def parsed_sitemaps(df: DataFrame, xml: str = "xml") -> DataFrame:
     none = F.array().cast("array<struct<loc:string,lastmod:string,changefreq:string,priority:float>>")
     df = df.withColumn("child_sitemaps", F.when(F.col("is_index"), children).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("entries", F.when(F.col("is_index"), none).otherwise(F.filter(entries, lambda e: e["loc"].isNotNull())))
-    for part in ("lastmod", "priority", "changefreq"):
-        df = df.withColumn(f"missing_{part}", F.size(F.filter("entries", lambda e, part=part: e[part].isNull())).cast("long"))
-    return df.drop("_xml")
+    missing = lambda part: F.size(F.filter("entries", lambda e: e[part].isNull())).cast("long")
+    return df.withColumns({f"missing_{part}": missing(part) for part in ("lastmod", "priority", "changefreq")}).drop("_xml")
 
 
 def candidates(origin: Column, robots_sitemaps: Column) -> Column:

@@ -13,7 +13,7 @@ from siftlake.session import shared_dir
 
 
 def page_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
-    """New Parquet files of a folder of pages as a stream."""
+    """New Parquet files under a path or glob as a stream."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
