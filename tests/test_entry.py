@@ -1,0 +1,35 @@
+"""The registered queries against their SQL on the smallest tables."""
+
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__
+from siftlake.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.sql(f"create view {name.split('.')[0]} as select * from '{SF}/{name}'")
+    return con
+
+
+def rows(df: pd.DataFrame):
+    plain = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else getattr(x, "item", lambda: x)()
+    return sorted(repr(tuple(map(plain, r))) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_query_matches_sql(spark, duck, name):
+    assert rows(catalogue.queries()[name](spark, SF).toPandas()) == rows(duck.sql(catalogue.oracle_sql()[name]).df())
+
+
+def test_entry_runs(spark):
+    assert __spark_entry__.entry(spark).count() == 8
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
