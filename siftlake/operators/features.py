@@ -282,11 +282,46 @@ def _any(tests) -> Column:
     return out
 
 
+class _Recipe:
+    """Takes down the columns that the steps add, to add them to any DataFrame later."""
+
+    def __init__(self):
+        self.steps: list[dict | tuple] = []
+
+    def withColumns(self, columns: dict) -> _Recipe:  # noqa: N802
+        self.steps.append(columns)
+        return self
+
+    def withColumn(self, name: str, column: Column) -> _Recipe:  # noqa: N802
+        return self.withColumns({name: column})
+
+    def drop(self, *names: str) -> _Recipe:
+        self.steps.append(names)
+        return self
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = df.withColumns(step) if isinstance(step, dict) else df.drop(*step)
+        return df
+
+
+_recipes: dict[str, _Recipe] = {}
+
+
+def _recipe(session_id: str) -> _Recipe:
+    """The expressions of all features, built once for a session: they are the same for every table of pages."""
+    if session_id not in _recipes:
+        out = _Recipe()
+        for step in (parsed_elements, core, wcag, performance, privacy, seo, best_practices, keywords, answers):
+            out = step(out)
+        _recipes.clear()
+        _recipes[session_id] = out
+    return _recipes[session_id]
+
+
 def page_features(pages: DataFrame, keyword: Column | None = None) -> DataFrame:
     """All features of pages(url, html, ...); ``has_sitemap`` is false where the pages do not say."""
-    df = parsed_elements(pages)
-    for step in (core, wcag, performance, privacy, seo, best_practices, keywords, answers):
-        df = step(df)
+    df = _recipe(pages.sparkSession.sparkContext.applicationId).applied(pages)
     df = target_keyword(df, keyword)
     return df if "has_sitemap" in df.columns else df.withColumn("has_sitemap", F.lit(False))
 

@@ -7,6 +7,7 @@ rows of the resulting array. Users may pass rules of their own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,27 +83,23 @@ RULES: list[Rule] = [
 
 def fired(rules: list[Rule] = RULES) -> Column:
     """The findings of a page in the rules' order: array of (ordinal, rule_id, category, severity, penalty, detail)."""
-    each = [
-        F.when(
-            F.expr(r.when),
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.category).alias("category"),
-                F.expr(r.severity).alias("severity"),
-                F.expr(r.penalty).cast("int").alias("penalty"),
-                F.expr(r.detail).alias("detail"),
-            ),
-        )
+    each = ", ".join(
+        f"if({r.when}, named_struct('ordinal', {i}, 'rule_id', '{r.rule_id}', 'category', '{r.category}', 'severity', {r.severity},"
+        f" 'penalty', cast({r.penalty} as int), 'detail', {r.detail}), null)"
         for i, r in enumerate(rules)
-    ]
-    return F.array_compact(F.array(*each))
+    )
+    return F.expr(f"array_compact(array({each}))")
 
 
 def with_findings(features: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Add the findings and the score of every category, 100 less its penalties, held between 0 and 100."""
     df = features.withColumn("findings", fired(rules))
-    return df.withColumns({c: clamped(100 - _lost(c)) for c in CATEGORIES})
+    return df.withColumns(_scores(features.sparkSession.sparkContext.applicationId))
+
+
+@lru_cache(maxsize=1)
+def _scores(_session_id: str) -> dict[str, Column]:
+    return {c: clamped(100 - _lost(c)) for c in CATEGORIES}
 
 
 def _lost(category: str) -> Column:
