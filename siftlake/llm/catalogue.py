@@ -24,6 +24,7 @@ def oracle_sql():
     return {
         "op1_curriculum_mix": mixing.OP1_SQL,
         "op4_impact_topk": vectors.OP4_SQL,
+        "op5_jump_sharding": sharding.OP5_SQL,
         "op8_bbit_minhash": minhash.OP8_SQL,
         "op9_line_quality": quality.OP9_SQL,
         "op10_sentence_spans": substrings.OP10_SQL,

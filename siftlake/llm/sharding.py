@@ -53,7 +53,8 @@ def assign_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot"
     task ever holds a whole shard. The table of bucket sizes has at most shards
     x buckets rows.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    spread = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    df = df.withColumn("_bucket", F.conv(F.substring(spread, 1, 8), 16, 10).cast("long") % buckets)
     within = Window.partitionBy(shard, "_bucket").orderBy(*order)
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
@@ -79,3 +80,40 @@ def op5_jump_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:
     return assign_slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+OP5_SQL = r"""
+with recursive
+tab0(i, k, c) as (
+  select i, 0, i::bigint from range(0, 256) r(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from tab0 where k < 8
+),
+tab as (select list(c order by i) as t from tab0 where k = 8),
+d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, '') as key from documents
+),
+hx as (select r, hex(encode(text)) as h from d),
+crc as (
+  select r, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as crc
+  from hx, tab
+),
+jump(r, n, b, j, i) as (
+  select r, n, -1::bigint, 0::bigint, 0 from d, (select unnest([40, 41]) as n)
+  union all
+  select jump.r, n, j, floor((j + 1) * 4294967296.0::double / (('0x' || substr(md5(key || ':' || (i + 1)), 1, 8))::bigint + 1))::bigint, i + 1
+  from jump join d on d.r = jump.r where j < n
+),
+place as (select r, max(b) filter (where n = 40) as shard, max(b) filter (where n = 41) as grown from jump where j >= n group by r),
+whole as (
+  select doc_id, (strlen(text) + 16)::bigint as size, crc as text_crc32, shard::int as shard, grown::int as grown_shard
+  from d join crc using (r) join place using (r)
+),
+dealt as (
+  select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || text_crc32 || ':' || size), 1, 8))::bigint % 256 as bucket from whole
+)
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
+  row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1 as slot
+from dealt
+"""
