@@ -12,9 +12,9 @@
 4. Each member's best star pair is confirmed on full shingle sets, and the
    confirmed links give first components. Buckets whose members are all in one
    component need no more work. In the others, members outside the largest
-   component meet the rest in blocks and are compared by bit counts. Of the
-   pairs between components that remain, first each document's likeliest one is
-   confirmed, then, with the new components, all that still join two.
+   component meet the rest in blocks: inside a block bit counts choose the
+   pairs between components, full sets confirm them, and only links that join
+   two components leave it.
 
 No step makes all pairs of a group: copies meet only their class, near copies
 their centres, and what is left meets other components.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from siftlake.llm.components import components
 from siftlake.llm.hashing import mixed, shingles, text_bytes, word_hashes
 from siftlake.llm.text import row_hash
-from siftlake.session import shipped, staged, table
+from siftlake.session import exploded, shipped, staged, table
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
@@ -48,7 +48,7 @@ LANES = MINIMA * BITS // 64
 #: Estimates below this are not confirmed.
 LEAST_ESTIMATE = 0.58
 #: Members of a bucket that are compared with each other in one group.
-BLOCK = 512
+BLOCK = 256
 SHINGLE = 5
 
 _FACTORS = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
@@ -153,36 +153,111 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(out, "minhash-labels")
 
 
-def candidates_between(members: DataFrame, labels: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Pairs (a, b, estimate) of one bucket and different components whose estimate is high enough; each pair once.
+def _block_links(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between members of one block that join components still apart; at most one less than its members."""
+    rep, root, side = (np.array(rows[c], np.int64) for c in ("rep", "root", "side"))
+    lanes = np.array(rows["lanes"], np.int64).view(np.uint64)
+    bands = np.array(rows["bands"], np.int64)
+    major, number = rows["major"][0], rows["number"][0]
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    parent = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    sets: dict[int, np.ndarray] = {}
+
+    def grams(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(word_hashes(np.frombuffer(rows["text"][i].encode(), np.uint8)), SHINGLE)
+        return sets[i]
+
+    links = []
+    for i in x:
+        apart = (root[y] != root[i]) & ((root[y] == major) | (rep[i] > rep[y]))
+        near = y[apart]
+        # a pair is taken up in the first band that it shares
+        near = near[np.argmax(bands[near] == bands[i], axis=1) == number] if len(near) else near
+        if not len(near):
+            continue
+        bits = lanes[near] ^ lanes[i]
+        bits |= bits >> np.uint64(1)
+        bits = (bits | bits >> np.uint64(2)) & np.uint64(0x1111111111111111)
+        equal = 1 - np.bitwise_count(bits).sum(axis=1) / MINIMA
+        alike = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+        order = np.argsort(-alike, kind="stable")
+        near = near[order][alike[order] >= LEAST_ESTIMATE]
+        for part in np.array_split(near, -(-len(near) // 64)) if len(near) else ():
+            part = [j for j in part if find(int(root[j])) != find(int(root[i]))]
+            if not part:
+                continue
+            mine, others = grams(i), [grams(j) for j in part]
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            sizes = np.array([len(o) for o in others])
+            both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for j, n, size in zip(part, both.tolist(), sizes.tolist(), strict=True):
+                a, b = find(int(root[i])), find(int(root[j]))
+                if a != b and n and 100 * n >= percent * (len(mine) + size - n):
+                    parent[max(a, b)] = min(a, b)
+                    links.append((int(rep[i]), int(rep[j])))
+    return links
+
+
+_PLAIN = ("rep", "root", "major", "number", "side", "bands", "text")
+
+
+def _compare(percent: int):
+    def run(batches):
+        key, held = None, {c: [] for c in (*_PLAIN, "lanes")}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("band", "i", "j", *_PLAIN)}
+            lanes = list(zip(*(batch.column(s).to_pylist() for s in SIGNATURE), strict=True))
+            out = []
+            for n, now in enumerate(zip(columns["band"], columns["i"], columns["j"], strict=True)):
+                if now != key:
+                    out += _block_links(held, percent) if held["rep"] else []
+                    key, held = now, {c: [] for c in held}
+                for c in _PLAIN:
+                    held[c].append(columns[c][n])
+                held["lanes"].append(lanes[n])
+            yield _as_links(out)
+        yield _as_links(_block_links(held, percent) if held["rep"] else [])
+
+    return run
+
+
+def _as_links(links) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def links_between(members: DataFrame, labels: DataFrame, lanes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between members of one bucket in different components.
 
     In every bucket the members outside its largest component meet all others.
-    Both sides are dealt into blocks of BLOCK, so a group of the join is bounded
-    and a bucket whose members are in one component makes no rows at all.
+    Both sides are dealt into blocks of BLOCK members; a block's rows come one
+    after another to a task, which compares and confirms in memory and gives out
+    only links that join components. A bucket whose members are in one component
+    makes no rows at all.
     """
     labelled = members.select("rep", "band", "number").join(labels.withColumnRenamed("node", "rep"), "rep")
     parts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
     parts = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("roots"))
     parts = parts.filter("roots > 1").select("band", F.col("m.root").alias("major"), "all", (F.col("all") - F.col("m.n")).alias("rest"))
-    rows = labelled.join(parts, "band").join(lanes, "rep")
+    rows = labelled.join(parts, "band").join(lanes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    rows = staged(rows, "minhash-open")
-    x = rows.filter("root <> major").select("*", mine("rest").alias("i"), spread("all").alias("j")).alias("x")
-    y = rows.select("*", spread("rest").alias("i"), mine("all").alias("j")).alias("y")
-    same = F.zip_with("x.bands", "y.bands", lambda p, q: p == q)
-    first = ~F.exists(F.slice(same, F.lit(1), F.col("x.number")), lambda e: e)
-    meet = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.i") == F.col("y.i"))
-        & (F.col("x.j") == F.col("y.j"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.major")) | (F.col("x.rep") > F.col("y.rep")))
-        & (estimate("x", "y") >= LEAST_ESTIMATE)
-        & first
-    )
-    return x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), estimate("x", "y").alias("estimate"))
+    spread = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    as_x = F.when(F.col("root") != F.col("major"), F.transform(spread("all"), lambda j: place(mine("rest"), j, 0)))
+    as_y = F.transform(spread("rest"), lambda i: place(i, mine("all"), 1))
+    places = F.concat(F.coalesce(as_x, F.array().cast("array<struct<i:int,j:int,side:int>>")), as_y)
+    rows = exploded(rows, places, "_p", "band", "rep", "root", "major", "number", "bands", "text", *SIGNATURE)
+    rows = rows.select("*", "_p.i", "_p.j", "_p.side").drop("_p")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return shipped(dealt).mapInArrow(_compare(percent), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -197,6 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     lanes = classes.select("rep", "bands", *SIGNATURE)
     in_bands = classes.select("rep", F.posexplode("bands").alias("number", "band"))
     buckets = in_bands.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
+    buckets = staged(buckets, "minhash-buckets")
     members = staged(in_bands.join(buckets, "band"), "minhash-members")
 
     # texts of the members of any shared bucket; other texts are not read again
@@ -215,15 +292,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = taking_part.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
     labels = relabelled(labels, staged(confirm(best(stars), texts, percent), "minhash-links"))
 
-    # what the stars have left apart: first each document's likeliest partner, then every pair still between components
-    open_pairs = staged(candidates_between(members, labels, lanes), "minhash-pairs")
-    if not open_pairs.isEmpty():
-        likely = staged(best(open_pairs), "minhash-likely")
-        labels = relabelled(labels, staged(confirm(likely, texts, percent), "minhash-links"))
-        root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        rest = open_pairs.join(root("a"), "a").join(root("b"), "b").filter("root_a <> root_b").select("a", "b")
-        rest = rest.join(likely, ["a", "b"], "left_anti")
-        labels = relabelled(labels, staged(confirm(rest, texts, percent), "minhash-links"))
+    # what the stars have left apart
+    labels = relabelled(labels, staged(links_between(members, labels, lanes, texts, percent), "minhash-links"))
 
     by_set = live.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "rep")
     linked = by_set.join(labels, by_set["rep"] == labels["node"], "left")
