@@ -6,8 +6,9 @@ and not on their numbers: lines inserted before a shared passage shift nothing
 in it. Chunks of several lines that occur more than once in the corpus are
 removed everywhere but at their first place, after their bytes are compared.
 
-Counting is over hashes alone. Only chunks whose hash repeats carry their text;
-grouping and joining them by hash and text is the byte comparison. Counts are
+Counting is over hashes alone. Documents that hold a chunk whose hash repeats
+are then met with it, and only such chunks carry their text on; grouping and
+joining them by hash and text is the byte comparison. Counts are
 map-side combined and the joins are ones that adaptive execution splits, so a
 chunk that a third of all documents hold is never gathered anywhere. First
 means the smallest doc_id, then the earliest line in it.
@@ -33,7 +34,7 @@ MEAN_LINES = 3
 
 
 def chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """One row for each chunk of two lines or more: doc_id, row_hash, first and last line, hash; its text as ``chunk``."""
+    """One row for each chunk of two lines or more that are not all blank: doc_id, row_hash, first and last line, hash."""
     df = docs.select("doc_id", row_hash("text").alias("row_hash"), F.split(whole("text"), "\n").alias("_lines"))
     df = df.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
     last = F.size("_hashes") - 1
@@ -41,36 +42,49 @@ def chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES)
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolling(i), F.lit(mean_lines)) == 0))
     df = df.withColumn("_ends", ends)
     begin = lambda j: F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0))
+    part = lambda x, c: F.slice(x, c["first"] + 1, c["last"] - c["first"] + 1)
     made = F.transform("_ends", lambda e, j: F.struct(begin(j).alias("first"), e.alias("last")))
-    made = F.filter(made, lambda c: c["last"] > c["first"])
-    df = exploded(df, made, "_c", "doc_id", "row_hash", "_lines", "_hashes")
-    part = lambda x: F.slice(x, F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1)
-    return df.select(
-        "doc_id", "row_hash", "_c.first", "_c.last", F.xxhash64(part("_hashes")).alias("hash"),
-        F.array_join(part("_lines"), "\n").alias("chunk"),
-    ).filter(F.btrim("chunk", F.lit(SPACE)) != "")
-
-
-def repeated_chunks(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, row_hash, first, last of every chunk that is not the first with its bytes."""
-    every = chunks(docs, **settings)
-    # written first, so that the joins are between two shuffles, which adaptive execution may split at hot keys
+    made = F.filter(made, lambda c: (c["last"] > c["first"]) & F.exists(part("_lines", c), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    made = F.transform(made, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(part("_hashes", c)).alias("hash")))
+    return exploded(df, made, "_c", "doc_id", "row_hash").select("doc_id", "row_hash", "_c.*")
+
+
+def repeated_hashes(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, row_hash and the chunks (first, last, hash) whose hash occurs more than once; no text is shuffled."""
+    every = staged(chunks(docs, **settings), "line-chunks")
+    # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
     shared = staged(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "line-shared")
-    candidates = staged(every.join(shared, "hash").withColumn("place", place("doc_id", F.col("first"))), "line-chunks")
-    same_bytes = candidates.groupBy("hash", "chunk").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
-    same_bytes = staged(same_bytes, "line-bytes")
-    found = candidates.join(same_bytes, ["hash", "chunk"]).filter(F.col("place") > F.col("first_place"))
-    return found.select("doc_id", "row_hash", "first", "last").distinct()
+    found = every.join(shared, "hash").groupBy("doc_id", "row_hash")
+    return found.agg(F.collect_set(F.struct("first", "last", "hash")).alias("_ranges"))
+
+
+def not_first(touched: DataFrame) -> DataFrame:
+    """_doc_id, _row_hash and the sorted chunks that are not the first with their bytes, from rows with _doc and _ranges."""
+    lines = touched.select("_doc_id", "_row_hash", F.split("_doc.text", "\n").alias("_lines"), "_ranges")
+    rows = exploded(lines, "_ranges", "_c", "_doc_id", "_row_hash", "_lines")
+    body = F.array_join(F.slice("_lines", F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1), "\n")
+    rows = rows.select("_doc_id", "_row_hash", "_c.*", body.alias("chunk")).withColumn("place", place("_doc_id", F.col("first")))
+    same_bytes = rows.groupBy("hash", "chunk").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
+    same_bytes = staged(same_bytes.drop("n"), "line-bytes")
+    found = rows.join(same_bytes, ["hash", "chunk"]).filter(F.col("place") > F.col("first_place"))
+    return found.groupBy("_doc_id", "_row_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_cut"))
 
 
 def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with their own columns, text cleaned, and n_removed (lines removed)."""
+    """The documents with their own columns, text cleaned, and n_removed (lines removed).
+
+    The texts are shuffled once, to meet the chunks whose hash repeats; from
+    there documents without such chunks go straight to the result.
+    """
     own = docs.columns
-    ranges = repeated_chunks(docs, **settings).groupBy("doc_id", "row_hash")
-    ranges = ranges.agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cut"))
-    ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_cut")
+    ranges = repeated_hashes(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_ranges")
     df = docs.select(F.struct(*own).alias("_doc"), F.col("doc_id").alias("_doc_id"), row_hash("text").alias("_row_hash"))
-    df = df.join(ranges, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
+    # ranges grow with the corpus: never broadcast
+    met = df.join(ranges.hint("merge"), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
+    met = staged(met.select("_doc", "_doc_id", "_row_hash", "_ranges"), "line-documents")
+    touched = met.filter(F.col("_ranges").isNotNull())
+    cuts = not_first(touched).select(F.col("_doc_id").alias("_id"), F.col("_row_hash").alias("_hash"), "_cut")
+    df = touched.join(cuts, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
     df = df.withColumn("_lines", F.when(F.col("_cut").isNotNull(), F.split("_doc.text", "\n")))
     after = lambda i: F.coalesce(F.get("_cut", i - 1)["last"] + 1, F.lit(0))
     kept = F.flatten(F.transform("_cut", lambda r, i: F.slice("_lines", after(i) + 1, r["first"] - after(i))))
@@ -78,10 +92,10 @@ def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     kept = F.concat(kept, F.slice("_lines", tail + 1, F.size("_lines") - tail))
     text = F.when(F.col("_cut").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("_doc.text"))
     n = F.aggregate("_cut", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
-    return df.select(
-        *[text.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in own],
-        F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"),
-    )
+    field = lambda c: F.col("_doc").getField(c).alias(c)
+    cleaned = df.select(*[text.alias(c) if c == "text" else field(c) for c in own], F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"))
+    rest = met.filter(F.col("_ranges").isNull()).select(*map(field, own), F.lit(0).cast("long").alias("n_removed"))
+    return cleaned.unionByName(rest)
 
 
 def op2_line_chunks(spark, sf_dir: str) -> DataFrame:
