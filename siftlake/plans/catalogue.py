@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import dims, text
-from siftlake.operators import crawl, features, reports, rules
+from siftlake.operators import crawl, events, features, reports, rules
 from siftlake.plans import decorate
 from siftlake.plans.decorate import KEYWORD, decorated
 from siftlake.plans.oracle import audit, decode, host, low, occurrences, prelude, q, third, trim, words
@@ -305,6 +305,82 @@ def score_regressions(spark, sf_dir):
     return reports.score_deltas(fresh, old, "page_id")
 
 
+# -- events and lines -----------------------------------------------------------------------------------------------
+
+_SCORES_JSON = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in dims.CATEGORIES) + " || '}'"
+
+
+@query(
+    _AUDIT + "select page_id, 'event: page' || chr(10) || 'data: {\"url\":\"' || url || '\",\"status\":200,\"scores\":' || " + _SCORES_JSON
+    + " || ',\"findings\":' || (select count(*) from fi where fi.page_id = sc.page_id) || '}' || chr(10) || chr(10) as event from sc"
+)
+def page_events(spark, sf_dir):
+    return events.page_events(_audited(spark, sf_dir), "page_id")
+
+
+@query(
+    _AUDIT + "select 'event: done' || chr(10) || 'data: {\"total_pages\":' || (select count(*) from f) || ',\"total_findings\":' || count(*)"
+    + "".join(f" || ',\"{s}\":' || count(*) filter (where severity = '{s}')" for s in dims.SEVERITIES) + " || '}' || chr(10) || chr(10) as event from fi"
+)
+def done_event(spark, sf_dir):
+    return events.done_event(reports.crawl_totals(_audited(spark, sf_dir)))
+
+
+@query(
+    _DIFF + "select page_id, category, '  ' || rpad(category, 18, ' ') || ' ' || before || ' -> ' || after || ' (' || case when after > before then '+' else '-' end || abs(after - before)"
+    f" || ')' || case when before - after >= 5 then ' [REGRESSION]' else '' end as line from (select a.page_id, a.category, b.score as before, a.score as after from ({_UNPIVOT}) a"
+    f" join ({_UNPIVOT.replace('from sc', 'from sc2')}) b on a.page_id = b.page_id and a.category = b.category) where before <> after"
+)
+def diff_lines(spark, sf_dir):
+    return events.diff_lines(score_regressions(spark, sf_dir), "page_id")
+
+
+@query()
+def goals_json(spark, sf_dir):
+    return events.goals_json(_covered(spark, sf_dir), "page_id")
+
+
+_TARGETS = [*events.ROUTES, "/projects/7", "/projects/7/audit", "/projects/", "/nope", "/api/audit?url=a"]
+_TARGET_SQL = "case event_id % {n} ".format(n=len(_TARGETS)) + " ".join(f"when {i} then '{t}'" for i, t in enumerate(_TARGETS)) + " end"
+_ROUTE_SQL = (
+    "case " + " ".join(f"when split_part(t, '?', 1) = '{p}' then '{r}'" for p, r in events.ROUTES.items())
+    + " when starts_with(t, '/projects/') and len(t) > 10 then case when ends_with(t, '/audit') then 'project_audit' else 'project_get' end else 'not_found' end"
+)
+
+
+@query(f"select {_ROUTE_SQL} as route, count(*)::bigint as n, count(distinct user_id)::bigint as users from (select user_id, {_TARGET_SQL} as t from events) group by 1")
+def route_counts(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select("user_id", F.expr(_TARGET_SQL).alias("target"))
+    return requests.groupBy(events.route("target").alias("route")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+_TYPE_SQL = "case when event_id % 11 = 0 then 'progress' when event_id % 97 = 5 then 'done' when event_id % 89 = 7 then 'error' else 'page' end"
+
+
+@query(
+    f"select user_id, max_by(u, event_id) filter (where type = 'progress') as working_on, count(*) filter (where type = 'page')::bigint as pages,"
+    f" coalesce(max_by(type, event_id) filter (where type in ('done', 'error')), 'running') as status"
+    f" from (select user_id, event_id, {_TYPE_SQL} as type, 'u' || event_id as u from events) group by 1"
+)
+def reader_state(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ordinal"), F.expr(_TYPE_SQL).alias("type"), F.expr("concat('u', event_id)").alias("url"))
+    return events.reader_state(log, "user_id")
+
+
+@query("select count(*) = count(distinct event_id) as no_duplicates, (select count(*) = 0 from events a join events b on b.event_id = a.event_id + 1 and a.ts >= b.ts) as is_sorted from events")
+def version_checks(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", "ts")
+    checks = events.version_checks(log.select("event_id", F.col("ts").alias("version")), "event_id", "version").select("is_sorted")
+    return events.version_checks(log.select("event_id", F.col("event_id").alias("version")), "event_id", "version").select("no_duplicates").crossJoin(checks)
+
+
+@query("select user_id, count(*)::bigint as runs, count(*) filter (where event_id % 3 <> 0 and ts > timestamp '2024-01-15')::bigint as valid from events group by 1")
+def valid_tokens(spark, sf_dir):
+    log = table(spark, sf_dir, "events").withColumn("revoked_at", F.expr("if(event_id % 3 = 0, ts, null)"))
+    valid = events.is_valid_token("revoked_at", "ts", F.lit("2024-01-15").cast("timestamp_ntz"))
+    return log.groupBy("user_id").agg(F.count("*").alias("runs"), F.count_if(valid).alias("valid"))
+
+
 # -- exports and addresses ------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from siftlake.functions import text
-from siftlake.operators import crawl
+from siftlake.operators import crawl, events
 from siftlake.sources import enrich, robots, sitemaps
 from siftlake.streaming import totals
 
@@ -104,3 +104,13 @@ def test_events(spark):
     lines = ['{"type":"page","url":"u","status":200}', "broken", '{"type":"odd"}', '{"type":"done","total_pages":3}']
     out = totals.parsed_events(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [(r["type"], r["url"], r["total_pages"]) for r in out] == [("page", "u", None), ("done", None, 3)]
+
+
+def test_routes_and_requests(spark):
+    rows = [("/api/audit?url=x", "audit"), ("/projects/", "not_found"), ("/projects/1", "project_get"), ("/projects/1/audit", "project_audit"), ("/projects", "projects_list"), ("/x", "not_found")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", events.route("t").alias("got")).collect())
+    asked = spark.createDataFrame([("/api/crawl?url=u&depth=x&runners=9",), ("/api/crawl?depth=2",)], "t string").select(events.crawl_parameters("t").alias("p")).collect()
+    assert tuple(asked[0]["p"]) == ("u", 1, 9, None) and asked[1]["p"] is None
+    agent = spark.range(1).select(events.user_agent(F.lit("bot"), F.lit("1"), F.lit("c"), F.lit("mobile")).alias("a")).first()["a"]
+    assert agent == "bot/1 (site auditor; c; profile=mobile)"
