@@ -15,7 +15,7 @@ _coders: dict = {}
 
 
 class ChunkCoder:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
