@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.text import SPACE, row_hash, whole
-from siftlake.session import staged, table
+from siftlake.session import exploded, staged, table
 
 RUN = 2
 MIN_WORDS = 20
@@ -63,12 +63,8 @@ def spans(docs: DataFrame, run: int = RUN) -> DataFrame:
             ),
         ),
     )
-    return (
-        docs.select("doc_id", row_hash("text").alias("row_hash"), sentences("text").alias("_pieces"))
-        .withColumn("_known", known)
-        .select("doc_id", "row_hash", F.explode(runs).alias("_run"))
-        .select("doc_id", "row_hash", "_run.*")
-    )
+    df = docs.select("doc_id", row_hash("text").alias("row_hash"), sentences("text").alias("_pieces")).withColumn("_known", known)
+    return exploded(df, runs, "_run", "doc_id", "row_hash").select("doc_id", "row_hash", "_run.*")
 
 
 def repeated_regions(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -76,6 +72,8 @@ def repeated_regions(docs: DataFrame, run: int = RUN) -> DataFrame:
     every = staged(spans(docs, run), "spans")
     ordered = every.withColumn("place", place("doc_id", F.col("k")))
     shared = ordered.groupBy("hash").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
+    # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
+    shared = staged(shared, "shared-spans")
     found = ordered.join(shared, "hash").filter(F.col("place") > F.col("first_place"))
     found = found.select("doc_id", "row_hash", "k", "first", "last").distinct()
     # runs that overlap or touch make one region
