@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.session import staged
+from siftlake.session import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     seen = None
     for _ in range(most_rounds):
-        edges = staged(_star(_star(edges, large=True), large=False), "stars")
+        before, edges = edges, staged(_star(_star(edges, large=True), large=False), "stars")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

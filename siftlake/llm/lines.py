@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.substrings import place
 from siftlake.llm.text import SPACE, row_hash, whole
-from siftlake.session import exploded, staged, table
+from siftlake.session import discard_between, exploded, staged, staged_so_far, table
 
 WINDOW = 2
 #: A chunk ends after one line in so many.
@@ -77,11 +77,15 @@ def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     there documents without such chunks go straight to the result.
     """
     own = docs.columns
+    mark = staged_so_far()
     ranges = repeated_hashes(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_ranges")
     df = docs.select(F.struct(*own).alias("_doc"), F.col("doc_id").alias("_doc_id"), row_hash("text").alias("_row_hash"))
     # ranges grow with the corpus: never broadcast
     met = df.join(ranges.hint("merge"), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
-    met = staged(met.select("_doc", "_doc_id", "_row_hash", "_ranges"), "line-documents")
+    met = met.select("_doc", "_doc_id", "_row_hash", "_ranges")
+    counted = staged_so_far()
+    met = staged(met, "line-documents")
+    discard_between(docs.sparkSession, mark, counted)
     touched = met.filter(F.col("_ranges").isNotNull())
     cuts = not_first(touched).select(F.col("_doc_id").alias("_id"), F.col("_row_hash").alias("_hash"), "_cut")
     df = touched.join(cuts, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from siftlake.llm.components import components
 from siftlake.llm.hashing import mixed, shingles, text_bytes, word_hashes
 from siftlake.llm.text import row_hash
-from siftlake.session import exploded, shipped, staged, table
+from siftlake.session import discard, exploded, shipped, staged, table
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
@@ -148,9 +148,11 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = staged(between.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct(), "minhash-between")
     if between.isEmpty():
         return labels
-    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    out = labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return staged(out, "minhash-labels")
+    found = components(between)
+    moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = staged(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "minhash-labels")
+    discard(between)
+    return out
 
 
 def _block_links(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
@@ -275,6 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
     buckets = staged(buckets, "minhash-buckets")
     members = staged(in_bands.join(buckets, "band"), "minhash-members")
+    discard(buckets)
 
     # texts of the members of any shared bucket; other texts are not read again
     taking_part = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-nodes")
@@ -290,10 +293,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     best = lambda pairs: pairs.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     labels = taking_part.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
-    labels = relabelled(labels, staged(confirm(best(stars), texts, percent), "minhash-links"))
+    links = staged(confirm(best(stars), texts, percent), "minhash-links")
+    labels = relabelled(labels, links)
 
     # what the stars have left apart
-    labels = relabelled(labels, staged(links_between(members, labels, lanes, texts, percent), "minhash-links"))
+    more = staged(links_between(members, labels, lanes, texts, percent), "minhash-links")
+    labels = staged(relabelled(labels, more), "minhash-roots")
+    discard(members, taking_part, texts, links, more)
 
     by_set = live.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "rep")
     linked = by_set.join(labels, by_set["rep"] == labels["node"], "left")

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from siftlake.llm import catalogue
-from siftlake.session import table
+from siftlake.session import staged, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,7 +9,7 @@ def test_stages_keep_columns_and_act(spark):
     docs = table(spark, SF, "documents")
     columns, counts = docs.columns, [docs.count()]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
+        docs = staged(stage(spark, docs, SF), "test")
         assert docs.columns == columns
         counts.append(docs.count())
     assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] < counts[2]
