@@ -3,32 +3,58 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and reads it again as the next one's docs.
 All but the last return the columns of the documents.
+
+A stage's result must be written before the next stage is called: what a stage
+has staged for itself is deleted when the next one begins, so the shared folder
+never holds the intermediate tables of two stages.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm import lines, minhash, mixing, packing, toxicity
 from siftlake.llm.text import row_hash
-from siftlake.session import staged, table
+from siftlake.session import discard, discard_between, staged, staged_so_far, table
 
 #: No SQL: classification, packing and tokenisation cannot be expressed in it.
 ORACLE_SQL = None
 
 
+_last: list[list] = [[], []]
+
+
+def stage(f):
+    """Delete the intermediate tables of the stage before, and note those of this one."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_between(spark, *_last)
+        before = staged_so_far()
+        out = f(spark, docs, sf_dir)
+        _last[:] = before, staged_so_far()
+        return out
+
+    return run_stage
+
+
+@stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated multi-line chunks."""
     return lines.without_repeated_lines(docs).select(*docs.columns)
 
 
+@stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat a doc_id one stays, rows without one all stay."""
     kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
@@ -38,11 +64,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(docs.filter("doc_id is null"))
 
 
+@stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources in training order; a document appears once for each pass that takes it."""
     return mixing.mix(docs)
 
 
+@stage
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their sequence and place."""
     packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -60,7 +88,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, f in STAGES[:-1]:
+        docs = staged(f(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

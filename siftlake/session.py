@@ -60,7 +60,39 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append((sc_id := spark.sparkContext.applicationId, path))
+    out.staged_at = (sc_id, path)
+    return out
+
+
+#: Staged tables that are still there: (application, path), in the order written.
+_written: list[tuple[str, str]] = []
+
+
+def _delete(spark: SparkSession, entries: list[tuple[str, str]]) -> None:
+    for entry in entries:
+        if entry in _written:
+            _written.remove(entry)
+            if entry[0] == spark.sparkContext.applicationId:
+                at = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose readers have all been written."""
+    for df in tables:
+        _delete(df.sparkSession, [df.staged_at])
+
+
+def staged_so_far() -> list[tuple[str, str]]:
+    """A mark: what has been staged and not deleted."""
+    return list(_written)
+
+
+def discard_between(spark: SparkSession, mark: list[tuple[str, str]], until: list[tuple[str, str]] | None = None) -> None:
+    """Delete what was staged after ``mark`` and, if given, before ``until`` was taken; its readers must have been written."""
+    _delete(spark, [entry for entry in (list(_written) if until is None else until) if entry not in mark])
 
 
 def exploded(df: DataFrame, array: Column | str, name: str, *keys: str) -> DataFrame:
