@@ -3,8 +3,12 @@
 Lines are hashed, and a hash rolling over ``WINDOW`` of them ends a chunk where
 it falls into one residue class, so boundaries depend on the lines around them
 and not on their numbers: lines inserted before a shared passage shift nothing
-in it. Chunks of several lines that occur more than once in the corpus are
-removed everywhere but at their first place, after their bytes are compared.
+in it. A passage's edges fall inside chunks and a short one may hold none, so
+every two neighbouring lines with text, and the blank lines between them, are a
+chunk too. Chunks of several lines that occur more than once in the corpus are
+removed everywhere but at their first place, after their bytes are compared; a
+repeat that overlaps its first place loses only what lies after it. So of every
+run of two or more lines with text that an earlier place holds, no line stays.
 
 Counting is over hashes alone. Documents that hold a chunk whose hash repeats
 are then met with it, and only such chunks carry their text on; grouping and
@@ -36,17 +40,24 @@ MEAN_LINES = 3
 def chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES) -> DataFrame:
     """One row for each chunk of two lines or more that are not all blank: doc_id, row_hash, first and last line, hash."""
     df = docs.select("doc_id", row_hash("text").alias("row_hash"), F.split(whole("text"), "\n").alias("_lines"))
+    filled = lambda x: F.btrim(x, F.lit(SPACE)) != ""
     df = df.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
     last = F.size("_hashes") - 1
     rolling = lambda i: F.xxhash64(F.slice("_hashes", F.greatest(i - (window - 2), F.lit(1)), F.least(i + 1, F.lit(window))))
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolling(i), F.lit(mean_lines)) == 0))
-    df = df.withColumn("_ends", ends)
+    df = df.withColumn("_ends", ends).withColumn("_filled", F.filter(F.sequence(F.lit(0), last), lambda i: filled(F.get("_lines", i))))
     begin = lambda j: F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0))
     part = lambda x, c: F.slice(x, c["first"] + 1, c["last"] - c["first"] + 1)
     made = F.transform("_ends", lambda e, j: F.struct(begin(j).alias("first"), e.alias("last")))
-    made = F.filter(made, lambda c: (c["last"] > c["first"]) & F.exists(part("_lines", c), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    n_filled = lambda c: F.size(F.filter(part("_lines", c), filled))
+    inner = lambda c: filled(F.get("_lines", c["first"])) & filled(F.get("_lines", c["last"]))
+    # a chunk of two lines with text at its ends is a pair
+    made = F.filter(made, lambda c: (c["last"] > c["first"]) & (n_filled(c) > F.when(inner(c), 2).otherwise(0)))
     made = F.transform(made, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(part("_hashes", c)).alias("hash")))
-    return exploded(df, made, "_c", "doc_id", "row_hash").select("doc_id", "row_hash", "_c.*")
+    next_to = lambda i, j: F.xxhash64(F.get("_hashes", i), F.get("_hashes", j), j - i)
+    pair = lambda i, j: F.struct(i.alias("first"), j.alias("last"), next_to(i, j).alias("hash"))
+    pairs = F.transform(F.slice("_filled", 1, F.greatest(F.size("_filled") - 1, F.lit(0))), lambda i, k: pair(i, F.get("_filled", k + 1)))
+    return exploded(df, F.concat(made, pairs), "_c", "doc_id", "row_hash").select("doc_id", "row_hash", "_c.*")
 
 
 def repeated_hashes(docs: DataFrame, **settings) -> DataFrame:
@@ -59,15 +70,27 @@ def repeated_hashes(docs: DataFrame, **settings) -> DataFrame:
 
 
 def not_first(touched: DataFrame) -> DataFrame:
-    """_doc_id, _row_hash and the sorted chunks that are not the first with their bytes, from rows with _doc and _ranges."""
+    """_doc_id, _row_hash and the sorted, separate line ranges of chunks that are not the first with their bytes, from rows with _doc and _ranges."""
     lines = touched.select("_doc_id", "_row_hash", F.split("_doc.text", "\n").alias("_lines"), "_ranges")
-    rows = exploded(lines, "_ranges", "_c", "_doc_id", "_row_hash", "_lines")
-    body = F.array_join(F.slice("_lines", F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1), "\n")
-    rows = rows.select("_doc_id", "_row_hash", "_c.*", body.alias("chunk")).withColumn("place", place("_doc_id", F.col("first")))
+    line = lambda i: F.get("_lines", i)
+    part = lambda c: F.array_join(F.slice("_lines", c["first"] + 1, c["last"] - c["first"] + 1), "\n")
+    body = lambda c: F.when(c["last"] == c["first"] + 1, F.concat_ws("\n", line(c["first"]), line(c["last"]))).otherwise(part(c))
+    bodies = F.transform("_ranges", lambda c: F.struct(*[c[x].alias(x) for x in ("first", "last", "hash")], body(c).alias("chunk")))
+    rows = exploded(lines, bodies, "_c", "_doc_id", "_row_hash")
+    rows = rows.select("_doc_id", "_row_hash", "_c.*").withColumn("place", place("_doc_id", F.col("first")))
     same_bytes = rows.groupBy("hash", "chunk").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
     same_bytes = staged(same_bytes.drop("n"), "line-bytes")
     found = rows.join(same_bytes, ["hash", "chunk"]).filter(F.col("place") > F.col("first_place"))
-    return found.groupBy("_doc_id", "_row_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_cut"))
+    # lines that the first place holds too stay
+    kept = F.greatest(F.col("last") - F.col("first") + 1 - (F.col("place") - F.col("first_place")), F.lit(0)).cast("int")
+    cut = found.select("_doc_id", "_row_hash", (F.col("first") + kept).alias("first"), "last").groupBy("_doc_id", "_row_hash")
+    cut = cut.agg(F.collect_set(F.struct("first", "last")).alias("_cut"))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("_cut", lambda r: F.sequence(r["first"], r["last"])))))
+    cut = cut.select("_doc_id", "_row_hash", numbers.alias("_numbers"))
+    begins = F.filter("_numbers", lambda x, i: F.coalesce(F.get("_numbers", i - 1) < x - 1, F.lit(True)))
+    ends = F.filter("_numbers", lambda x, i: F.coalesce(F.get("_numbers", i + 1) > x + 1, F.lit(True)))
+    cut = cut.select("_doc_id", "_row_hash", begins.alias("first"), ends.alias("last"))
+    return cut.select("_doc_id", "_row_hash", F.arrays_zip("first", "last").alias("_cut"))
 
 
 def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:

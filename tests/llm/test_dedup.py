@@ -72,6 +72,25 @@ def test_lines_against_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()} == want
 
 
+def test_short_passages_and_edges_are_removed_whole(spark):
+    own = lambda i, n: "\n".join(sentence(5, 1000 * i + j) for j in range(n))
+    passages = ["\n".join(sentence(6, 70000 + 100 * n + j) for j in range(n)) for n in (2, 3, 4, 5, 7, 12)]
+    firsts = [f"{own(2 * i, 2)}\n{p}\n{own(2 * i + 1, 2)}" for i, p in enumerate(passages)]
+    later = [(own(50 + 2 * i, 3), p, own(51 + 2 * i, 1)) for i, p in enumerate(passages)]
+    single = firsts[4].split("\n")[3]
+    texts = firsts + ["\n".join(x) for x in later] + [f"{own(90, 2)}\n{single}\n{own(91, 2)}"]
+    out = {r["doc_id"]: r for r in lines.without_repeated_lines(docs(spark, texts)).collect()}
+    n = len(firsts)
+    assert all(out[i]["text"] == t for i, t in enumerate(firsts)) and out[2 * n]["text"] == texts[-1]
+    assert [out[n + i]["text"] for i in range(n)] == [f"{a}\n{b}" for a, _, b in later]
+    assert [out[n + i]["n_removed"] for i in range(n)] == [p.count("\n") + 1 for p in passages]
+
+
+def test_a_repeat_that_overlaps_its_first_place_leaves_it(spark):
+    out = lines.without_repeated_lines(docs(spark, ["b\na\na\na\na\nc", "x\na\na\na\ny"])).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {0: "b\na\na\nc", 1: "x\ny"}
+
+
 def test_lines_odd_rows(spark):
     out = lines.without_repeated_lines(odd_docs(spark)).collect()
     assert len(out) == 10 and lines.without_repeated_lines(odd_docs(spark).limit(0)).count() == 0
