@@ -2,16 +2,18 @@
 
 A message's lines are parsed by quote level, the number of leading '>' signs.
 Lines of level 0 are its own text; a run of lines of one level is a quoted
-passage. Passages are normalised (white space collapsed, lower case) and
-hashed, and so are the paragraphs and the whole of every message's own text.
-Joining quotes to originals of the same conversation by hash gives each message
-its parent: the latest earlier message that holds a passage quoted at the
-lowest level that is found. Parent links are followed by pointer doubling, and
+passage. A message's own text, each of its runs between quotes and each quoted
+passage are hashed, normalised (white space collapsed, lower case), as a whole,
+by paragraph and by line. Joining quotes to originals of the same conversation
+by hash links a passage where any of its parts is found: by the whole before
+paragraphs before lines, and to the latest message among those of its like
+parts. Each message's parent is the latest earlier message linked at the lowest
+level that is found. Parent links are followed by pointer doubling, and
 the messages come out in reply order: by conversation, thread and turn, without
 quotes, as role-tagged text.
 
-The original of a passage is the first message that holds it, found by a
-map-side combined minimum, so a passage that many messages share is one row in
+The original of a part is the first message that holds it, found by a
+map-side combined minimum, so a part that many messages share is one row in
 the join. Conversations are never gathered in one task; their order is a range
 sort.
 
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from siftlake.session import shipped, staged, table
 
 _LEVEL = re.compile(r"^((?:[ \t]*>)*)[ \t]?(.*)$", re.S)
+#: What separates paragraphs.
+_BLANK = re.compile(r"\n\s*\n")
 #: A line that introduces a quotation, dropped where a quotation follows.
 _INTRO = re.compile(r"^[^>\n]{1,200}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 
@@ -45,8 +49,18 @@ def _hash(passage: str) -> int:
     return xxhash.xxh64_intdigest(passage.encode()) - 2**63
 
 
-def parse(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
-    """A message's own text, the hashes of its own passages, and (level, hash) of each quoted passage."""
+def parts(passage: str) -> dict[str, int]:
+    """The normalised whole (2), paragraphs (1) and lines (0) of a passage, each with the highest of these ranks it has."""
+    out: dict[str, int] = {}
+    for rank, pieces in (2, [passage]), (1, _BLANK.split(passage)), (0, passage.split("\n")):
+        for piece in map(normalised, pieces):
+            if piece:
+                out.setdefault(piece, rank)
+    return out
+
+
+def parse(text: str) -> tuple[str, list[int], list[tuple[int, int, list[tuple[int, int]]]]]:
+    """A message's own text, the hashes of its own passages, and (level, hash, (rank, hash) of its parts) of each quoted passage."""
     runs: list[tuple[int, list[str]]] = []
     for line in text.split("\n"):
         marks, body = _LEVEL.match(line).groups()
@@ -58,21 +72,24 @@ def parse(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     for (level, lines), (following, _) in zip(runs, runs[1:], strict=False):
         if not level and following and lines and _INTRO.match(lines[-1]):
             lines.pop()
-    quotes = [(level, normalised("\n".join(lines))) for level, lines in runs if level]
-    own = "\n".join(line for level, lines in runs if not level for line in lines)
+    quotes = [(level, "\n".join(lines)) for level, lines in runs if level]
+    own_runs = ["\n".join(lines) for level, lines in runs if not level]
+    own = "\n".join(own_runs)
     own = own.strip("\n") if quotes else own
-    passages = {normalised(own), *(normalised(p) for p in re.split(r"\n[ \t]*\n|\n", own))} - {""}
-    return own, [_hash(p) for p in sorted(passages)], [(level, _hash(q)) for level, q in quotes if q]
+    passages = {part for passage in {own, *own_runs} for part in parts(passage)}
+    hashed = [(level, _hash(normalised(q)), [(rank, _hash(part)) for part, rank in parts(q).items()]) for level, q in quotes if q.strip()]
+    return own, [_hash(p) for p in sorted(passages)], hashed
 
 
-_PARSED = "own string, passages array<bigint>, quotes array<struct<level:int,hash:bigint>>"
+_PARSED = "own string, passages array<bigint>, quotes array<struct<level:int,hash:bigint,parts:array<struct<rank:int,hash:bigint>>>>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     """Add own, passages and quotes to conv_id, turn, role and text."""
 
     def run(batches):
-        kinds = pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
+        part = pa.struct([("rank", pa.int32()), ("hash", pa.int64())])
+        kinds = pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("parts", pa.list_(part))]))
         for batch in batches:
             rows = [(None, [], []) if t is None else parse(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -80,7 +97,7 @@ def parsed(messages: DataFrame) -> DataFrame:
                     *[batch.column(c) for c in ("conv_id", "turn", "role")],
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], kinds[0]),
-                    pa.array([[{"level": level, "hash": h} for level, h in r[2]] for r in rows], kinds[1]),
+                    pa.array([[{"level": q[0], "hash": q[1], "parts": [{"rank": k, "hash": h} for k, h in q[2]]} for q in r[2]] for r in rows], kinds[1]),
                 ],
                 ["conv_id", "turn", "role", "own", "passages", "quotes"],
             )
@@ -94,8 +111,12 @@ def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent and n_linked for messages that quote an earlier one."""
     originals = messages.filter("turn is not null").select("conv_id", "turn", F.explode("passages").alias("hash"))
     originals = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
+    quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q"))
+    quotes = quotes.select("conv_id", "turn", "q.level", F.col("q.hash").alias("quote"), F.explode("q.parts").alias("p"))
+    quotes = quotes.select("conv_id", "turn", "level", "quote", "p.rank", "p.hash").distinct()
     found = quotes.join(originals, ["conv_id", "hash"]).filter(F.col("original") < F.col("turn"))
+    found = found.groupBy("conv_id", "turn", "level", "quote").agg(F.max(F.struct("rank", "original")).alias("best"))
+    found = found.select("conv_id", "turn", "level", F.col("best.original").alias("original"))
     nearest = F.max(F.struct((-F.col("level")).alias("near"), "original")).alias("m")
     return found.groupBy("conv_id", "turn").agg(nearest, F.count("*").alias("n_linked")).select(
         "conv_id", "turn", F.col("m.original").alias("parent"), "n_linked"

@@ -103,6 +103,35 @@ def test_quotes_link_to_their_messages(spark):
     assert out[(1, 1)]["chat_text"] == f"<|assistant|>\n{second}\n"
 
 
+def test_parts_of_a_message_link_to_it(spark):
+    four = "We leave at nine.\nBring warm clothes.\nThe hut has no heating.\nDogs may come."
+    paragraphs = "Prices went up\nby a tenth.\n\nThe old stock\nis sold out.\n\nNew goods come\nin the spring."
+    cut = "> Dogs may come.\nMine is old\nand slow.\n> The hut has no heating.\nI have a stove\nto lend."
+    rows = [
+        (1, 0, "user", four),
+        (1, 1, "user", paragraphs),
+        (1, 2, "user", "> Bring warm clothes.\n> The hut has no heating.\nTwo lines of four."),
+        (1, 3, "user", "> The old stock is\n> sold out.\nOne paragraph of three, wrapped anew."),
+        (1, 4, "user", "> Prices went up\n> by a tenth.\n>\n> New goods come\n> in the spring.\nTwo paragraphs."),
+        (1, 5, "user", cut),
+        (1, 6, "user", ">> Dogs may come.\n> Mine is old and\n> slow.\n>> The hut has no heating.\n> I have a stove to\n> lend.\nThanks."),
+        (1, 7, "user", "> We leave at nine.\n> Two paragraphs.\nFrom two messages: the later one."),
+        (1, 8, "user", "> never said\n>\n> at all\nOdd."),
+        (2, 0, "user", "> Bring warm clothes.\n> The hut has no heating.\nOther conversation."),
+    ]
+    out = {(r["conv_id"], r["turn"]): r for r in chats.conversations(spark.createDataFrame(rows, CHAT)).collect()}
+    assert [out[(1, i)]["parent_turn"] for i in range(9)] == [None, None, 0, 1, 1, 0, 5, 4, None]
+    assert [out[(1, i)]["n_unlinked"] for i in range(9)] == [0, 0, 0, 0, 0, 0, 0, 0, 1]
+    assert [out[(1, i)]["n_quotes"] for i in range(9)] == [0, 0, 1, 1, 1, 2, 4, 1, 1]
+    assert out[(1, 6)]["root_turn"] == 0 and out[(1, 6)]["depth"] == 2 and out[(2, 0)]["parent_turn"] is None
+
+
+def test_the_whole_passage_links_before_its_lines(spark):
+    rows = [(1, 0, "user", "Come in. Sit down."), (1, 1, "user", "Sit down."), (1, 2, "user", "> Come in.\n> Sit down.\nThank you.")]
+    out = {r["turn"]: r for r in chats.conversations(spark.createDataFrame(rows, CHAT)).collect()}
+    assert out[2]["parent_turn"] == 0 and out[2]["n_unlinked"] == 0
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, i, "user", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
     out = chats.conversations(spark.createDataFrame(rows, CHAT)).collect()
