@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.session import staged
 
 
-def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(page, depth), depth being the least number of links from a seed.
+def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(page, depth), depth being the least number of links from a seed; all that is reached, or down to ``max_depth``.
 
     One round a level: the frontier joins the edges, and pages that were seen
     are left out by an anti join. Every level is written, so lineage does not
@@ -17,7 +19,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFra
     """
     level = staged(seeds.select(F.col("page")).distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.join(edges, level["page"] == edges["source"]).select(F.col("target").alias("page")).distinct()
         level = staged(found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if level.isEmpty():

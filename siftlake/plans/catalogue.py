@@ -563,6 +563,7 @@ def run_history_latest20(spark, sf_dir):
     return latest.select("user_id", "event_id", "rank", text.epoch_micros_of_seconds("ts").alias("ran_at_us"))
 
 
+#: Of the SQL only; the queries run until a level is empty.
 _DEPTH = 12
 _BFS = (
     "n as (select count(*) as n from pages), e as (select page_id as s, unnest([2 * page_id + 1, 2 * page_id + 2, (page_id * 7) % n]) as t from pages, n),"
@@ -576,7 +577,7 @@ def _visited(spark, sf_dir) -> DataFrame:
     n = pages.count()
     links = F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2, (F.col("page_id") * 7) % n)
     edges = pages.select(F.col("page_id").alias("source"), F.explode(links).alias("target")).filter(F.col("target") < n)
-    return crawl.breadth_first(pages.filter("page_id = 0").select(F.col("page_id").alias("page")), edges, _DEPTH)
+    return crawl.breadth_first(pages.filter("page_id = 0").select(F.col("page_id").alias("page")), edges)
 
 
 @query(f"with recursive {_BFS} select page, depth::int as depth from v")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text
 from siftlake.operators import crawl, events
+from siftlake.plans import catalogue
 from siftlake.sources import enrich, robots, sitemaps
 from siftlake.streaming import totals
 
@@ -82,6 +83,18 @@ def test_phrases(spark):
     assert spark.range(1).select(text.n_ascii_words(F.lit("don't naïve")).alias("n")).first()["n"] == 4
 
 
+def test_registered_breadth_first_reaches_every_page(spark, tmp_path):
+    n = 30000
+    spark.range(n).withColumnRenamed("id", "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    depth, level = {0: 0}, [0]
+    while level:
+        found = {t for p in level for t in (2 * p + 1, 2 * p + 2, p * 7 % n) if t < n and t not in depth}
+        depth |= dict.fromkeys(found, depth[level[0]] + 1)
+        level = list(found)
+    got = {r["page"]: r["depth"] for r in catalogue.queries()["frontier_bfs"](spark, str(tmp_path)).collect()}
+    assert len(got) == n and max(got.values()) == 13 and got == depth
+
+
 def test_breadth_first_finds_least_depth_in_cycles(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 3), (3, 2), (2, 4), (4, 5)], "source bigint, target bigint")
     seen = crawl.breadth_first(spark.createDataFrame([(0,), (0,)], "page bigint"), edges, 3)
