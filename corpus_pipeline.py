@@ -56,10 +56,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat a doc_id one stays, rows without one all stay."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("_row_hash")
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_row_hash", row_hash("text"))
+    """One document of each group of near-duplicates; of rows that repeat a doc_id and its text one stays, rows without an id all stay.
+
+    Of texts that share a doc_id the first by hash keeps it as its key and the
+    others get one of their own, after all ids that are below 2**62, so every
+    text is judged by itself.
+    """
+    known = docs.filter("doc_id is not null").withColumn("_row_hash", row_hash("text"))
+    shared = known.groupBy("doc_id").agg(F.min("_row_hash").alias("_first"), F.max("_row_hash").alias("_last"))
+    shared = staged(shared.filter("_first < _last").drop("_last"), "pipeline-shared-ids")
+    other = F.lit(2**62) + F.pmod(F.xxhash64("doc_id", "_row_hash"), F.lit(2**62))
+    key = F.when(F.col("_row_hash") == F.coalesce("_first", "_row_hash"), F.col("doc_id").cast("long")).otherwise(other)
+    known = known.join(shared, "doc_id", "left").withColumn("_key", key)
+    kept = minhash.near_duplicates(known.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    first = Window.partitionBy("_key").orderBy("_row_hash")
+    once = known.join(kept, "_key", "left_semi")
     once = once.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
     return once.unionByName(docs.filter("doc_id is null"))
 

@@ -1,6 +1,7 @@
 import corpus_pipeline
 from siftlake.llm import catalogue
 from siftlake.session import staged, table
+from tests.llm.helpers import DOCS, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +16,17 @@ def test_stages_keep_columns_and_act(spark):
     assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] < counts[2]
 
 
+def test_texts_that_share_an_id_are_judged_by_themselves(spark):
+    a, b, c, d = (words(80, seed) for seed in (1, 2, 3, 4))
+    texts = [(5, a), (5, b), (5, c), (5, a), (6, d), (7, d + " more"), (8, b), (None, a), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], DOCS)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert sorted({t for i, t in got if i}) == sorted([a, b, c, d, ""]) and len(got) == 7
+    assert [i for i, t in got if t == a] == [0, 5] and (5, c) in got and (6, d) in got and [t for i, t in got if i == 9] == ["", ""]
+
+
 def test_run_packs_what_the_mix_takes(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
