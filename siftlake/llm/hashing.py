@@ -2,7 +2,8 @@
 
 Words are hashed straight from UTF-8: a prefix sum of byte * p**position modulo
 2**64 gives every word's polynomial hash in one pass, which a 64-bit finaliser
-then mixes. Memory is a few arrays as long as one text.
+then mixes. Long texts go in parts, so memory is a few arrays of a part's length
+beside the hashes themselves.
 """
 
 from __future__ import annotations
@@ -57,10 +58,7 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[a:b]
 
 
-def word_hashes(text: np.ndarray, kind: np.ndarray = ANY_WORD) -> np.ndarray:
-    """The 64-bit hashes of the words of a text in order, A-Z taken as a-z."""
-    if not len(text):
-        return np.zeros(0, np.uint64)
+def _hashed(text: np.ndarray, kind: np.ndarray) -> np.ndarray:
     text = LOWER[text]
     edge = np.diff(np.concatenate(([0], kind[text].view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -70,6 +68,27 @@ def word_hashes(text: np.ndarray, kind: np.ndarray = ANY_WORD) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hash_parts(text: np.ndarray, kind: np.ndarray = ANY_WORD, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of the words of a text in order, in parts of about ``size`` bytes that end between words."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        while end < len(text):
+            gaps = np.flatnonzero(~kind[LOWER[text[end : end + size]]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + size, len(text))
+        yield _hashed(text[at:end], kind)
+        at = end
+
+
+def word_hashes(text: np.ndarray, kind: np.ndarray = ANY_WORD) -> np.ndarray:
+    """The 64-bit hashes of the words of a text in order, A-Z taken as a-z."""
+    parts = list(word_hash_parts(text, kind))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """The sorted distinct hashes of runs of ``size`` words; of the whole sequence if it is shorter."""
     if not len(words):

@@ -3,20 +3,25 @@
 Documents become pieces of at most ``capacity`` ids; full pieces are sequences
 of their own. The others are dealt into groups of a bounded number of pieces,
 and each group is packed on several islands. An individual is a packing: its
-genes are whole bins. It starts from best-fit decreasing and from best fit in
-shuffled order. Crossover injects well-filled bins of one parent into another,
-drops the bins that hold an injected piece, and best-fits the pieces so
-displaced; mutation empties the worst bins the same way. After each round the
-best individuals of an island migrate to the next one. An island stops when its
-best packing meets a lower bound, for then none is better.
+genes are whole bins. An island's first individuals come from best fit over
+shuffled pieces, none from a sorted order. In every generation crossover
+injects well-filled bins of one parent into another, drops the bins that hold
+an injected piece, and best-fits the documents so displaced, longest first;
+mutation empties the worst bins and some others the same way. After each round
+the best individuals of an island also go to the next one. An island stops
+early only when, after a generation, its best packing meets a lower bound, for
+then none is better.
 
 Then the poorly filled bins of all groups are dealt anew, whole bins at a time,
 and evolved once more from the packing they have, which mends what dealing into
 groups has cost. Every task holds one group; groups grow in number only.
 
 Nulls and odd rows: a null text is an empty one and packs as the closing id
-alone; rows that repeat are packed each time; a null doc_id is packed like any
-other.
+alone; a very long one is cut into pieces and tokenised by itself; rows that
+repeat, and pieces of one length, are packed each for itself; a null doc_id is
+packed like any other; an empty table packs into none. Of documents only doc_id
+and text are read, so other columns cannot clash; ``pack`` keeps the columns of
+its pieces, and its own take an underscore where a piece has their name.
 """
 
 from __future__ import annotations
@@ -31,16 +36,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.tokens import coder
+from siftlake.llm.text import free_name
+from siftlake.llm.tokens import ChunkCoder
 from siftlake.session import shipped, staged, table
 
 CAPACITY = 2048
 #: Pieces of a group, islands of a group, rounds with migration between them.
 GROUP, ISLANDS, ROUNDS = 4096, 2, 2
-POPULATION, GENERATIONS = 4, 4
+POPULATION, GENERATIONS = 4, 8
+#: Share of bins that a mutation empties beside the poorest tenth.
+MUTATION = 0.2
 #: Bins filled less than this share are dealt anew at the end.
 POOR = 0.97
-#: Texts are tokenised in lots of about this many characters, to bound memory.
+#: Texts are tokenised in lots of about this many bytes, to bound memory.
 LOT = 1 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -51,17 +59,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
     tail = np.array([closing], np.uint32)
 
     def run(batches):
-        encode = coder(tokenizer).encode
+        coder = ChunkCoder(tokenizer)  # goes with the task, so that no memory of it stays in the worker
         for batch in batches:
-            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "").to_pylist()
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            sizes = pc.binary_length(texts).to_pylist()
             ids = batch.column("doc_id").to_pylist()
             rows, at = [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= LOT):
-                    size += len(texts[end])
+                while end < len(texts) and (end == at or size + sizes[end] <= LOT):
+                    size += sizes[end]
                     end += 1
-                for doc_id, coded in zip(ids[at:end], encode(texts[at:end]), strict=True):
+                for doc_id, coded in zip(ids[at:end], coder.encode(texts.slice(at, end - at)), strict=True):
                     coded = np.concatenate((coded, tail)).astype("<u4")
                     for p, start in enumerate(range(0, len(coded), capacity)):
                         part = coded[start : start + capacity]
@@ -161,31 +170,39 @@ def _tidied_keep(bins: np.ndarray, dropped: np.ndarray) -> tuple[np.ndarray, np.
     return fresh.astype(np.int32), dropped[used]
 
 
+def shuffled_best_fit(lengths: np.ndarray, capacity: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """A first individual: best fit over the pieces in a random order."""
+    bins, loads = np.zeros(len(lengths), np.int32), []
+    best_fit(lengths, rng.permutation(len(lengths)), bins, loads, capacity)
+    return _tidied(bins, lengths)
+
+
+def mutated(lengths, one, capacity, rng):
+    """Empty the poorest tenth of the bins and some others, and best-fit their pieces."""
+    bins, loads = one
+    poor = loads < np.quantile(loads, 0.1)
+    return _refit(lengths, bins, poor | (rng.random(len(loads)) < MUTATION), capacity, rng)
+
+
 def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, rng) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A generation's best individuals first, from the seeds or from best fit."""
+    """The two best individuals after GENERATIONS, from the seeds and their mutants, or from shuffled best fit."""
     bound = lower_bound(lengths, capacity)
     people = [_tidied(s, lengths) for s in seeds]
     rank = lambda: people.sort(key=lambda p: _worth(p, capacity), reverse=True)
-    if not people:
-        bins, loads = np.zeros(len(lengths), np.int32), []
-        best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, loads, capacity)
-        people.append(_tidied(bins, lengths))
+    rank()
+    elites = list(people)
+    while len(people) < POPULATION:
+        people.append(mutated(lengths, elites[0], capacity, rng) if elites else shuffled_best_fit(lengths, capacity, rng))
     rank()
     for _ in range(GENERATIONS):
-        if len(people[0][1]) <= bound:
-            break
-        while len(people) < POPULATION:
-            worst = people[0][1] < capacity * 0.995
-            people.append(_refit(lengths, people[0][0], worst & (rng.random(len(worst)) < 0.7), capacity, rng))
-        rank()
         children = []
         for _ in range(POPULATION // 2):
-            a, b = rng.permutation(min(3, len(people)))[:2]
-            child = crossover(lengths, people[a], people[b], capacity, rng)
-            poor = child[1] < np.quantile(child[1], 0.1)
-            children.append(_refit(lengths, child[0], poor | (rng.random(len(poor)) < 0.02), capacity, rng))
+            a, b = rng.permutation(3)[:2]
+            children.append(mutated(lengths, crossover(lengths, people[a], people[b], capacity, rng), capacity, rng))
         people = people[: POPULATION - len(children)] + children
         rank()
+        if len(people[0][1]) <= bound:
+            break
     return people[:2]
 
 
@@ -234,8 +251,10 @@ def evolve_cells(items: DataFrame, capacity: int, islands: int = ISLANDS, rounds
 
 def pack(pieces_: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces that have a length of at most ``capacity``; other columns stay."""
-    own = staged(pieces_.withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
-    part = own.filter(F.col("length") < capacity).select("item", "length")
+    own = pieces_.columns
+    rows = pieces_.select(F.struct(*own).alias("_piece"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("item"))
+    rows = staged(rows, "pack-pieces")
+    part = rows.filter(F.col("length") < capacity).select("item", "length")
     cells = max(1, -(-part.count() // group))
     items = part.select(
         F.pmod(F.xxhash64("item"), F.lit(cells)).alias("cell"), "item", "length", F.lit(-1).cast("long").alias("bin")
@@ -246,14 +265,19 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
     poor = staged(bins.filter(F.col("load") < POOR * capacity), "pack-poor")
     again = max(1, -(-(poor.agg(F.sum("n")).first()[0] or 0) // group))
     key = F.col("cell") * F.lit(1 << 24) + F.col("bin")
-    rows = first.join(poor.select("cell", "bin"), ["cell", "bin"], "left_semi")
-    dealt = rows.select(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(again)).alias("cell"), "item", "length", key.alias("bin"))
+    loose = first.join(poor.select("cell", "bin"), ["cell", "bin"], "left_semi")
+    dealt = loose.select(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(again)).alias("cell"), "item", "length", key.alias("bin"))
     second = evolve_cells(dealt, capacity, islands=1, rounds=1)
-    done = first.join(poor.select("cell", "bin"), ["cell", "bin"], "left_anti").select("item", key.alias("sequence_id"))
-    done = done.unionByName(second.select("item", (F.lit(1 << 58) + key).alias("sequence_id")))
-    placed = own.join(done, "item", "left").withColumn("sequence_id", F.coalesce("sequence_id", -1 - F.col("item")))
-    in_bin = Window.partitionBy("sequence_id").orderBy("item")
-    return placed.withColumn("offset", F.sum("length").over(in_bin) - F.col("length")).drop("item")
+    done = first.join(poor.select("cell", "bin"), ["cell", "bin"], "left_anti").select("item", key.alias("_seq"))
+    done = done.unionByName(second.select("item", (F.lit(1 << 58) + key).alias("_seq")))
+    placed = rows.join(done, "item", "left").withColumn("_seq", F.coalesce("_seq", -1 - F.col("item")))
+    in_bin = Window.partitionBy("_seq").orderBy("item")
+    offset = F.sum("length").over(in_bin) - F.col("length")
+    return placed.select(
+        *[F.col("_piece").getField(c).alias(c) for c in own],
+        F.col("_seq").alias(free_name("sequence_id", own)),
+        offset.alias(free_name("offset", own)),
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -29,3 +29,14 @@ def n_words(text: str | Column) -> Column:
 def row_hash(text: str | Column) -> Column:
     """Tells rows with one doc_id and different texts apart."""
     return F.xxhash64(text)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name for a result column beside the columns ``taken``: the name itself, or with underscores until none has it.
+
+    Own columns keep their names and values in every operator; names differ if they do so without regard to case.
+    """
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -1,72 +1,78 @@
 """Token ids of texts through a public tokenizer, with the ids of white-space chunks remembered.
 
 The tokenizer's own rules never join characters across a space or line break,
-so a text's ids are those of its chunks one after another. Chunks that a worker
-has seen are looked up; new ones of a batch are joined by spaces, encoded in
-one call and told apart by their offsets. The memory is bounded: past ``most``
-chunks it starts afresh, which changes no result.
+so a text's ids are those of its chunks one after another. Arrow splits a lot
+of texts and numbers its distinct chunks; those that a worker has seen are
+looked up, new ones are joined by spaces, encoded and told apart by their
+offsets. The memory is bounded in bytes: past ``most_bytes`` it starts afresh,
+also within a lot, which changes no result.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_coders: dict = {}
+_tokenizers: dict = {}
+
+#: Bytes that a remembered chunk takes beside its text and ids: a string's head, a dictionary's entry, its numbers.
+_ENTRY = 180
+#: New chunks are encoded so many at a time; longer calls cost more a chunk.
+_CALL = 128
 
 
 class ChunkCoder:
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._clear()
+        if path not in _tokenizers:
+            _tokenizers[path] = Tokenizer.from_file(path)
+        self.tokenizer, self.most_bytes = _tokenizers[path], most_bytes
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all chunks."""
         self.number: dict[str, int] = {"": 0}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.n, self.used = 1, 0
+        self.ids, self.begin = np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.int64)
+        self.n, self.used, self.bytes = 1, 0, 0
 
     def _learn(self, new: list[str]) -> None:
-        coded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(coded.ids, np.uint32)
-        starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(ids))
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        chunk_ends = np.cumsum(sizes + 1)
-        counts = np.bincount(np.searchsorted(chunk_ends, starts, side="right"), minlength=len(new))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while self.n + len(new) > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-            self.length = np.concatenate((self.length, np.zeros_like(self.length)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.length[self.n : self.n + len(new)] = counts
-        self.begin[self.n : self.n + len(new)] = self.used + np.cumsum(counts) - counts
-        self.number.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.n += len(new)
-        self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if self.n > self.most:
-            self._clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        number = self.number
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in number))
-        if new:
-            self._learn(new)
-        out = []
-        for chunks in split:
-            which = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
-            lengths = self.length[which].astype(np.int64)
-            ends = np.cumsum(lengths)
-            total = int(ends[-1])
-            out.append(self.ids[np.repeat(self.begin[which] - (ends - lengths), lengths) + np.arange(total)])
-        return out
-
+        for at in range(0, len(new), _CALL):
+            part = new[at : at + _CALL]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = coded.ids
+            starts = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum(np.array(list(map(len, part)), np.int64) + 1)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while self.n + len(part) >= len(self.begin):
+                self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+            self.ids[self.used : self.used + len(ids)] = ids
+            # chunk i's ids lie from begin[i] to begin[i + 1]
+            self.begin[self.n + 1 : self.n + 1 + len(part)] = self.used + np.searchsorted(starts, ends)
+            self.number.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+            self.n += len(part)
+            self.used += len(ids)
+            self.bytes += 4 * len(ids) + int(ends[-1]) + _ENTRY * len(part)
 
-def coder(path: str) -> ChunkCoder:
-    """This worker's coder for a vocabulary file."""
-    if path not in _coders:
-        _coders[path] = ChunkCoder(path)
-    return _coders[path]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array without nulls."""
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.number]
+        if new and self.bytes > self.most_bytes:
+            self.clear()
+            new = [c for c in chunks if c]
+        self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        begin = self.begin[number]
+        length = self.begin[number + 1] - begin
+        which = coded.indices.to_numpy()
+        lengths = length[which]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        flat = self.ids[np.repeat(begin[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        at = ends[offsets - offsets[0]]
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]

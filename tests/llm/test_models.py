@@ -33,12 +33,70 @@ def test_held_out_labels_do_not_matter(spark):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[2] == b[2]
 
 
+def brute_ftrl(examples, labels):
+    """FTRL-proximal as published, one coordinate at a time."""
+    z, n = {}, {}
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        shrink, ridge = (0.0, 0.0) if i == "bias" else (l1, l2)
+        return 0.0 if abs(zi) <= shrink and i != "bias" else -(zi - np.sign(zi) * shrink) / ((b + n.get(i, 0.0) ** 0.5) / a + ridge)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in zip(examples, labels, strict=True):
+            x = [*x, "bias"]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in x:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / a
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def brute_features(text):
+    """The places of words, pairs and skip-pairs by plain loops over the words."""
+    w = [int(toxicity.features(np.frombuffer(t.encode(), np.uint8))[0]) for t in text.split()]
+    return len(set(zip(text.split(), text.split()[1:]))) + len(set(zip(text.split(), text.split()[2:]))) + len(set(w))
+
+
+def test_fit_against_brute_force():
+    rng = random.Random(1)
+    vocabulary = [words(1, i) for i in range(30)] + ["scum"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 25))) for _ in range(60)]
+    places = [toxicity.features(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    assert all(len(p) == brute_features(t) for p, t in zip(places, texts, strict=True))
+    labels = [float("scum" in t) for t in texts]
+    at, values, intercept = toxicity.fit_ftrl(list(zip(places, labels, strict=True)))
+    want = brute_ftrl([p.tolist() for p in places], labels)
+    assert abs(want.pop("bias") - intercept) < 1e-3
+    got = dict(zip(at.tolist(), values.tolist(), strict=True))
+    assert {i for i, v in want.items() if abs(v) > 1e-3} <= set(got) and all(abs(want[i] - v) < 1e-3 for i, v in got.items())
+
+
+def test_two_models_are_told_apart(spark):
+    df = docs(spark, ["scum here", "nice here"])
+    place = toxicity.features(np.frombuffer(b"scum", np.uint8))
+    models = [(place, np.array([v], np.float32), 0.0) for v in (5.0, -5.0, 5.0)]
+    scored = [[r["score"] for r in toxicity.score(df, m).orderBy("doc_id").collect()] for m in models]
+    assert scored[0] == scored[2] and scored[0][0] > 0.99 and scored[1][0] < 0.01 and scored[0][1] == 0.5
+
+
+def test_the_sample_is_bounded_by_features(spark):
+    df, labels = toxic_corpus(spark, 80)
+    few, all_ = toxicity.train(df, labels, most_features=500), toxicity.train(df, labels)
+    assert few[0].tolist() != all_[0].tolist() and len(toxicity.train(df, labels, most_features=0)[0]) == 0
+
+
 def test_toxicity_odd_rows(spark):
     df, labels = toxic_corpus(spark, 60)
     labels = labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, 1), (77777, 1, 1), (4, 0, 0)], labels.schema))
     both = odd_docs(spark).withColumn("score", F.lit("mine"))
     out = toxicity.without_toxic(both, labels)
     assert out.columns == both.columns and all(r["score"] == "mine" for r in out.collect())
+    clash = toxicity.score(both, toxicity.train(df, labels))
+    assert clash.columns == [*both.columns, "score_"] and all(0 <= r["score_"] <= 1 and r["score"] == "mine" for r in clash.collect())
     scored = toxicity.score(odd_docs(spark), toxicity.train(df, labels)).collect()
     assert len(scored) == 10 and all(0 <= r["score"] <= 1 for r in scored)
     assert toxicity.score(odd_docs(spark).limit(0), toxicity.train(df, labels)).count() == 0

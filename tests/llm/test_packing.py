@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -14,13 +15,13 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_chunks_encode_as_whole_texts():
-    whole, coder = Tokenizer.from_file(PATH), ChunkCoder(PATH, most=50)
+    whole, coder = Tokenizer.from_file(PATH), ChunkCoder(PATH, most_bytes=5000)
     texts = [
         "Hello, World!  it's 42\t ok\r\nnext\n\n line", "", " ", "é é ́x İstanbul ΣΑΣ Σ, ΑΣ", "<|endoftext|> a<|startoftext|>b",
         "漢字 かな 😀👍🏽", "a b\x85c\x1cd", "don't WE'LL 'tis", *[words(80, i) for i in range(40)],
     ]
     for lot in (texts, texts[::-1], *[[t] for t in texts]):
-        for t, ids in zip(lot, coder.encode(lot), strict=True):
+        for t, ids in zip(lot, coder.encode(pa.array(lot, pa.string())), strict=True):
             assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
@@ -76,6 +77,77 @@ def test_evolution_keeps_every_piece_and_never_gets_worse(seed):
     assert packing.lower_bound(lengths, 1000) <= len(again[0][1]) <= len(first[0][1])
 
 
+def decreasing(lengths, capacity):
+    """The number of bins of best-fit decreasing."""
+    bins, loads = np.zeros(len(lengths), np.int32), []
+    packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, loads, capacity)
+    return len(loads)
+
+
+def triplets(n, seed):
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        out += [a, b, 1000 - a - b]
+    return np.array(out)[rng.permutation(3 * n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_crossover_wins_where_a_sorted_order_misses_the_bound(seed, monkeypatch):
+    lengths, calls = triplets(40, seed), []
+    real = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or real(*a))
+    best = packing.evolve(lengths, [], 1000, np.random.default_rng(seed))
+    assert len(calls) >= packing.GENERATIONS and packing.lower_bound(lengths, 1000) == 40
+    first = [len(packing.shuffled_best_fit(lengths, 1000, np.random.default_rng(seed + i))[1]) for i in range(4)]
+    assert len(best[0][1]) < decreasing(lengths, 1000) and len(best[0][1]) < min(first)
+
+
+def test_every_group_breeds_on_the_query_path(spark, monkeypatch):
+    # the islands run in Python workers, so breeding shows in the elites: none is what shuffled best fit gives
+    lengths = triplets(60, 9)
+    df = spark.createDataFrame([(0, i, int(n), -1) for i, n in enumerate(lengths)], "cell bigint, item bigint, length bigint, bin bigint")
+    out = packing.evolve_cells(df, 1000).collect()
+    loads = {}
+    for r in out:
+        loads[r["bin"]] = loads.get(r["bin"], 0) + r["length"]
+    assert len(out) == 180 and max(loads.values()) <= 1000 and len(loads) < decreasing(lengths, 1000)
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every place of every piece."""
+    best = [len(lengths)]
+
+    def place(i, loads):
+        if len(loads) >= best[0] and i < len(lengths):
+            return
+        if i == len(lengths):
+            best[0] = min(best[0], len(loads))
+            return
+        for b in range(len(loads)):
+            if loads[b] + lengths[i] <= capacity:
+                place(i + 1, [*loads[:b], loads[b] + lengths[i], *loads[b + 1 :]])
+        place(i + 1, [*loads, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_brute_force(spark):
+    rng, want, rows = np.random.default_rng(4), 0, []
+    for case in range(12):
+        lengths = rng.integers(100, 700, int(rng.integers(1, 9))).tolist()
+        best = packing.evolve(np.array(lengths), [], 1000, np.random.default_rng(case))
+        assert len(best[0][1]) == fewest(lengths, 1000), lengths
+        rows.append(lengths)
+    few = [610, 390, 520, 480, 700, 300, 250, 250, 500]
+    want = fewest(few, 1000)
+    df = spark.createDataFrame([(n, "mine", 7) for n in few], "length bigint, sequence_id string, item int")
+    out = packing.pack(df, 1000).collect()
+    assert len({r["sequence_id_"] for r in out}) == want and all(r["sequence_id"] == "mine" and r["item"] == 7 for r in out)
+
+
 def test_lower_bound_counts_large_pieces():
     assert packing.lower_bound(np.array([600, 600, 600]), 1000) == 3
     assert packing.lower_bound(np.array([500, 500, 500, 500, 1]), 1000) == 3
