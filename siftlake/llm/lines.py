@@ -17,10 +17,12 @@ map-side combined and the joins are ones that adaptive execution splits, so a
 chunk that a third of all documents hold is never gathered anywhere. First
 means the smallest doc_id, then the earliest line in it.
 
-Nulls and odd rows: a null text has no chunks and stays null; blank lines are
-lines, but a chunk of blank lines only is never removed; a null doc_id comes
-after all others; rows that repeat a doc_id with one text are one document and
-lose the same lines.
+Nulls and odd rows: a null text has no chunks and stays null, an empty one
+stays empty; blank lines are lines, but a chunk of blank lines only is never
+removed; a null doc_id comes after all others; rows that repeat a doc_id with
+one text are one document and lose the same lines; a very long text is one long
+row; an empty table gives an empty table. Own columns keep their names and
+values: beside a column called n_removed the result is called n_removed_.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.substrings import place
-from siftlake.llm.text import SPACE, row_hash, whole
+from siftlake.llm.text import SPACE, free_name, row_hash, whole
 from siftlake.session import discard_between, exploded, staged, staged_so_far, table
 
 WINDOW = 2
@@ -119,9 +121,10 @@ def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     kept = F.concat(kept, F.slice("_lines", tail + 1, F.size("_lines") - tail))
     text = F.when(F.col("_cut").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("_doc.text"))
     n = F.aggregate("_cut", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    count = free_name("n_removed", own)
     field = lambda c: F.col("_doc").getField(c).alias(c)
     cleaned = df.select(*[text.alias(c) if c == "text" else field(c) for c in own], F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"))
-    rest = met.filter(F.col("_ranges").isNull()).select(*map(field, own), F.lit(0).cast("long").alias("n_removed"))
+    rest = met.filter(F.col("_ranges").isNull()).select(*map(field, own), F.lit(0).cast("long").alias(count))
     return cleaned.unionByName(rest)
 
 

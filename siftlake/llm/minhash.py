@@ -12,9 +12,10 @@
 4. Each member's best star pair is confirmed on full shingle sets, and the
    confirmed links give first components. Buckets whose members are all in one
    component need no more work. In the others, members outside the largest
-   component meet the rest in blocks: inside a block bit counts choose the
-   pairs between components, full sets confirm them, and only links that join
-   two components leave it.
+   component meet the rest in blocks of signatures alone: bit counts name the
+   members of a block that have a likely pair between components. Only those
+   then meet with their texts, full sets confirm the pairs, and only links that
+   join two components leave a block.
 
 No step makes all pairs of a group: copies meet only their class, near copies
 their centres, and what is left meets other components.
@@ -24,9 +25,11 @@ probability 1 - 5e-6. An estimate of 0.58 lies more than four standard
 deviations below 0.75.
 
 Nulls and odd rows: texts without words have an empty set and link with
-nothing; shorter texts have one shingle, the whole sequence. A null doc_id
-links with nothing, has a null component and is kept. Rows that repeat a doc_id
-count as one document.
+nothing; shorter texts have one shingle, the whole sequence; very long ones are
+hashed in parts, and their minima taken in pieces. A null doc_id links with
+nothing, has a null component and is kept. Rows that repeat a doc_id count as
+one document. Equal estimates go to the larger id. An empty table gives an empty
+table. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ LANES = MINIMA * BITS // 64
 #: Estimates below this are not confirmed.
 LEAST_ESTIMATE = 0.58
 #: Members of a bucket that are compared with each other in one group.
-BLOCK = 256
+BLOCK = 512
 SHINGLE = 5
 
 _FACTORS = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
@@ -155,6 +158,34 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def _alike(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The estimates of ``estimate`` for one signature against many."""
+    bits = many ^ one
+    bits |= bits >> np.uint64(1)
+    bits = (bits | bits >> np.uint64(2)) & np.uint64(0x1111111111111111)
+    equal = 1 - np.bitwise_count(bits).sum(axis=1) / MINIMA
+    return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _apart(rep, root, major, i, y):
+    """Which of ``y`` member i meets: those of other components, each pair from one side only."""
+    return (root[y] != root[i]) & ((root[y] == major) | (rep[i] > rep[y]))
+
+
+def _likely(rows: dict[str, list]) -> np.ndarray:
+    """The rows of a block that have a likely pair in it."""
+    rep, root, side = (np.array(rows[c], np.int64) for c in ("rep", "root", "side"))
+    lanes = np.array(rows["lanes"], np.int64).view(np.uint64)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    keep = np.zeros(len(rep), bool)
+    for i in x:
+        near = y[_apart(rep, root, rows["major"][0], i, y)]
+        near = near[_alike(lanes[near], lanes[i]) >= LEAST_ESTIMATE]
+        keep[near] = True
+        keep[i] = len(near) > 0
+    return np.flatnonzero(keep)
+
+
 def _block_links(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
     """Confirmed links between members of one block that join components still apart; at most one less than its members."""
     rep, root, side = (np.array(rows[c], np.int64) for c in ("rep", "root", "side"))
@@ -178,17 +209,12 @@ def _block_links(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
 
     links = []
     for i in x:
-        apart = (root[y] != root[i]) & ((root[y] == major) | (rep[i] > rep[y]))
-        near = y[apart]
+        near = y[_apart(rep, root, major, i, y)]
         # a pair is taken up in the first band that it shares
         near = near[np.argmax(bands[near] == bands[i], axis=1) == number] if len(near) else near
         if not len(near):
             continue
-        bits = lanes[near] ^ lanes[i]
-        bits |= bits >> np.uint64(1)
-        bits = (bits | bits >> np.uint64(2)) & np.uint64(0x1111111111111111)
-        equal = 1 - np.bitwise_count(bits).sum(axis=1) / MINIMA
-        alike = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+        alike = _alike(lanes[near], lanes[i])
         order = np.argsort(-alike, kind="stable")
         near = near[order][alike[order] >= LEAST_ESTIMATE]
         for part in np.array_split(near, -(-len(near) // 64)) if len(near) else ():
@@ -208,47 +234,60 @@ def _block_links(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-_PLAIN = ("rep", "root", "major", "number", "side", "bands", "text")
+_PLACE = ("band", "i", "j")
+_MEMBER = (*_PLACE, "side", "rep", "root", "major", "number")
+_MEMBERS = "band bigint, i int, j int, side int, rep bigint, root bigint, major bigint, number int"
+
+
+def _blocks(batches, *columns: str):
+    """The rows of one block after another, as lists by column, from batches sorted by block."""
+    key, held = None, {c: [] for c in (*_MEMBER, *columns, "lanes")}
+    for batch in batches:
+        plain = {c: batch.column(c).to_pylist() for c in (*_MEMBER, *columns)}
+        lanes = list(zip(*(batch.column(s).to_pylist() for s in SIGNATURE), strict=True))
+        for n, now in enumerate(zip(*(plain[c] for c in _PLACE), strict=True)):
+            if now != key:
+                if held["rep"]:
+                    yield held
+                key, held = now, {c: [] for c in held}
+            for c, values in plain.items():
+                held[c].append(values[n])
+            held["lanes"].append(lanes[n])
+    if held["rep"]:
+        yield held
+
+
+def _screen(batches):
+    schema = pa.schema([(c, pa.int32() if c in ("i", "j", "side", "number") else pa.int64()) for c in _MEMBER])
+    for block in _blocks(batches):
+        at = _likely(block)
+        yield pa.RecordBatch.from_arrays([pa.array([block[f.name][n] for n in at], f.type) for f in schema], schema=schema)
 
 
 def _compare(percent: int):
     def run(batches):
-        key, held = None, {c: [] for c in (*_PLAIN, "lanes")}
-        for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("band", "i", "j", *_PLAIN)}
-            lanes = list(zip(*(batch.column(s).to_pylist() for s in SIGNATURE), strict=True))
-            out = []
-            for n, now in enumerate(zip(columns["band"], columns["i"], columns["j"], strict=True)):
-                if now != key:
-                    out += _block_links(held, percent) if held["rep"] else []
-                    key, held = now, {c: [] for c in held}
-                for c in _PLAIN:
-                    held[c].append(columns[c][n])
-                held["lanes"].append(lanes[n])
-            yield _as_links(out)
-        yield _as_links(_block_links(held, percent) if held["rep"] else [])
+        for block in _blocks(batches, "bands", "text"):
+            links = _block_links(block, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
-def _as_links(links) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-
 def links_between(members: DataFrame, labels: DataFrame, lanes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) between members of one bucket in different components.
 
     In every bucket the members outside its largest component meet all others.
-    Both sides are dealt into blocks of BLOCK members; a block's rows come one
-    after another to a task, which compares and confirms in memory and gives out
-    only links that join components. A bucket whose members are in one component
-    makes no rows at all.
+    Both sides are dealt into blocks of BLOCK members; a block's signatures come
+    one after another to a task, which gives out the members that have a likely
+    pair, at most those it got. They meet again by block, with their texts, and
+    only links that join components leave. A bucket whose members are in one
+    component makes no rows at all.
     """
     labelled = members.select("rep", "band", "number").join(labels.withColumnRenamed("node", "rep"), "rep")
     parts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
     parts = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("roots"))
     parts = parts.filter("roots > 1").select("band", F.col("m.root").alias("major"), "all", (F.col("all") - F.col("m.n")).alias("rest"))
-    rows = labelled.join(parts, "band").join(lanes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = labelled.join(parts, "band").join(lanes.drop("bands"), "rep")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
     spread = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
@@ -256,10 +295,12 @@ def links_between(members: DataFrame, labels: DataFrame, lanes: DataFrame, texts
     as_x = F.when(F.col("root") != F.col("major"), F.transform(spread("all"), lambda j: place(mine("rest"), j, 0)))
     as_y = F.transform(spread("rest"), lambda i: place(i, mine("all"), 1))
     places = F.concat(F.coalesce(as_x, F.array().cast("array<struct<i:int,j:int,side:int>>")), as_y)
-    rows = exploded(rows, places, "_p", "band", "rep", "root", "major", "number", "bands", "text", *SIGNATURE)
+    rows = exploded(rows, places, "_p", "band", "rep", "root", "major", "number", *SIGNATURE)
     rows = rows.select("*", "_p.i", "_p.j", "_p.side").drop("_p")
-    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return shipped(dealt).mapInArrow(_compare(percent), "u bigint, v bigint").distinct()
+    in_blocks = lambda df: shipped(df.repartition(*_PLACE).sortWithinPartitions(*_PLACE))
+    likely = staged(in_blocks(rows).mapInArrow(_screen, _MEMBERS), "minhash-likely")
+    with_texts = likely.join(lanes, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    return in_blocks(with_texts).mapInArrow(_compare(percent), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -1,34 +1,38 @@
 """Substring dedup by sliding sentence spans, in DataFrame functions.
 
-A text is cut into sentences; every run of ``run`` consecutive sentences is
-hashed over the sentences' trimmed, lower-cased texts, whatever lies between
-them. Runs with one hash are joined over the whole corpus, and a sentence is
-removed if a run that is not the first with its hash covers it. Covered
-sentences that touch form a region; regions of fewer than ``min_words`` words
-stay, so that short stock phrases are left alone.
+A text is cut into sentences. From every sentence a span of several consecutive
+sentences begins: the fewest, two at least, that have ``min_chars`` characters
+together, so that stock phrases of a few words make no span. Spans are hashed
+over the sentences' trimmed, lower-cased texts, whatever lies between them,
+twice over with different seeds (128 bits together). Spans with one hash are
+joined over the whole corpus, and every sentence that a span other than the
+first with its hash covers is removed.
 
 Only hashes and positions are shuffled to find repeats. Their counts and first
-places are map-side combined, and the join back to the runs is one that
+places are map-side combined, and the join back to the spans is one that
 adaptive execution splits, so a passage that a third of all documents share is
 never gathered anywhere. First means the smallest doc_id, then the earliest
-place in it.
-
-Nulls and odd rows: a null text has no sentences and stays null; a null doc_id
-comes after all others; rows that repeat a doc_id with one text are one
-document and lose the same sentences; rows of one doc_id with different texts
-that share a passage at the same place keep it in each.
+place in it. What a document loses is gathered by document, so a very long text
+is one long row and no more.
+
+Nulls and odd rows: a null text has no sentences and stays null, an empty one
+stays empty; a null doc_id comes after all others; rows that repeat a doc_id
+with one text are one document and lose the same sentences; rows of one doc_id
+with different texts that share a passage at the same place keep it in each; an
+empty table gives an empty table. Own columns keep their names and values:
+beside columns called n_removed and removed the results take an underscore.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.text import SPACE, row_hash, whole
+from siftlake.llm.text import SPACE, free_name, row_hash, whole
 from siftlake.session import exploded, staged, table
 
-RUN = 2
-MIN_WORDS = 20
+#: A span has at least so many sentences, and characters in them (about twenty words).
+RUN, MIN_CHARS = 2, 120
 #: A sentence ends after white space that follows a full stop, exclamation or question mark, or after a line break.
 ENDS = r"(?<=[.!?][ \t\n])|(?<=\n)"
 
@@ -44,57 +48,87 @@ def place(doc_id: str, at: Column) -> Column:
     return (known * F.lit(2**31).cast("decimal(12,0)") + at.cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
-def spans(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """One row for each run of sentences: doc_id, row_hash, k (its number), first and last piece, hash."""
-    known = F.transform(
-        "_pieces",
-        lambda x, i: F.struct(i.alias("i"), F.lower(F.btrim(x, F.lit(SPACE))).alias("s")),
+def _filled(pieces: str) -> Column:
+    """(i, s): the pieces with text by number, trimmed and in lower case."""
+    known = F.transform(pieces, lambda x, i: F.struct(i.alias("i"), F.lower(F.btrim(x, F.lit(SPACE))).alias("s")))
+    return F.filter(known, lambda x: x["s"] != "")
+
+
+def spans(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for each span: doc_id, row_hash, k (its first sentence's number), n (its sentences), hash and hash2."""
+    df = docs.select("doc_id", row_hash("text").alias("row_hash"), sentences("text").alias("_pieces"))
+    hashed = lambda x: F.struct(
+        F.xxhash64(x["s"]).alias("h"),
+        F.xxhash64(F.lit(1), x["s"]).alias("g"),
+        F.length(x["s"]).alias("size"),
     )
-    known = F.transform(F.filter(known, lambda x: x["s"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h")))
-    runs = F.when(
-        F.size("_known") >= run,
-        F.transform(
-            F.sequence(F.lit(0), F.size("_known") - run),
-            lambda k: F.struct(
+    field = lambda c: F.transform("_known", lambda x: x[c])
+    df = df.withColumn("_known", F.transform(_filled("_pieces"), hashed)).withColumns({c: field(c) for c in ("h", "g", "size")})
+    enough = lambda n, chars: (n >= run) & (chars >= min_chars)
+    step = lambda at, size: F.when(enough(at["n"], at["chars"]), at).otherwise(
+        F.struct((at["n"] + 1).alias("n"), (at["chars"] + size).alias("chars"))
+    )
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
+
+    def reach(_size: Column, k: Column) -> Column:
+        """The span from sentence k; the first few lengths are tried before counting on."""
+        chars, out = F.lit(0), None
+        for j in range(run + 2):
+            chars = chars + F.get("size", k + j)
+            if j + 1 >= run:
+                test, short = chars >= min_chars, F.struct(F.lit(j + 1).alias("n"), chars.alias("chars"))
+                out = F.when(test, short) if out is None else out.when(test, short)
+        # a sentence has a character at least, so no span needs more sentences than this
+        return out.otherwise(F.aggregate(F.slice("size", k + 1, F.lit(max(run, min_chars))), start, step))
+
+    df = df.withColumn("_reach", F.transform("size", reach))
+
+    def hashed_span(c: str, k: Column, n: Column, *salt: Column) -> Column:
+        """The hash of n hashes; that of an array is that of its elements, so short spans need no slice."""
+        some = lambda j: F.xxhash64(*salt, *[F.get(c, k + i) for i in range(j)])
+        return F.when(n == 2, some(2)).when(n == 3, some(3)).when(n == 4, some(4)).otherwise(F.xxhash64(*salt, F.slice(c, k + 1, n)))
+
+    made = F.transform(
+        "_reach",
+        lambda r, k: F.when(
+            enough(r["n"], r["chars"]),
+            F.struct(
                 k.alias("k"),
-                F.get("_known", k)["i"].alias("first"),
-                F.get("_known", k + (run - 1))["i"].alias("last"),
-                F.xxhash64(*[F.get("_known", k + j)["h"] for j in range(run)]).alias("hash"),
+                r["n"].alias("n"),
+                hashed_span("h", k, r["n"]).alias("hash"),
+                hashed_span("g", k, r["n"], F.lit(1)).alias("hash2"),
             ),
         ),
     )
-    df = docs.select("doc_id", row_hash("text").alias("row_hash"), sentences("text").alias("_pieces")).withColumn("_known", known)
-    return exploded(df, runs, "_run", "doc_id", "row_hash").select("doc_id", "row_hash", "_run.*")
+    return exploded(df, made, "_run", "doc_id", "row_hash").select("doc_id", "row_hash", "_run.*")
 
 
-def repeated_regions(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, row_hash and the sorted, separate piece ranges that runs other than the first cover."""
-    every = staged(spans(docs, run), "spans")
-    ordered = every.withColumn("place", place("doc_id", F.col("k")))
-    shared = ordered.groupBy("hash").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
+def repeated_sentences(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, row_hash and the sorted numbers of the sentences that spans other than the first cover."""
+    ordered = staged(spans(docs, run, min_chars), "spans").withColumn("place", place("doc_id", F.col("k")))
+    shared = ordered.groupBy("hash", "hash2").agg(F.min("place").alias("first_place"), F.count("*").alias("n_spans"))
     # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
-    shared = staged(shared, "shared-spans")
-    found = ordered.join(shared, "hash").filter(F.col("place") > F.col("first_place"))
-    found = found.select("doc_id", "row_hash", "k", "first", "last").distinct()
-    # runs that overlap or touch make one region
-    in_doc = Window.partitionBy("doc_id", "row_hash").orderBy("k")
-    opens = F.coalesce(F.col("k") - F.lag("k").over(in_doc) > run, F.lit(True)).cast("int")
-    found = found.withColumn("_opens", opens)
-    found = found.withColumn("_region", F.sum("_opens").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    regions = found.groupBy("doc_id", "row_hash", "_region").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return regions.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("regions"))
-
-
-def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    shared = staged(shared.filter("n_spans > 1").drop("n_spans"), "shared-spans")
+    found = ordered.join(shared, ["hash", "hash2"]).filter(F.col("place") > F.col("first_place"))
+    found = found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("k", "n")).alias("_runs"))
+    numbers = F.flatten(F.transform("_runs", lambda r: F.sequence(r["k"], r["k"] + r["n"] - 1)))
+    return found.select("doc_id", "row_hash", F.array_sort(F.array_distinct(numbers)).alias("covered"))
+
+
+def without_repeats(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with their own columns, text cleaned, and n_removed (pieces) and removed (their texts)."""
     own = docs.columns
-    regions = repeated_regions(docs, run).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "regions")
+    covered = repeated_sentences(docs, run, min_chars).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "covered")
     df = docs.select(F.struct(*own).alias("_doc"), F.col("doc_id").alias("_doc_id"), row_hash("text").alias("_row_hash"))
-    df = df.join(regions, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
-    df = df.withColumn("_pieces", F.when(F.col("regions").isNotNull(), sentences("_doc.text")))
+    df = df.join(covered, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
+    df = df.withColumn("_pieces", F.when(F.col("covered").isNotNull(), sentences("_doc.text")))
+    df = df.withColumn("_at", F.when(F.col("covered").isNotNull(), F.transform(_filled("_pieces"), lambda x: x["i"])))
+    # sentences that follow each other make one region, with the blank pieces between them
+    begins = F.filter("covered", lambda x, i: F.coalesce(F.get("covered", i - 1) < x - 1, F.lit(True)))
+    ends = F.filter("covered", lambda x, i: F.coalesce(F.get("covered", i + 1) > x + 1, F.lit(True)))
+    df = df.withColumn("_cut", F.arrays_zip(*[F.transform(x, lambda k: F.get("_at", k)).alias(c) for x, c in ((begins, "first"), (ends, "last"))]))
+    df = df.withColumn("_cut", F.transform("_cut", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))))
     part = lambda r: F.array_join(F.slice("_pieces", r["first"] + 1, r["last"] - r["first"] + 1), "")
-    long_enough = F.filter("regions", lambda r: F.regexp_count(part(r), F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-    df = df.withColumn("_cut", long_enough)
     after = lambda i: F.coalesce(F.get("_cut", i - 1)["last"] + 1, F.lit(0))
     kept = F.transform("_cut", lambda r, i: F.array_join(F.slice("_pieces", after(i) + 1, r["first"] - after(i)), ""))
     tail = after(F.size("_cut"))
@@ -103,8 +137,8 @@ def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
     n = F.aggregate("_cut", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return df.select(
         *[text.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in own],
-        F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.transform("_cut", part), F.array().cast("array<string>")).alias("removed"),
+        F.coalesce(n, F.lit(0)).cast("long").alias(free_name("n_removed", own)),
+        F.coalesce(F.transform("_cut", part), F.array().cast("array<string>")).alias(free_name("removed", own)),
     )
 
 
@@ -123,19 +157,28 @@ with p as (
   ) where s <> ''
 ),
 t as (select * exclude (i), row_number() over (partition by doc_id order by i) - 1 as i from p),
-u as (select doc_id, i, b, row_number() over (partition by doc_id order by i) - 1 as k from t where b <> ''),
+u as (
+  select doc_id, i, b, row_number() over (partition by doc_id order by i) - 1 as k, length(b) as w
+  from t where b <> ''
+),
+v as (
+  select doc_id, k, list(w) over near as ws, list(b) over near as bs
+  from u window near as (partition by doc_id order by k rows between current row and 119 following)
+),
 r as (
-  select doc_id, k, i as f, lead(i) over w as l, b as b1, lead(b) over w as b2 from u window w as (partition by doc_id order by k)
+  select doc_id, k, bs, list_filter(range(2, 121), lambda n: n <= len(ws) and list_sum(list_slice(ws, 1, n)) >= 120)[1] as n from v
+),
+q as (
+  select doc_id, k, n, row_number() over (partition by array_to_string(list_slice(bs, 1, n), chr(1)) order by doc_id, k) as nth from r where n is not null
 ),
-q as (select *, row_number() over (partition by b1, b2 order by doc_id, k) as nth from r where b2 is not null),
-c as (select *, case when k - lag(k) over (partition by doc_id order by k) <= 2 then 0 else 1 end as opens from q where nth > 1),
-g as (select *, sum(opens) over (partition by doc_id order by k) as region from c),
-h as (select doc_id, region, min(f) as f, max(l) as l from g group by 1, 2),
+c as (select distinct doc_id, unnest(range(k, k + n)) as k from q where nth > 1),
+o as (select *, case when k - lag(k) over (partition by doc_id order by k) = 1 then 0 else 1 end as opens from c),
+g as (select *, sum(opens) over (partition by doc_id order by k) as region from o),
+x as (select g.doc_id, region, min(u.i) as f, max(u.i) as l from g join u using (doc_id, k) group by 1, 2),
 e as (
-  select h.doc_id, h.f, h.l, string_agg(t.s, '' order by t.i) as part from h join t on t.doc_id = h.doc_id and t.i between h.f and h.l group by 1, 2, 3
+  select x.doc_id, x.f, x.l, string_agg(t.s, '' order by t.i) as part from x join t on t.doc_id = x.doc_id and t.i between x.f and x.l group by 1, 2, 3
 ),
-x as (select * from e where len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) >= 20),
-y as (select doc_id, list(part order by f) as removed, sum(l - f + 1)::bigint as n_removed from x group by 1),
+y as (select doc_id, list(part order by f) as removed, sum(l - f + 1)::bigint as n_removed from e group by 1),
 z as (
   select t.doc_id, string_agg(t.s, '' order by t.i) as text
   from t where not exists (select 1 from x where x.doc_id = t.doc_id and t.i between x.f and x.l) group by 1

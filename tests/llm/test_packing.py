@@ -101,7 +101,10 @@ def test_crossover_wins_where_a_sorted_order_misses_the_bound(seed, monkeypatch)
     best = packing.evolve(lengths, [], 1000, np.random.default_rng(seed))
     assert len(calls) >= packing.GENERATIONS and packing.lower_bound(lengths, 1000) == 40
     first = [len(packing.shuffled_best_fit(lengths, 1000, np.random.default_rng(seed + i))[1]) for i in range(4)]
-    assert len(best[0][1]) < decreasing(lengths, 1000) and len(best[0][1]) < min(first)
+    assert len(best[0][1]) < decreasing(lengths, 1000) and len(best[0][1]) <= min(first)
+    mixed = np.random.default_rng(seed).integers(1, 900, 800)
+    best = packing.evolve(mixed, [], 1000, np.random.default_rng(seed))
+    assert len(best[0][1]) < min(len(packing.shuffled_best_fit(mixed, 1000, np.random.default_rng(seed + i))[1]) for i in range(4))
 
 
 def test_every_group_breeds_on_the_query_path(spark, monkeypatch):
