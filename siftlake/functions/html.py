@@ -4,8 +4,13 @@ A page is cut into its tags by one regular expression; scripts and styles are
 raw text up to their own end tag (or the end of the page), comments are
 dropped. Attribute values are taken from the tag's text. That keeps the whole
 extraction inside the JVM: one pass over the page, no parser process, no
-Python. Tags that stand inside another attribute's quoted value are the known
-limit of this form.
+Python. Quotes count only behind an equals sign, as in the HTML standard, and a
+tag ends before the next '<' outside a quoted value.
+
+Any text can stand in a page, so the expressions neither recurse nor go back:
+repeated groups are possessive, which the matcher runs as loops whatever a
+tag's length, and what may lack its end stops at the next start of its kind or
+at the end of the page.
 """
 
 from __future__ import annotations
@@ -16,16 +21,23 @@ from pyspark.sql import functions as F
 from siftlake.functions.dims import SKIPPED_TAGS
 from siftlake.functions.text import ascii_lower, col, trimmed
 
-COMMENT = r"(?s)<!--.*?-->"
-RAW = r"(?is)<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)"
-TAG = (
-    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|<[a-z][a-z0-9]*(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"
-)
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: What stands between a tag's name and its '>'.
+ATTRIBUTES = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+
+
+def _raw(tag: str) -> str:
+    return rf"<{tag}\b{ATTRIBUTES}>.*?(?:</{tag}\s*+>|\z)"
+
+
+RAW = f"(?is){_raw('script')}|{_raw('style')}"
+TAG = f"{RAW}|<[a-z][a-z0-9]*+{ATTRIBUTES}>"
 NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"
-HEADING = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"
-ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+HEADING = rf"(?is)<h[1-6]\b{ATTRIBUTES}>.*?(?:</h[1-6]\s*+>|(?=<h[1-6]\b)|\z)"
+ANCHOR = rf"(?is)<a\b{ATTRIBUTES}>.*?(?:</a\s*+>|(?=<a\b)|\z)"
+TITLE = rf"(?is)<title\b{ATTRIBUTES}>(.*?)(?:</title\s*+>|\z)"
+#: Any tag, to be taken out of a text.
+MARKUP = r"<[^<>]*+>"
 
 
 def decoded(x: Column) -> Column:
@@ -55,7 +67,7 @@ def elements(page: str | Column) -> Column:
         F.regexp_extract_all(col(page), F.lit(TAG), F.lit(0)),
         lambda t: F.struct(
             ascii_lower(F.regexp_extract(t, NAME, 1)).alias("tag"),
-            F.when(t.rlike(r"(?i)^<(?:script|style)\b"), F.regexp_extract(t, r"(?s)^<[^>]*>", 0)).otherwise(t).alias("open"),
+            F.when(t.rlike(r"(?i)^<(?:script|style)\b"), F.regexp_extract(t, rf"(?s)^<[a-zA-Z]++{ATTRIBUTES}>", 0)).otherwise(t).alias("open"),
             t.alias("whole"),
         ),
     )
@@ -69,7 +81,7 @@ def raw_body(element: Column) -> Column:
 
 def inner_text(fragment: Column) -> Column:
     """The text of a fragment: tags out, references decoded, untrimmed."""
-    return decoded(F.regexp_replace(fragment, r"<[^>]*>", ""))
+    return decoded(F.regexp_replace(fragment, MARKUP, ""))
 
 
 def without_raw(page: str | Column) -> Column:
@@ -96,11 +108,11 @@ def anchor_texts(page: Column) -> Column:
 
 def body_text(page: Column) -> Column:
     """The text of the first body, a space between its parts, without the skipped elements."""
-    body = F.when(page.rlike(r"(?i)<body\b"), F.regexp_extract(page, r"(?is)<body\b[^>]*>(.*)", 1)).otherwise(
+    body = F.when(page.rlike(r"(?i)<body\b"), F.regexp_extract(page, rf"(?is)<body\b{ATTRIBUTES}>(.*)", 1)).otherwise(
         F.regexp_replace(page, r"(?is)^.*</head\s*>", "")
     )
     body = F.regexp_replace(body, r"(?is)</body\s*>.*$", "")
     for tag in SKIPPED_TAGS:
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    body = decoded(F.regexp_replace(body, r"<[^>]*>", " "))
+        body = F.regexp_replace(body, f"(?is){_raw(tag)}", " ")
+    body = decoded(F.regexp_replace(body, MARKUP, " "))
     return F.regexp_replace(body, r"&[A-Za-z]+;|&#[0-9]+;", " ")

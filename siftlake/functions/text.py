@@ -60,8 +60,9 @@ def is_internal(href: str | Column, base: str | Column) -> Column:
 
 
 def truncated(url: str | Column, size: int = 12) -> Column:
-    """The address without its scheme, cut to ``size`` characters."""
-    return F.substring(F.regexp_replace(col(url), "^https?://", ""), 1, size)
+    """The address without its scheme, cut to ``size`` bytes; a character that the cut breaks becomes U+FFFD."""
+    cut = F.substring(F.regexp_replace(col(url), "^https?://", "").cast("binary"), 1, size)
+    return F.make_valid_utf8(cut.cast("string"))
 
 
 def csv_detail(x: str | Column) -> Column:
@@ -95,6 +96,7 @@ def segment(path: str | Column, i: int) -> Column:
 
 
 def normalised_phrase(x: str | Column) -> Column:
+    """A keyword as it is looked for: trimmed, A-Z in lower case."""
     return ascii_lower(trimmed(x))
 
 

@@ -1,13 +1,14 @@
-"""Breadth-first expansion over a link table, and the assignment of pages to runners."""
+"""Breadth-first expansion over a link table, and crawls over a table of pages."""
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.session import staged
+from siftlake.operators.features import page_features
+from siftlake.session import exploded, staged
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -15,8 +16,10 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = No
 
     One round a level: the frontier joins the edges, and pages that were seen
     are left out by an anti join. Every level is written, so lineage does not
-    grow with depth.
+    grow with depth; so are the edges, unless they are a staged table already.
     """
+    if not hasattr(edges, "staged_at"):
+        edges = staged(edges.select("source", "target"), "edges")
     level = staged(seeds.select(F.col("page")).distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = level
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
@@ -28,32 +31,24 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = No
     return seen
 
 
-def numbered(df: DataFrame, major: str, minor: str, width: int = 1 << 16) -> DataFrame:
-    """Add ``index``, each row's place by (major, minor) from 0; ``minor`` is a number.
+def page_links(pages: DataFrame) -> DataFrame:
+    """(source, target): the internal links of pages(url, html, ...) and, where there is a column sitemap_locs, its addresses."""
+    df = page_features(pages)
+    links = F.transform(F.filter("links", lambda x: x["is_internal"]), lambda x: x["href"])
+    if "sitemap_locs" in pages.columns:
+        links = F.concat(links, F.coalesce("sitemap_locs", F.array().cast("array<string>")))
+    return exploded(df, F.array_distinct(links), "target", "url").withColumnRenamed("url", "source")
 
-    Rows are counted within cells of ``width`` minor values and cells before it
-    are summed, so no task holds a whole major group.
+
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> DataFrame:
+    """The pages that a crawl from seeds(url) reports, with their depth.
+
+    Pages whose HTML is null have failed: they are visited, but neither
+    reported nor expanded. Links and sitemap addresses are taken as they stand
+    and followed where a page has that address. The links are extracted once and
+    written; every level then joins them.
     """
-    df = df.withColumn("_cell", F.floor(F.col(minor) / width))
-    sizes = df.groupBy(major, "_cell").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy(major, "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(major, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(major, "_cell").orderBy(minor)
-    return (
-        df.withColumn("_row", F.row_number().over(within) - 1)
-        .join(sizes, [major, "_cell"])
-        .withColumn("index", (F.col("_row") + F.col("_before")).cast("long"))
-        .drop("_row", "_before", "_cell")
-    )
-
-
-def runners(visited: DataFrame, n: int = 4) -> DataFrame:
-    """Add round and runner: pages leave the queue in order, ``n`` a round, one for each runner."""
-    n = max(1, min(16, n))
-    df = numbered(visited, "depth", "page")
-    return df.select("page", "depth", F.floor(F.col("index") / n).cast("long").alias("round"), (F.col("index") % n).cast("int").alias("runner"))
-
-
-def progress(assigned: DataFrame) -> DataFrame:
-    """Pages done by round, the queue's progress events."""
-    return assigned.groupBy("round").agg(F.count("*").alias("done"), F.max("depth").alias("depth"))
+    live = pages.filter(F.col("html").isNotNull())
+    edges = staged(page_links(live), "crawl-links")
+    visited = breadth_first(seeds.select(F.col("url").alias("page")), edges, max_depth)
+    return live.join(visited.withColumnRenamed("page", "url"), "url")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.dims import CATEGORIES, SEVERITIES
 from siftlake.functions.text import get_param, path_of, query_of
+from siftlake.operators.reports import score_line
 
 #: Fixed values. Request paths and their routes.
 ROUTES = {
@@ -57,12 +58,16 @@ def done_event(totals: DataFrame) -> DataFrame:
     return totals.select(F.concat(F.lit("event: done\ndata: "), body, F.lit("\n\n")).alias("event"))
 
 
+def progress_event(state: DataFrame, *keys: str) -> DataFrame:
+    """A progress event from phase, total_done, total_queued and runners, an array of (id, status, pages_done, pages_failed, url)."""
+    one = lambda r: F.struct(*[r[c].alias(c) for c in ("id", "status", "pages_done", "pages_failed", "url")])
+    body = F.to_json(F.struct("phase", "total_done", "total_queued", F.transform("runners", one).alias("runners")))
+    return state.select(*keys, F.concat(F.lit("event: progress\ndata: "), body, F.lit("\n\n")).alias("event"))
+
+
 def diff_lines(deltas: DataFrame, *keys: str) -> DataFrame:
     """A line for each score that changed, from (category, before, after, regressed)."""
-    change = F.abs(F.col("after") - F.col("before"))
-    sign = F.when(F.col("after") > F.col("before"), "+").otherwise("-")
-    tag = F.when(F.col("regressed"), " [REGRESSION]").otherwise("")
-    line = F.format_string("  %s %d -> %d (%s%d)%s", F.rpad("category", 18, " "), "before", "after", sign, change, tag)
+    line = score_line(F.col("category"), F.col("before"), F.col("after"), F.col("regressed"))
     return deltas.filter("before <> after").select(*keys, "category", line.alias("line"))
 
 

@@ -19,9 +19,9 @@ from siftlake.functions.text import (
     is_question,
     is_third_party,
     n_bytes,
+    normalised_phrase,
     trimmed,
 )
-from siftlake.session import exploded
 
 TOP_WORDS = 20
 
@@ -250,6 +250,7 @@ def target_keyword(df: DataFrame, phrase: Column | None) -> DataFrame:
         for c, kind in (("kw_in_title", "boolean"), ("kw_in_h1", "boolean"), ("kw_in_description", "boolean"), ("kw_density", "long")):
             df = df.withColumn(c, F.lit(None).cast(kind))
         return df
+    phrase = normalised_phrase(phrase)
     for c, source in (("kw_in_title", "title"), ("kw_in_h1", "h1"), ("kw_in_description", "description")):
         df = df.withColumn(c, contains_ci(source, phrase))
     return df.withColumn("kw_density", density_permille("body_text", phrase, "total_words"))
@@ -327,13 +328,29 @@ def page_features(pages: DataFrame, keyword: Column | None = None) -> DataFrame:
 
 
 def top_words(df: DataFrame, key: str, text: str, n: int = TOP_WORDS) -> DataFrame:
-    """The n most frequent words of each row's text without stop words; ties by word."""
-    from pyspark.sql import Window
+    """key, word, n and rank of the most frequent words of each row's text; a row stays one row until its words are counted."""
+    df = with_top_words(df, text, n)
+    rows = df.select(key, F.posexplode_outer("top_words").alias("_at", "_w")).filter(F.col("_w").isNotNull())
+    return rows.select(key, "_w.word", "_w.n", (F.col("_at") + 1).cast("int").alias("rank"))
 
-    words = exploded(df, keyword_words(text), "word", key).filter(~F.col("word").isin(*dims.STOP_WORDS))
-    counts = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy(F.col("n").desc(), "word")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+def with_top_words(df: DataFrame, text: str = "body_text", n: int = TOP_WORDS) -> DataFrame:
+    """Add top_words, (word, n) of the n most frequent words of each row's text without stop words; ties by word.
+
+    The words are sorted within the row; where one differs from the one before
+    it a run begins, and the runs' lengths are the counts. No shuffle.
+    """
+    df = df.withColumn("_sorted", F.array_sort(keyword_words(text)))
+    begins = F.filter(
+        F.transform("_sorted", lambda w, i: F.when((i == 0) | (F.get("_sorted", i - 1) != w), i)), lambda i: i.isNotNull()
+    )
+    df = df.withColumn("_begins", begins)
+    run = lambda i, k: F.struct(
+        (i - F.coalesce(F.get("_begins", k + 1), F.size("_sorted"))).cast("long").alias("less"), F.get("_sorted", i).alias("word")
+    )
+    runs = F.filter(F.transform("_begins", run), lambda r: ~r["word"].isin(*dims.STOP_WORDS))
+    top = F.slice(F.array_sort(runs), 1, n)
+    return df.withColumn("top_words", F.transform(top, lambda r: F.struct(r["word"].alias("word"), (-r["less"]).alias("n")))).drop("_sorted", "_begins")
 
 
 __all__ = ["page_features", "parsed_elements", "top_words", "trimmed"]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import dims
-from siftlake.functions.text import contains_ci, csv_detail, density_permille, n_ascii_words, regressed
+from siftlake.functions.text import ascii_lower, csv_detail, density_permille, n_ascii_words, normalised_phrase, regressed
+from siftlake.operators.features import with_top_words
+from siftlake.session import exploded
 
 
 def severity_counts() -> list[Column]:
@@ -37,45 +39,116 @@ def scores_long(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.unpivot(list(keys), dims.CATEGORIES, "category", "score")
 
 
-def compare(scores: DataFrame, key: str, pages: list) -> DataFrame:
-    """Categories by page; ``pages`` are the keys of the columns, in order."""
-    chosen = scores.filter(F.col(key).isin(pages))
-    table = scores_long(chosen, key).groupBy("category").pivot(key, pages).agg(F.first("score"))
+def compare(audited: DataFrame, key: str, pages: list) -> DataFrame:
+    """Categories by page, then a row of critical and warning findings; ``pages`` are the keys of the columns, in order."""
+    n = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
+    line = F.format_string("%3dc %3dw", n("critical"), n("warning"))
+    chosen = audited.filter(F.col(key).isin(pages))
+    chosen = chosen.select(key, *[F.col(c).cast("string").alias(c) for c in dims.CATEGORIES], line.alias("findings"))
+    table = chosen.unpivot([key], [*dims.CATEGORIES, "findings"], "category", "score").groupBy("category").pivot(key, pages).agg(F.first("score"))
     return table.select("category", *[F.col(str(p)).alias(f"page_{p}") for p in pages])
 
 
+def compare_groups(audited: DataFrame, group: Column, values: list[str]) -> DataFrame:
+    """Mean scores (rounded down) by category and the critical and warning findings of groups of pages, a column each.
+
+    Pages are summed by group before anything is turned, so only a row a group is shuffled.
+    """
+    n = lambda s: F.sum(F.size(F.filter("findings", lambda f: f["severity"] == s)))
+    means = [F.floor(F.avg(c)).cast("int").cast("string").alias(c) for c in dims.CATEGORIES]
+    per = audited.groupBy(group.alias("_group")).agg(*means, F.format_string("%3dc %3dw", n("critical"), n("warning")).alias("findings"))
+    table = per.unpivot(["_group"], [*dims.CATEGORIES, "findings"], "category", "value").groupBy("category").pivot("_group", values)
+    return table.agg(F.first("value"))
+
+
+def _changed(audited: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Findings of ``audited`` whose rule the same page of ``other`` does not report; one row a page until the end."""
+    rules = other.select(*keys, F.transform("findings", lambda f: f["rule_id"]).alias("_known"))
+    df = audited.select(*keys, "findings").join(rules, list(keys), "left")
+    new = F.filter("findings", lambda f: F.coalesce(~F.array_contains("_known", f["rule_id"]), F.lit(True)))
+    return exploded(df, new, "_f", *keys).select(*keys, "_f.*")
+
+
 def introduced(fresh: DataFrame, baseline: DataFrame, *keys: str) -> DataFrame:
-    """Findings whose rule the baseline did not report for the page."""
-    return fresh.join(baseline.select(*keys, "rule_id"), [*keys, "rule_id"], "left_anti")
+    """Findings whose rule the baseline did not report for the page; both sides have a row a page with its findings."""
+    return _changed(fresh, baseline, *keys)
 
 
 def resolved(fresh: DataFrame, baseline: DataFrame, *keys: str) -> DataFrame:
     """Findings of the baseline whose rule is not reported any more."""
-    return introduced(baseline, fresh, *keys)
+    return _changed(baseline, fresh, *keys)
 
 
-def score_deltas(fresh: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
-    """Before, after and whether it regressed, for every page and category in both."""
-    after = scores_long(fresh, key).withColumnRenamed("score", "after")
-    before = scores_long(baseline, key).withColumnRenamed("score", "before")
-    return before.join(after, [key, "category"]).withColumn("regressed", regressed("before", "after"))
+def _wide_deltas(fresh: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
+    """Scores of both sides, one row a page: key and _deltas (category, before, after)."""
+    side = lambda df, name: df.select(key, F.struct(*dims.CATEGORIES).alias(name))
+    both = side(baseline, "_before").join(side(fresh, "_after"), key)
+    each = [F.struct(F.lit(c).alias("category"), F.col(f"_before.{c}").alias("before"), F.col(f"_after.{c}").alias("after")) for c in dims.CATEGORIES]
+    return both.select(key, F.array(*each).alias("_deltas"))
 
 
-def keyword_coverage(features: DataFrame, goals: DataFrame, *keys: str) -> DataFrame:
-    """Coverage of each goal keyword on its page; goals(keys..., keyword) join the pages by key."""
-    df = features.select(*keys, "title", "h1", "description", "body_text").join(goals, list(keys))
-    return coverage(df).drop("title", "h1", "description", "body_text")
+def score_deltas(fresh: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
+    """Before, after and whether it regressed, for every page and category in both; pages meet before they are unpivoted."""
+    rows = exploded(_wide_deltas(fresh, baseline, key), "_deltas", "_d", key).select(key, "_d.*")
+    return rows.withColumn("regressed", regressed("before", "after"))
+
+
+def diff_report(fresh: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
+    """key and the text of each page's differences: scores that changed, then introduced and resolved rules with their numbers."""
+    ids = lambda x: F.transform(x, lambda f: f["rule_id"])
+    side = lambda df, name: df.select(key, F.struct(*dims.CATEGORIES, ids("findings").alias("rules")).alias(name))
+    both = side(baseline, "_b").join(side(fresh, "_a"), key)
+    lines = []
+    for c in dims.CATEGORIES:
+        before, after = F.col(f"_b.{c}"), F.col(f"_a.{c}")
+        lines.append(F.when(before != after, score_line(F.lit(c), before, after, regressed(before, after))))
+    for word, sign, one, other in (("introduced", "+", "_a.rules", "_b.rules"), ("resolved", "-", "_b.rules", "_a.rules")):
+        new = F.array_except(one, other)
+        listed = F.array_join(_prefixed(new, sign), "\n")
+        lines.append(F.when(F.size(new) > 0, F.concat(F.format_string(f"  {word} (%d):\n", F.size(new)), listed)))
+    text = F.concat(F.lit("=== Diff: "), F.col(key).cast("string"), F.lit(" ===\n"), F.concat_ws("\n", *lines))
+    return both.select(key, text.alias("report"))
+
+
+def _prefixed(rules: Column, sign: str) -> Column:
+    return F.transform(rules, lambda r: F.concat(F.lit(f"    {sign} "), r))
+
+
+def score_line(category: Column, before: Column, after: Column, is_regression: Column) -> Column:
+    """One line of a score that changed."""
+    sign = F.when(after > before, "+").otherwise("-")
+    tag = F.when(is_regression, " [REGRESSION]").otherwise("")
+    return F.format_string("  %s %d -> %d (%s%d)%s", F.rpad(category, 18, " "), before, after, sign, F.abs(after - before), tag)
+
+
+def keyword_coverage(features: DataFrame, goals: DataFrame, key: str, *keep: str) -> DataFrame:
+    """Coverage of each goal keyword on its page; goals(key, keyword) become one list a page before they meet its texts."""
+    wanted = goals.groupBy(key).agg(F.collect_list("keyword").alias("_goals"))
+    df = features.select(key, *keep, "title", "h1", "description", "body_text").join(wanted, key)
+    return covered_goals(df, "_goals", key, *keep)
+
+
+def covered_goals(df: DataFrame, goals: str | Column, *keys: str) -> DataFrame:
+    """A row for each keyword of the array ``goals`` of each page. Texts are put in lower case once a page.
+
+    Places, density and score: title 40, h1 25, description 20, density of 5 to 30 per mille 15.
+    """
+    texts = ("title", "h1", "description", "body_text")
+    df = df.withColumn("_goals", F.col(goals) if isinstance(goals, str) else goals)
+    df = df.select(*keys, "_goals", *[F.coalesce(ascii_lower(c), F.lit("")).alias(c) for c in texts]).withColumn("_words", n_ascii_words("body_text"))
+    part = lambda test, points: F.when(test, points).otherwise(0)
 
+    def judged(keyword: Column) -> Column:
+        phrase = normalised_phrase(keyword)
+        title, h1, description = (F.col(c).contains(phrase) for c in texts[:3])
+        density = density_permille("body_text", phrase, "_words")
+        score = part(title, 40) + part(h1, 25) + part(description, 20) + part(density.between(5, 30), 15)
+        return F.struct(
+            keyword.alias("keyword"), title.alias("in_title"), h1.alias("in_h1"), description.alias("in_description"),
+            density.alias("density"), score.cast("int").alias("coverage"),
+        )
 
-def coverage(df: DataFrame) -> DataFrame:
-    """Add places, density and score of ``keyword``: title 40, h1 25, description 20, density of 5 to 30 per mille 15."""
-    df = df.withColumn("in_title", contains_ci("title", "keyword"))
-    df = df.withColumn("in_h1", contains_ci("h1", "keyword"))
-    df = df.withColumn("in_description", contains_ci("description", "keyword"))
-    df = df.withColumn("density", density_permille("body_text", "keyword", n_ascii_words("body_text")))
-    part = lambda test, points: F.when(test, points).otherwise(0)
-    score = part(F.col("in_title"), 40) + part(F.col("in_h1"), 25) + part(F.col("in_description"), 20)
-    return df.withColumn("coverage", (score + part(F.col("density").between(5, 30), 15)).cast("int"))
+    return exploded(df, F.transform("_goals", judged), "_g", *keys).select(*keys, "_g.*")
 
 
 def goals_report(covered: DataFrame, *keys: str) -> DataFrame:
@@ -92,12 +165,45 @@ def csv_rows(findings: DataFrame) -> DataFrame:
     return findings.select("url", "rule_id", "category", "severity", csv_detail("detail").alias("detail"))
 
 
-def page_json(audited: DataFrame) -> Column:
-    """A page's report as one JSON object, nulls included."""
-    scores = F.struct(*dims.CATEGORIES)
-    rows = F.transform("findings", lambda f: F.struct(f["rule_id"], f["category"], f["severity"], f["detail"]))
-    body = F.struct("url", "title", "description", "h1", scores.alias("scores"), rows.alias("findings"))
-    return F.to_json(body, {"ignoreNullFields": "false"})
+def page_json(audited: DataFrame, keyword: str | None = None) -> DataFrame:
+    """Add json, the whole report of each page of ``audited`` as one JSON object, nulls included.
+
+    What an audit adds only where it was asked for is taken if the columns are
+    there: status, body_len, duration_ms, profile, has_robots, sitemap_url,
+    keyword_coverages, psi and builtwith; otherwise it is null or empty.
+    """
+    has = lambda c: c in audited.columns
+    given = lambda c, other: (F.col(c) if has(c) else other).alias(c)
+    df = audited if has("top_words") else with_top_words(audited)
+    target = [F.lit(keyword).cast("string").alias("target_keyword")]
+    if keyword is not None:
+        places = ((c, f"kw_{c}") for c in ("in_title", "in_h1", "in_description"))
+        target += [F.col(b).alias(a) for a, b in places] + [F.col("kw_density").alias("density_permille")]
+    words = F.transform("top_words", lambda w: F.struct(w["word"].alias("word"), w["n"].alias("count")))
+    flags = {"has_faq_schema": "has_faq", "has_howto_schema": "has_howto", "has_article_schema": "has_article",
+             "has_author_entity": "has_author", "has_publisher_entity": "has_publisher", "has_qa_headings": "has_qa_headings",
+             "outbound_link_count": "outbound_links"}
+    body = F.struct(
+        "url",
+        given("status", F.lit(200)),
+        given("body_len", F.col("html_bytes")),
+        given("duration_ms", F.col("fetch_ms") if has("fetch_ms") else F.lit(0)),
+        given("profile", F.lit("desktop")),
+        F.lit(False).alias("gpu_accelerated"),
+        "title", "description", "h1",
+        F.size("links").alias("link_count"), "internal_links", "external_links", F.size("headings").alias("heading_count"),
+        given("has_robots", F.lit(False)),
+        given("sitemap_url", F.lit(None).cast("string")),
+        F.struct("total_words", words.alias("top_keywords"), *target).alias("keyword_analysis"),
+        given("keyword_coverages", F.array().cast("array<string>")),
+        "hreflang_count",
+        given("psi", F.lit(None).cast("string")),
+        given("builtwith", F.lit(None).cast("string")),
+        F.struct(*[F.col(b).alias(a) for a, b in flags.items()]).alias("aeo_data"),
+        F.struct(*dims.CATEGORIES).alias("scores"),
+        F.transform("findings", lambda f: F.struct(*[f[c].alias(c) for c in ("rule_id", "category", "severity", "detail")])).alias("findings"),
+    )
+    return df.withColumn("json", F.to_json(body, {"ignoreNullFields": "false"}))
 
 
 def latest_runs(runs: DataFrame, key: str, at: str, n: int = 20, tie: str | None = None) -> DataFrame:

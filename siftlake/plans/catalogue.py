@@ -13,7 +13,7 @@ from siftlake.plans import decorate
 from siftlake.plans.decorate import KEYWORD, decorated
 from siftlake.plans.oracle import audit, decode, host, low, occurrences, prelude, q, third, trim, words
 from siftlake.session import exploded, table
-from siftlake.sources import enrich, robots, sitemaps
+from siftlake.sources import documents, enrich, robots, sitemaps
 from siftlake.streaming import totals
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,7 +101,7 @@ _WCAG = ("h1_count", "images_missing_alt", "images_empty_alt", "empty_links", "g
 
 @query(
     _WITH + f"select page_id, {_bigint(*_WCAG)}, html_lang, zoom_disabled, has_skip_link, has_main_landmark, has_nav_landmark,"
-    " array_to_string(heading_sequence, ' ') as sequence from f"
+    " coalesce(array_to_string(heading_sequence, ' '), '') as sequence from f"
 )
 def wcag_features(spark, sf_dir):
     flags = ("html_lang", "zoom_disabled", "has_skip_link", "has_main_landmark", "has_nav_landmark")
@@ -189,23 +189,31 @@ def stopword_filter(spark, sf_dir):
     return by_page.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
 
 
-_GOALS = ("audit tool", "the", "How to", "plain site", "")
-_GOAL_ROWS = " union all ".join(f"select {q(g)} as keyword" for g in _GOALS)
 _COVERED = (
-    f"cv as (select f.page_id, g.keyword, contains({low('coalesce(title, chr(32))')}, {low('keyword')}) as in_title, contains({low('coalesce(h1, chr(32))')}, {low('keyword')}) as in_h1,"
-    f" contains({low('coalesce(description, chr(32))')}, {low('keyword')}) as in_description,"
-    f" case when {words('body_text')} > 0 and keyword <> '' then {occurrences('body_text', 'keyword')} * {words('keyword')} * 1000 // {words('body_text')} else 0 end as density"
-    f" from f, ({_GOAL_ROWS}) g where f.page_id % 2 = 0 or g.keyword <> 'the'),"
+    "gl as (select page_id, unnest(['audit tool', 'the', ' How to ', 'plain site', '', split_part(url, '/', 4)]) as keyword from f),"
+    f"gk as (select page_id, keyword, {low(trim('keyword'))} as phrase from gl),"
+    f"cv as (select f.page_id, g.keyword, contains({low("coalesce(title, '')")}, phrase) as in_title, contains({low("coalesce(h1, '')")}, phrase) as in_h1,"
+    f" contains({low("coalesce(description, '')")}, phrase) as in_description,"
+    f" case when {words('body_text')} > 0 and phrase <> '' then {occurrences('body_text', 'phrase')} * {words('phrase')} * 1000 // {words('body_text')} else 0 end as density"
+    " from f join gk g using (page_id)),"
     "cs as (select *, least(100, case when in_title then 40 else 0 end + case when in_h1 then 25 else 0 end + case when in_description then 20 else 0 end"
     " + case when density between 5 and 30 then 15 else 0 end)::int as coverage from cv)"
 )
 
 
+def _goals(spark, sf_dir) -> DataFrame:
+    return documents.goals(table(spark, sf_dir, "pages").select(F.expr(decorate.GOALS_SQL).alias("body")))
+
+
+@query(
+    "select url, unnest(['audit tool', 'the', ' How to ', 'plain site', '', split_part(url, '/', 4)]) as keyword from pages"
+)
+def goals_source(spark, sf_dir):
+    return _goals(spark, sf_dir)
+
+
 def _covered(spark, sf_dir) -> DataFrame:
-    pages = _features(spark, sf_dir)
-    goals = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*[F.lit(g) for g in _GOALS])).alias("keyword"))
-    goals = goals.filter("page_id % 2 = 0 or keyword <> 'the'")
-    return reports.keyword_coverage(pages, goals, "page_id")
+    return reports.keyword_coverage(_features(spark, sf_dir), _goals(spark, sf_dir), "url", "page_id").drop("url")
 
 
 @query(_WITH.rstrip() + ", " + _COVERED + " select page_id, keyword, in_title, in_h1, in_description, density::bigint as density, coverage from cs")
@@ -273,26 +281,28 @@ def crawl_totals(spark, sf_dir):
     return reports.crawl_totals(_audited(spark, sf_dir))
 
 
-_COMPARED = [1, 2, 3]
+_LANGS = ["de", "en", "es", "fr"]
+_BY_LANG = (
+    f"select split_part(url, '/', 4) as lang, category, floor(avg(score))::int::varchar as v from ({_UNPIVOT}) join pages using (page_id) group by 1, 2"
+    " union all select split_part(f.url, '/', 4), 'findings', printf('%3dc %3dw', count(*) filter (where severity = 'critical'), count(*) filter (where severity = 'warning'))"
+    " from f left join fi on fi.page_id = f.page_id group by 1"
+)
 
 
-@query(
-    _AUDIT + "select category, " + ", ".join(f"max(score) filter (where page_id = {p})::int as page_{p}" for p in _COMPARED)
-    + f" from ({_UNPIVOT}) where page_id in (1, 2, 3) group by 1"
-)
+@query(_AUDIT + "select category, " + ", ".join(f"max(v) filter (where lang = '{x}') as {x}" for x in _LANGS) + f" from ({_BY_LANG}) group by 1")
 def compare_pivot(spark, sf_dir):
-    return reports.compare(rules.scores(_audited(spark, sf_dir), "page_id"), "page_id", _COMPARED)
+    return reports.compare_groups(_audited(spark, sf_dir), F.split_part("url", F.lit("/"), F.lit(4)), _LANGS)
 
 
 @query(_DIFF + "select page_id, rule_id, category, severity from fi a where not exists (select 1 from fi2 b where b.page_id = a.page_id and b.rule_id = a.rule_id)")
 def diff_introduced(spark, sf_dir):
-    fresh, old = (rules.findings(_audited(spark, sf_dir, s), "page_id") for s in (0, 5))
+    fresh, old = (_audited(spark, sf_dir, s) for s in (0, 5))
     return reports.introduced(fresh, old, "page_id").select("page_id", "rule_id", "category", "severity")
 
 
 @query(_DIFF + "select page_id, rule_id, category, severity from fi2 a where not exists (select 1 from fi b where b.page_id = a.page_id and b.rule_id = a.rule_id)")
 def diff_resolved(spark, sf_dir):
-    fresh, old = (rules.findings(_audited(spark, sf_dir, s), "page_id") for s in (0, 5))
+    fresh, old = (_audited(spark, sf_dir, s) for s in (0, 5))
     return reports.resolved(fresh, old, "page_id").select("page_id", "rule_id", "category", "severity")
 
 
@@ -305,6 +315,39 @@ def score_regressions(spark, sf_dir):
     return reports.score_deltas(fresh, old, "page_id")
 
 
+_ORDER = "[" + ", ".join(f"'{r.rule_id}'" for r in rules.RULES) + "]"
+_CATEGORY_ORDER = "[" + ", ".join(f"'{c}'" for c in dims.CATEGORIES) + "]"
+_NEW_RULES = (
+    "select page_id, '  {word} (' || count(*) || '):' || chr(10) || string_agg('    {sign} ' || rule_id, chr(10) order by list_position(" + _ORDER + ", rule_id)) as t"
+    " from {a} a where not exists (select 1 from {b} b where b.page_id = a.page_id and b.rule_id = a.rule_id) group by 1"
+)
+
+
+@query(
+    _DIFF + "select s.page_id, '=== Diff: ' || s.page_id || ' ===' || chr(10) || concat_ws(chr(10), d.t, i.t, r.t) as report from sc s left join ("
+    " select page_id, string_agg(line, chr(10) order by list_position(" + _CATEGORY_ORDER + ", category)) as t from ("
+    "select a.page_id, a.category, '  ' || rpad(a.category, 18, ' ') || ' ' || b.score || ' -> ' || a.score || ' (' || case when a.score > b.score then '+' else '-' end || abs(a.score - b.score)"
+    f" || ')' || case when b.score - a.score >= 5 then ' [REGRESSION]' else '' end as line from ({_UNPIVOT}) a join ({_UNPIVOT.replace('from sc', 'from sc2')}) b"
+    " on a.page_id = b.page_id and a.category = b.category where a.score <> b.score) group by 1) d using (page_id)"
+    f" left join ({_NEW_RULES.format(word='introduced', sign='+', a='fi', b='fi2')}) i using (page_id)"
+    f" left join ({_NEW_RULES.format(word='resolved', sign='-', a='fi2', b='fi')}) r using (page_id)"
+)
+def diff_report(spark, sf_dir):
+    fresh, old = (_audited(spark, sf_dir, s) for s in (0, 5))
+    return reports.diff_report(fresh, old, "page_id")
+
+
+@query(
+    _DIFF + f"select sc2.url, {', '.join(dims.CATEGORIES)}, count(rule_id)::bigint as findings, coalesce(string_agg(rule_id, ' ' order by list_position({_ORDER}, rule_id)), '') as rules"
+    f" from sc2 left join fi2 on fi2.page_id = sc2.page_id group by sc2.url, {', '.join(dims.CATEGORIES)}"
+)
+def baseline_source(spark, sf_dir):
+    """Reports written as JSON and read again as a baseline."""
+    texts = reports.page_json(_audited(spark, sf_dir, 5), KEYWORD).select("json")
+    rules_ = F.array_join(F.transform("findings", lambda f: f["rule_id"]), " ")
+    return documents.baseline(texts, "json").select("url", *dims.CATEGORIES, F.size("findings").cast("long").alias("findings"), rules_.alias("rules"))
+
+
 # -- events and lines -----------------------------------------------------------------------------------------------
 
 _SCORES_JSON = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in dims.CATEGORIES) + " || '}'"
@@ -335,7 +378,10 @@ def diff_lines(spark, sf_dir):
     return events.diff_lines(score_regressions(spark, sf_dir), "page_id")
 
 
-@query()
+@query(
+    _WITH.rstrip() + ", " + _COVERED + " select page_id, '{\"page_id\":' || page_id || ',\"keyword_coverage\":[' || string_agg('{\"keyword\":\"' || keyword || '\",\"in_title\":' || in_title || ',\"in_h1\":' || in_h1"
+    " || ',\"in_description\":' || in_description || ',\"density_permille\":' || density || ',\"coverage_score\":' || coverage || '}', ',' order by keyword) || ']}' as json from cs group by 1"
+)
 def goals_json(spark, sf_dir):
     return events.goals_json(_covered(spark, sf_dir), "page_id")
 
@@ -391,9 +437,32 @@ def csv_rows(spark, sf_dir):
     return reports.csv_rows(rules.findings(_audited(spark, sf_dir), "url"))
 
 
-@query()
+_TOP20 = (
+    "tk20 as (select page_id, list(struct_pack(word := word, count := n) order by rank) as top from ("
+    "select page_id, word, n, row_number() over (partition by page_id order by n desc, word) as rank from (select page_id, word, count(*) as n from wd"
+    f" where word not in ({_STOP}) group by 1, 2)) where rank <= 20 group by 1)"
+)
+_AEO_JSON = {"has_faq_schema": "has_faq", "has_howto_schema": "has_howto", "has_article_schema": "has_article", "has_author_entity": "has_author",
+             "has_publisher_entity": "has_publisher", "has_qa_headings": "has_qa_headings", "outbound_link_count": "outbound_links"}
+_obj = lambda pairs: "json_object(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")"
+
+
+@query(
+    "with " + audit() + ", " + _TOP20 + ", fj as (select page_id, to_json(list(struct_pack(rule_id := rule_id, category := category, severity := severity, detail := detail)"
+    f" order by list_position({_ORDER}, rule_id))) as j from fi group by 1) select f.page_id, "
+    + _obj([
+        ("url", "f.url"), ("status", "200"), ("body_len", "html_bytes"), ("duration_ms", "0"), ("profile", "'desktop'"), ("gpu_accelerated", "false"),
+        ("title", "title"), ("description", "description"), ("h1", "h1"), ("link_count", "n_links"), ("internal_links", "internal_links"),
+        ("external_links", "external_links"), ("heading_count", "len(coalesce(outline, []))"), ("has_robots", "false"), ("sitemap_url", "null"),
+        ("keyword_analysis", _obj([("total_words", "total_words"), ("top_keywords", "coalesce(to_json(top), '[]'::json)"), ("target_keyword", f"'{KEYWORD}'"),
+                                   ("in_title", "kw_in_title"), ("in_h1", "kw_in_h1"), ("in_description", "kw_in_description"), ("density_permille", "kw_density")])),
+        ("keyword_coverages", "'[]'::json"), ("hreflang_count", "hreflang_count"), ("psi", "null"), ("builtwith", "null"),
+        ("aeo_data", _obj(_AEO_JSON.items())), ("scores", _obj([(c, f"sc.{c}") for c in dims.CATEGORIES])), ("findings", "coalesce(fj.j, '[]'::json)"),
+    ])
+    + "::varchar as json from f join sc using (page_id) left join tk20 using (page_id) left join fj using (page_id)"
+)
 def page_json(spark, sf_dir):
-    return _audited(spark, sf_dir).select("page_id", reports.page_json(None).alias("json"))
+    return reports.page_json(_audited(spark, sf_dir), KEYWORD).select("page_id", "json")
 
 
 @query("select page_id, substr(regexp_replace(url, '^https?://', ''), 1, 12) as short, url from pages")
@@ -421,6 +490,41 @@ def host_counts(spark, sf_dir):
     return pages.groupBy(text.hostname("url").alias("host")).agg(F.count("*").alias("pages"), secure)
 
 
+@query(
+    "select page_id, url as decoded, case when page_id % 2 = 0 then url end as followed, 'siftlake/1.0 (site auditor; https://' || split_part(url, '/', 3) || '; profile=mobile)' as agent,"
+    " (page_id % 4)::bigint as redirect_depth, (page_id * 3)::bigint as fetch_ms from pages"
+)
+def address_functions(spark, sf_dir):
+    """Percent decoding, redirect targets and user agents of the pages' addresses, and the columns a fetch leaves on a page."""
+    fetched = decorated(table(spark, sf_dir, "pages")).withColumn("fetch_ms", F.col("page_id") * 3).withColumn("redirect_depth", F.col("page_id") % 4)
+    df = features.page_features(fetched)
+    location = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/"), F.col("url")))
+    contact = F.concat(F.lit("https://"), F.split_part("url", F.lit("/"), F.lit(3)))
+    agent = events.user_agent(F.lit("siftlake"), F.lit("1.0"), contact, F.lit("mobile"))
+    return df.select(
+        "page_id", text.percent_decoded(F.url_encode("url")).alias("decoded"), text.resolved_redirect(location).alias("followed"), agent.alias("agent"),
+        F.col("redirect_depth").cast("long").alias("redirect_depth"), F.col("fetch_ms").cast("long").alias("fetch_ms"),
+    )
+
+
+@query(
+    "select type, count(*)::bigint as n, count(url)::bigint as urls, coalesce(sum(done), 0)::bigint as done from (select case when page_id % 3 = 0 then 'progress' else 'page' end as type,"
+    " case when page_id % 3 <> 0 then url end as url, case when page_id % 3 = 0 then page_id end as done from pages where page_id % 7 <> 0 and page_id % 5 <> 0) group by 1"
+)
+def event_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "pages").select(F.expr(decorate.EVENT_SQL).alias("value"))
+    done = F.coalesce(F.sum("total_done"), F.lit(0)).alias("done")
+    return totals.parsed_events(lines).groupBy("type").agg(F.count("*").alias("n"), F.count("url").alias("urls"), done)
+
+
+@query(
+    "select page_id, i::int as ordinal, case when i = 0 then 'quick_win' else 'major' end as quadrant, case when i = 0 then split_part(url, '/', 4) else 't' end as title,"
+    " case when i = 0 then 'd' end as detail, case when i = 0 then 'low' end as effort, case when i = 0 then 'high' end as impact from pages, range(0, 3) r(i) where i <= page_id % 3"
+)
+def recommendation_rows(spark, sf_dir):
+    return enrich.recommendations(table(spark, sf_dir, "pages").select("page_id", F.expr(decorate.ADVICE_SQL).alias("body")), "page_id")
+
+
 # -- sources --------------------------------------------------------------------------------------------------------
 
 _ROBOT_LINES = (
@@ -585,20 +689,36 @@ def frontier_bfs(spark, sf_dir):
     return _visited(spark, sf_dir)
 
 
-@query(
-    f"with recursive {_BFS} select page, depth::int as depth, ((i - 1) // 4)::bigint as round, ((i - 1) % 4)::int as runner"
-    " from (select *, row_number() over (order by depth, page) as i from v)"
+_SITE_BFS = (
+    "p as (select page_id, page_id % 13 <> 5 as live from pages),"
+    "e as (select page_id as s, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) as t from p where live"
+    " union select page_id, 3 * page_id + 2 from p where live and page_id % 5 = 0),"
+    f"w(page, depth) as (select 0::bigint, 0 union select e.t, w.depth + 1 from w join e on e.s = w.page where w.depth < {_DEPTH}),"
+    "v as (select page, min(depth) as depth from w group by 1),"
+    "c as (select page_id, depth::int as depth from v join p on p.page_id = v.page where live)"
 )
-def runner_assignment(spark, sf_dir):
-    return crawl.runners(_visited(spark, sf_dir))
 
 
-@query(
-    f"with recursive {_BFS} select ((i - 1) // 4)::bigint as round, count(*)::bigint as done, max(depth)::int as depth"
-    " from (select *, row_number() over (order by depth, page) as i from v) group by 1"
-)
-def crawl_progress(spark, sf_dir):
-    return crawl.progress(crawl.runners(_visited(spark, sf_dir)))
+def _crawled(spark, sf_dir, *columns: str) -> DataFrame:
+    """The pages as one site, crawled from page 0 by their own links and sitemap addresses until nothing new is found."""
+    address = lambda n: F.concat(F.lit(decorate.SITE), n.cast("string"))
+    locs = F.when(F.col("page_id") % 5 == 0, F.array(address(3 * F.col("page_id") + 2)))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.col("url").alias("own_url"), address(F.col("page_id")).alias("url"), F.expr(decorate.site_html_sql()).alias("html"), locs.alias("sitemap_locs")
+    )
+    seeds = spark.createDataFrame([(decorate.SITE + "0",)], "url string")
+    return crawl.crawl(pages, seeds, None).select("page_id", "depth", *columns)
+
+
+@query(f"with recursive {_SITE_BFS} select page_id, depth from c")
+def crawl_reports(spark, sf_dir):
+    return _crawled(spark, sf_dir)
+
+
+@query(f"with recursive {_SITE_BFS} select depth, split_part(url, '/', 4) as lang, count(*)::bigint as pages from c join pages using (page_id) group by 1, 2")
+def crawl_depths(spark, sf_dir):
+    found = _crawled(spark, sf_dir, "own_url")
+    return found.groupBy("depth", F.split_part("own_url", F.lit("/"), F.lit(4)).alias("lang")).agg(F.count("*").alias("pages"))
 
 
 @query(

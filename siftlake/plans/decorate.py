@@ -52,13 +52,42 @@ def html_sql(shift: int = 0) -> str:
         _times(p, 4, '<a href="http://plain.example.org/p">plain site</a>'),
         f"case when {p} % 3 = 0 then '<h2>How to audit</h2>' else '<h2>Overview</h2>' end",
         _every(p, 10, "= 0", '<div class="Cookie-Banner">ok</div>'),
+        f"case when {p} % 29 = 3 then concat('<p>', repeat('audit tool ', 400), '</p>') else '' end",
         _every(p, 12, "= 5", '<iframe src="https://www.youtube.com/embed/1"></iframe><main>m</main>'),
     ]
     html = f"replace(html, '</head>', concat({', '.join(head)}, '</head>'))"
     html = f"replace({html}, '<body>', concat('<body>', {', '.join(body)}))"
     titles = f"case {p} % 19 when 0 then '<title></title><title>' when 1 then '<title>Tiny</title><title>' when 2 then concat('<title>', repeat('long title ', 8), '</title><title>') else '<title>' end"
     html = f"replace({html}, '<title>', {titles})"
-    return f"replace({html}, ' lang=\"', case when {p} % 17 = 0 then ' data-lang=\"' else ' lang=\"' end)"
+    html = f"replace({html}, ' lang=\"', case when {p} % 17 = 0 then ' data-lang=\"' else ' lang=\"' end)"
+    # a page of stop words only
+    return f"case when {p} % 31 = 4 then '<html lang=\"en\"><head><title>the and that</title></head><body>the and the with</body></html>' else {html} end"
+
+
+#: A goals file for each page, with a keyword that depends on the page.
+GOALS_SQL = (
+    "concat('{\"pages\":[{\"url\":\"', url, '\",\"keywords\":[\"audit tool\",\"the\",\" How to \",\"plain site\",\"\",\"',"
+    " split_part(url, '/', 4), '\"]}],\"by\":\"editor\"}')"
+)
+#: A page's crawl log line; every seventh is broken, every fifth of a type that is not known.
+EVENT_SQL = (
+    "case when page_id % 7 = 0 then '{\"type\":' when page_id % 5 = 0 then '{\"type\":\"ping\"}'"
+    " when page_id % 3 = 0 then concat('{\"type\":\"progress\",\"phase\":\"crawling\",\"total_done\":', cast(page_id as varchar(20)), ',\"total_queued\":4}')"
+    " else concat('{\"type\":\"page\",\"url\":\"', url, '\",\"status\":200}') end"
+)
+ADVICE_SQL = (
+    "concat('[{\"quadrant\":\"quick_win\",\"title\":\"', split_part(url, '/', 4), '\",\"detail\":\"d\",\"effort\":\"low\",\"impact\":\"high\"}',"
+    " repeat(',{\"quadrant\":\"major\",\"title\":\"t\",\"extra\":1}', cast(page_id % 3 as int)), ']')"
+)
+
+SITE = "https://site.example.org/p/"
+
+
+def site_html_sql() -> str:
+    """The HTML of pages as one site: each page links to two later ones and one earlier; every thirteenth fails."""
+    link = lambda n: f"'<a href=\"{SITE}', cast({n} as varchar(20)), '\">n</a>'"
+    links = ", ".join(link(n) for n in ("2 * page_id + 1", "2 * page_id + 2", "cast(floor(page_id / 3) as bigint)"))
+    return f"case when page_id % 13 = 5 then null else replace(html, '<body>', concat('<body>', {links})) end"
 
 
 SITEMAP_SQL = "page_id % 2 = 0"

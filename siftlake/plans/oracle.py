@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from siftlake.functions import dims, html
+from siftlake.functions import dims
 from siftlake.plans.decorate import KEYWORD, SITEMAP_SQL, html_sql
 
+# The patterns are the oracle's own: linear matching, without possessives and lookaheads.
+COMMENT = r"(?s)<!--.*?-->"
+RAW = r"(?is)<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)"
+TAG = (
+    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|<[a-z][a-z0-9]*(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"
+)
+NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"
+HEADING = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"
+ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -85,12 +97,12 @@ def prelude(shift: int = 0, tag: str = "") -> str:
     ext = "tag = 'script' and coalesce(src, '') <> ''"
     return rf"""
 dec{t} as (select page_id, url, {html_sql(shift)} as html, {SITEMAP_SQL} as has_sitemap from pages),
-pg{t} as (select *, {sub("html", html.COMMENT, "")} as page from dec{t}),
-pl{t} as (select *, {sub("page", html.RAW, " ")} as plain, {body_text("page")} as body_text from pg{t}),
+pg{t} as (select *, {sub("html", COMMENT, "")} as page from dec{t}),
+pl{t} as (select *, {sub("page", RAW, " ")} as plain, {body_text("page")} as body_text from pg{t}),
 tk{t} as (
-  select page_id, url, i, t, {low(f"regexp_extract(t, {q(html.NAME)}, 1)")} as tag, {open_} as o
+  select page_id, url, i, t, {low(f"regexp_extract(t, {q(NAME)}, 1)")} as tag, {open_} as o
   from (select page_id, url, generate_subscripts(x, 1) as i, unnest(x) as t
-        from (select page_id, url, regexp_extract_all(page, {q(html.TAG)}) as x from pl{t}))
+        from (select page_id, url, regexp_extract_all(page, {q(TAG)}) as x from pl{t}))
 ),
 el{t} as (
   select page_id, url, i, tag, o, {attr("o", "src")} as src, {attr("o", "href")} as href, {attr("o", "rel")} as rel,
@@ -105,11 +117,11 @@ el{t} as (
 ),
 hd{t} as (
   select page_id, i, substr(h, 3, 1)::int as level, {trim(inner("h"))} as text
-  from (select page_id, generate_subscripts(x, 1) as i, unnest(x) as h from (select page_id, regexp_extract_all(plain, {q(html.HEADING)}) as x from pl{t}))
+  from (select page_id, generate_subscripts(x, 1) as i, unnest(x) as h from (select page_id, regexp_extract_all(plain, {q(HEADING)}) as x from pl{t}))
 ),
 an{t} as (
   select page_id, {trim(inner("a"))} as text
-  from (select page_id, unnest(regexp_extract_all(plain, {q(html.ANCHOR)})) as a from pl{t})
+  from (select page_id, unnest(regexp_extract_all(plain, {q(ANCHOR)})) as a from pl{t})
 ),
 hx{t} as (
   select page_id, count(*) filter (where level = 1) as h1_count, min_by(text, i) filter (where level = 1) as h1,
@@ -184,7 +196,7 @@ ex{t} as (
 ),
 fe{t} as (
   select p.page_id, p.url, p.has_sitemap, p.body_text, strlen(p.html) as html_bytes,
-    case when regexp_matches(plain, {q(html.TITLE)}) then {inner(f"regexp_extract(plain, {q(html.TITLE)}, 1)")} end as title,
+    case when regexp_matches(plain, {q(TITLE)}) then {inner(f"regexp_extract(plain, {q(TITLE)}, 1)")} end as title,
     starts_with(p.url, 'https://') as is_https, ex.* exclude (page_id), hx.* exclude (page_id, h1_count, has_qa_headings),
     coalesce(h1_count, 0) as h1_count, coalesce(hx.has_qa_headings, false) as has_qa_headings,
     coalesce(empty_links, 0) as empty_links, coalesce(generic_links, 0) as generic_links,

@@ -105,3 +105,29 @@ def test_body_text_skips_code_and_comments(audit):
     r, none = audit(page("", "a<b>b</b><!-- no --><script>x</script><pre>y</pre><code>z</code><noscript>w</noscript>c&nbsp;d"), (URL, None))
     assert r["body_text"].split() == ["a", "b", "c", "d"]
     assert none["title"] is None and none["total_words"] == 0 and none["html_lang"] is None
+
+
+def test_no_page_ends_the_jvm(audit):
+    attributes = "<p " + " ".join(f'a{i}="v{i}"' for i in range(20000)) + "><a href='/x'>x</a>"
+    unbalanced = '<p class="x>\n' + '<a href="/y">y</a>\n' * 30000
+    pages = [
+        attributes,
+        unbalanced,
+        '<p class="x>' + "a" * 5_000_000,
+        "<" * 200_000 + "<a " * 200_000,
+        "<!--" * 100_000 + "<h1>" * 50_000 + "<a>" * 50_000,
+        "<title>" * 50_000 + "<script>" + "<script" * 50_000,
+        '<a href="/1">one</a><img src=\'x\' alt="a > b"><a href=/2>two<a href="/3"',
+        "<a href='" * 60_000,
+        "=" * 1_000_000 + '<b ="' * 50_000,
+        None,
+    ]
+    out = audit(*pages)
+    assert len(out) == len(pages) and [x["href"] for x in out[0]["links"]] == ["/x"]
+    assert len(out[1]["links"]) == 29_999 and out[6]["image_count"] == 1
+    assert [x["href"] for x in out[6]["links"]] == ["/1", "/2"] and out[6]["images_missing_alt"] == 0
+
+
+def test_unclosed_parts_stop_at_the_next(audit):
+    row = audit("<title>T</title><h1>one<h2>two</h2><a href='/1'>x<a href='/2'>y</a><!-- open")[0]
+    assert [(h["level"], h["text"]) for h in row["headings"]] == [(1, "one"), (2, "two")] and row["title"] == "T"

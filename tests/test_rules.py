@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from siftlake.functions.dims import CATEGORIES
-from siftlake.operators.reports import coverage, csv_rows, latest_runs
+from siftlake.functions.text import truncated
+from siftlake.operators.reports import compare, covered_goals, csv_rows, latest_runs
 from siftlake.operators.rules import RULES, findings, with_findings
 
 PERFECT = {
@@ -89,8 +90,22 @@ def test_scores_stay_in_bounds(spark, changes):
 
 def test_coverage_scores(spark):
     rows = [("Buy shoes", None, None, "x"), ("Buy shoes", "shoes", "red SHOES", "shoes are " + "a " * 97), (None, None, None, "")]
-    df = spark.createDataFrame([(*r, "shoes") for r in rows], "title string, h1 string, description string, body_text string, keyword string")
-    assert [r["coverage"] for r in coverage(df).collect()] == [40, 100, 0]
+    df = spark.createDataFrame([(i, *r, [" Shoes "]) for i, r in enumerate(rows)], "k int, title string, h1 string, description string, body_text string, goals array<string>")
+    out = sorted(covered_goals(df, "goals", "k").collect(), key=lambda r: r["k"])
+    assert [r["coverage"] for r in out] == [40, 100, 0] and {r["keyword"] for r in out} == {" Shoes "}
+
+
+def test_compare_has_a_findings_row(spark):
+    finding = [("r1", "critical"), ("r2", "warning"), ("r3", "warning"), ("r4", "info")]
+    rows = [(i, *range(10 * i, 10 * i + 7), finding[: i + 1]) for i in range(4)]
+    df = spark.createDataFrame(rows, "page int, " + ", ".join(f"{c} int" for c in CATEGORIES) + ", findings array<struct<rule_id:string,severity:string>>")
+    out = {r["category"]: (r["page_3"], r["page_1"]) for r in compare(df, "page", [3, 1]).collect()}
+    assert len(out) == 8 and out["performance"] == ("30", "10") and out["aeo"] == ("36", "16") and out["findings"] == ("  1c   2w", "  1c   1w")
+
+
+@pytest.mark.parametrize(("url", "want"), [("https://example.com/page", "example.com/"), ("http://é/ab漢字漢", "é/ab漢字\ufffd"), ("x", "x"), (None, None)])
+def test_addresses_are_cut_by_bytes(spark, url, want):
+    assert spark.createDataFrame([(url,)], "u string").select(truncated("u").alias("t")).first()["t"] == want
 
 
 @pytest.mark.parametrize(("detail", "want"), [("plain", "plain"), ("a,b", '"a,b"'), ('say "x"', '"say ""x"""'), ("l\nm", '"l\nm"')])

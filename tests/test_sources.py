@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from siftlake.functions import text
 from siftlake.operators import crawl, events
 from siftlake.plans import catalogue
-from siftlake.sources import enrich, robots, sitemaps
+from siftlake.functions.dims import CATEGORIES
+from siftlake.sources import documents, enrich, robots, sitemaps
 from siftlake.streaming import totals
 
 ROBOTS = """# x
@@ -99,9 +100,51 @@ def test_breadth_first_finds_least_depth_in_cycles(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 3), (3, 2), (2, 4), (4, 5)], "source bigint, target bigint")
     seen = crawl.breadth_first(spark.createDataFrame([(0,), (0,)], "page bigint"), edges, 3)
     assert {r["page"]: r["depth"] for r in seen.collect()} == {0: 0, 1: 1, 3: 1, 2: 2, 4: 3}
-    at = {r["page"]: (r["round"], r["runner"]) for r in crawl.runners(seen, 2).collect()}
-    assert at == {0: (0, 0), 1: (0, 1), 3: (1, 0), 2: (1, 1), 4: (2, 0)}
-    assert {(r["round"], r["done"]) for r in crawl.progress(crawl.runners(seen, 2)).collect()} == {(0, 2), (1, 2), (2, 1)}
+
+
+def test_crawl_follows_links_and_sitemaps_and_drops_failures(spark):
+    site = "https://s.example.org/"
+    link = lambda *pages: "<html><body>" + "".join(f'<a href="{site}{p}">x</a>' for p in pages) + '<a href="https://other.example.org/z">z</a></body></html>'
+    rows = [
+        (site + "0", link("1", "2", "0"), [site + "5"]),
+        (site + "1", None, [site + "9"]),
+        (site + "2", link("3", "gone"), None),
+        (site + "3", link("4"), []),
+        (site + "4", link(), None),
+        (site + "5", link("2"), None),
+        (site + "9", link(), None),
+        ("https://other.example.org/z", link(), None),
+    ]
+    pages = spark.createDataFrame(rows, "url string, html string, sitemap_locs array<string>")
+    seeds = spark.createDataFrame([(site + "0",)], "url string")
+    depths = lambda d: {r["url"].rsplit("/", 1)[1]: r["depth"] for r in crawl.crawl(pages, seeds, d).collect()}
+    assert depths(None) == {"0": 0, "2": 1, "5": 1, "3": 2, "4": 3} and depths(1) == {"0": 0, "2": 1, "5": 1}
+    assert crawl.crawl(pages, seeds.limit(0)).count() == 0 and crawl.crawl(pages.limit(0), seeds).count() == 0
+
+
+def test_goals_and_baselines_from_json(spark):
+    goal = '{"pages":[{"url":"u","keywords":["a","b c"],"x":1},{"url":"v","keywords":[]}],"other":{}}'
+    rows = documents.goals(spark.createDataFrame([(goal,), ("no json",), (None,)], "body string")).collect()
+    assert sorted(map(tuple, rows)) == [("u", "a"), ("u", "b c")]
+    scores = ",".join(f'"{c}":{i}' for i, c in enumerate(CATEGORIES))
+    page = f'{{"url":"u","scores":{{{scores}}},"findings":[{{"rule_id":"r","category":"seo","severity":"info","detail":"d"}}],"extra":1}}'
+    bad = '{"url":"w","findings":[]}'
+    texts = spark.createDataFrame([(page,), (f"[{page},{bad}]",), (bad,), ("{",), (None,)], "body string")
+    out = documents.baseline(texts).collect()
+    assert [(r["url"], r["performance"], r["aeo"], r["findings"][0]["rule_id"]) for r in out] == [("u", 0, 6, "r")] * 2
+
+
+def test_progress_event(spark):
+    runner = [(0, "working", 3, 1, "https://a/"), (1, "idle", 0, 0, "")]
+    df = spark.createDataFrame(
+        [("crawling", 3, 9, runner)],
+        "phase string, total_done int, total_queued int, runners array<struct<id:int,status:string,pages_done:int,pages_failed:int,url:string>>",
+    )
+    assert events.progress_event(df).first()["event"] == (
+        'event: progress\ndata: {"phase":"crawling","total_done":3,"total_queued":9,"runners":['
+        '{"id":0,"status":"working","pages_done":3,"pages_failed":1,"url":"https://a/"},'
+        '{"id":1,"status":"idle","pages_done":0,"pages_failed":0,"url":""}]}\n\n'
+    )
 
 
 def test_stream_totals_match_batch(spark, tmp_path):
