@@ -4,23 +4,31 @@ A message's lines are parsed by quote level, the number of leading '>' signs.
 Lines of level 0 are its own text; a run of lines of one level is a quoted
 passage. A message's own text, each of its runs between quotes and each quoted
 passage are hashed, normalised (white space collapsed, lower case), as a whole,
-by paragraph and by line. Joining quotes to originals of the same conversation
-by hash links a passage where any of its parts is found: by the whole before
-paragraphs before lines, and to the latest message among those of its like
-parts. Each message's parent is the latest earlier message linked at the lowest
-level that is found. Parent links are followed by pointer doubling, and
-the messages come out in reply order: by conversation, thread and turn, without
-quotes, as role-tagged text.
+by paragraph, by line, and by runs of RUN words, of which the least hash of
+every WINNOW neighbours is kept, so that a text and a part of it keep the same
+ones wherever lines were broken anew. Joining quotes to originals of the same
+conversation by hash links a passage where any of its parts is found: by the
+whole before paragraphs before lines before runs of words, among those to the
+message that holds most, and to the latest of several. A part of RUN + WINNOW -
+1 words or more is found wherever it was cut; shorter ones as whole lines or
+paragraphs. Each message's parent is the latest earlier message linked at the
+lowest level that is found. Parent links are followed by pointer doubling, and
+the messages come out in reply order: by conversation and thread, every reply
+behind what it answers and before what came later, without quotes, as
+role-tagged text. Branches are told apart down to LEVELS replies; below that
+the messages of a branch come in the order of their turns.
 
 The original of a part is the first message that holds it, found by a
 map-side combined minimum, so a part that many messages share is one row in
-the join. Conversations are never gathered in one task; their order is a range
-sort.
-
-Nulls and odd rows: a null text stays null and quotes nothing; a null conv_id
-or turn links with nothing; rows that repeat a turn keep their places beside
-each other and share a parent; a quote without an original is removed all the
-same and counted as unlinked.
+the join. Only conversations that quote at all take part. Conversations and
+threads are never gathered in one task; their order is a range sort.
+
+Nulls and odd rows: a null text stays null and quotes nothing, an empty one
+stays empty; a very long text is parsed in its row; a null conv_id or turn links
+with nothing; rows that repeat a turn keep their places beside each other and
+share a parent; a quote without an original is removed all the same and counted
+as unlinked; an empty table gives an empty table. Own columns keep their names
+and values, but for text; a result whose name is taken carries an underscore.
 """
 
 from __future__ import annotations
@@ -31,8 +39,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from siftlake.llm.text import free_name
+from siftlake.session import discard, shipped, staged, table
 
-from siftlake.session import shipped, staged, table
+#: Words of a run, and neighbouring runs of which one is kept.
+RUN, WINNOW = 6, 6
+#: Replies down to which the order follows the branches.
+LEVELS = 32
 
 _LEVEL = re.compile(r"^((?:[ \t]*>)*)[ \t]?(.*)$", re.S)
 #: What separates paragraphs.
@@ -49,13 +64,23 @@ def _hash(passage: str) -> int:
     return xxhash.xxh64_intdigest(passage.encode()) - 2**63
 
 
+def kept_runs(words: list[str]) -> list[str]:
+    """Of the runs of RUN words those with the least hash among WINNOW neighbours; of fewer runs the least of all."""
+    runs = [" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1)]
+    hashes = [_hash(r) for r in runs]
+    kept = {min(range(i, min(i + WINNOW, len(runs))), key=hashes.__getitem__) for i in range(max(len(runs) - WINNOW, 0) + 1)} if runs else set()
+    return [runs[i] for i in sorted(kept)]
+
+
 def parts(passage: str) -> dict[str, int]:
-    """The normalised whole (2), paragraphs (1) and lines (0) of a passage, each with the highest of these ranks it has."""
+    """The normalised whole (3), paragraphs (2), lines (1) and kept runs of words (0) of a passage, each with the highest of these ranks it has."""
     out: dict[str, int] = {}
-    for rank, pieces in (2, [passage]), (1, _BLANK.split(passage)), (0, passage.split("\n")):
+    for rank, pieces in (3, [passage]), (2, _BLANK.split(passage)), (1, passage.split("\n")):
         for piece in map(normalised, pieces):
             if piece:
                 out.setdefault(piece, rank)
+    for run in kept_runs(normalised(passage).split()):
+        out.setdefault(run, 0)
     return out
 
 
@@ -85,37 +110,41 @@ _PARSED = "own string, passages array<bigint>, quotes array<struct<level:int,has
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Add own, passages and quotes to conv_id, turn, role and text."""
+    """own, passages and quotes of every message, beside conv_id, turn and all its columns as the struct _m."""
+    columns = ["_m", "conv_id", "turn"]
+    source = messages.select(F.struct(*messages.columns).alias("_m"), "conv_id", "turn", F.col("text").alias("_text"))
 
     def run(batches):
         part = pa.struct([("rank", pa.int32()), ("hash", pa.int64())])
         kinds = pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("parts", pa.list_(part))]))
         for batch in batches:
-            rows = [(None, [], []) if t is None else parse(t) for t in batch.column("text").to_pylist()]
+            rows = [(None, [], []) if t is None else parse(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in ("conv_id", "turn", "role")],
+                    *[batch.column(c) for c in columns],
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], kinds[0]),
                     pa.array([[{"level": q[0], "hash": q[1], "parts": [{"rank": k, "hash": h} for k, h in q[2]]} for q in r[2]] for r in rows], kinds[1]),
                 ],
-                ["conv_id", "turn", "role", "own", "passages", "quotes"],
+                [*columns, "own", "passages", "quotes"],
             )
 
-    source = shipped(messages).select("conv_id", "turn", "role", "text")
-    types = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ("conv_id", "turn", "role")) + ", " + _PARSED)
+    fields = [f for f in source.schema.fields if f.name != "_text"]
+    return shipped(source).mapInArrow(run, StructType([*fields, *StructType.fromDDL(_PARSED).fields]))
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent and n_linked for messages that quote an earlier one."""
-    originals = messages.filter("turn is not null").select("conv_id", "turn", F.explode("passages").alias("hash"))
+    quoting = messages.filter(F.size("quotes") > 0).select("conv_id").distinct()
+    originals = messages.filter("turn is not null").join(quoting, "conv_id", "left_semi")
+    originals = originals.select("conv_id", "turn", F.explode("passages").alias("hash"))
     originals = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q"))
     quotes = quotes.select("conv_id", "turn", "q.level", F.col("q.hash").alias("quote"), F.explode("q.parts").alias("p"))
     quotes = quotes.select("conv_id", "turn", "level", "quote", "p.rank", "p.hash").distinct()
     found = quotes.join(originals, ["conv_id", "hash"]).filter(F.col("original") < F.col("turn"))
-    found = found.groupBy("conv_id", "turn", "level", "quote").agg(F.max(F.struct("rank", "original")).alias("best"))
+    votes = found.groupBy("conv_id", "turn", "level", "quote", "rank", "original").agg(F.count("*").alias("votes"))
+    found = votes.groupBy("conv_id", "turn", "level", "quote").agg(F.max(F.struct("rank", "votes", "original")).alias("best"))
     found = found.select("conv_id", "turn", "level", F.col("best.original").alias("original"))
     nearest = F.max(F.struct((-F.col("level")).alias("near"), "original")).alias("m")
     return found.groupBy("conv_id", "turn").agg(nearest, F.count("*").alias("n_linked")).select(
@@ -124,41 +153,50 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """conv_id, turn, root and depth, by pointer doubling over the parent links."""
-    reach = staged(links.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
+    """conv_id, turn, root, depth and the first turns of the path from the root, by pointer doubling over the parent links."""
+    start = links.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.array("turn").alias("path"))
+    reach = staged(start, "threads")
     while True:
-        onward = reach.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
+        onward = reach.select(
+            "conv_id", F.col("turn").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"), F.col("path").alias("before")
+        )
         joined = reach.join(onward, ["conv_id", "root"], "left")
         if joined.filter(F.col("further").isNotNull()).isEmpty():
             return reach
-        reach = staged(
+        path = F.when(F.col("before").isNull(), F.col("path")).otherwise(F.slice(F.concat("before", "path"), 1, LEVELS))
+        done, reach = reach, staged(
             joined.select(
-                "conv_id", "turn", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
+                "conv_id", "turn", F.coalesce("further", "root").alias("root"),
+                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), path.alias("path"),
             ),
             "threads",
-        )
+        )
+        discard(done)
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """Messages in reply order, without quotes, with parent, root, depth and role-tagged chat text."""
+    """Messages in reply order, without quotes, with parent, root, depth and role-tagged chat text; own columns stay."""
+    own = messages.columns
     rows = staged(parsed(messages), "chats")
     links = staged(parents(rows), "chat-links")
     known = threads(links).join(links, ["conv_id", "turn"])
     rows = rows.join(known, ["conv_id", "turn"], "left")
-    root = F.coalesce("root", "turn")
-    chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("\n"))
-    return rows.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.col("own").alias("text"),
-        F.col("parent").alias("parent_turn"),
-        root.alias("root_turn"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
-        F.size("quotes").cast("long").alias("n_quotes"),
-        (F.size("quotes") - F.coalesce("n_linked", F.lit(0))).cast("long").alias("n_unlinked"),
-        chat.alias("chat_text"),
-    ).orderBy("conv_id", "root_turn", "turn", "role", "text")
+    role = F.coalesce(F.col("_m.role").cast("string"), F.lit(""))
+    chat = F.concat(F.lit("<|"), role, F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("\n"))
+    results = {
+        "parent_turn": F.col("parent"),
+        "root_turn": F.coalesce("root", "turn"),
+        "depth": F.coalesce("depth", F.lit(0)).cast("long"),
+        "n_quotes": F.size("quotes").cast("long"),
+        "n_unlinked": (F.size("quotes") - F.coalesce("n_linked", F.lit(0))).cast("long"),
+        "chat_text": chat,
+    }
+    order = ["conv_id", F.coalesce("root", "turn"), F.coalesce("path", F.array().cast("array<bigint>")), "turn", role, "own"]
+    text = F.col("own").cast(dict(messages.dtypes)["text"])
+    return rows.orderBy(*order).select(
+        *[text.alias(c) if c == "text" else F.col("_m").getField(c).alias(c) for c in own],
+        *[x.alias(free_name(c, own)) for c, x in results.items()],
+    )
 
 
 def op6_quote_threads(spark, sf_dir: str) -> DataFrame:

@@ -1,34 +1,42 @@
 """Exact top-k inner products over quantised vectors, score at a time.
 
-The vectors are dealt into blocks of a bounded number. In each block an
-impact-ordered index is built: one posting list for each dimension, cut into
-segments of one quantised level. For a query the segments of all dimensions are
-taken by descending impact, the query's component times the segment's largest
+The vectors are dealt into blocks of a bounded number. For each block an
+impact-ordered index is built once: one posting list for each dimension, cut
+into segments of one quantised level. For a query the segments of all dimensions
+are taken by descending impact, the query's component times the segment's largest
 magnitude. Each segment adds its exact contributions to the block's scores. A
 vector that still misses m dimensions can gain or lose m times the next impact
 at most; when the k-th best score that is certain exceeds what all others can
 reach, or few possible members are left, processing stops and the possible
 members are scored exactly. Nothing is dropped without that proof.
 
-The queries meet the blocks in batches; every pair of a batch and a block is a
-group of bounded size, and a query's best of all blocks are ranked at the end.
+A block's vectors come to one task, sorted before the queries, which follow in
+packs and are taken one after another; so a vector is shuffled once and a query
+once for each block. Blocks of few vectors, and components so large that a sum
+would not be exact as a double, are scored without the index, with the same
+results. Each block gives its k best, and a query's best of all blocks are
+ranked at the end.
 
 Nulls and odd rows: a vector takes no part if it is null, has a null, NaN or
-infinite component, or has no id. Vectors meet those of their own length. Rows
-that repeat an id and a vector count once; a query never meets its own id.
+infinite component, or has no id; an empty vector meets those without
+components with score 0; very long ones only make their block larger. Vectors
+meet those of their own length. Rows that repeat an id and a vector count once;
+ties go to the smaller id; a query never meets its own id; an empty table gives
+no rows. Scores are 64-bit integers: components beyond 2**25 may overflow them.
+Only vec_id and the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.session import shipped, staged, table
 
 K, EVERY, SCALE = 5, 50, 256
-#: Vectors of a block, queries of a batch, levels of a dimension on each side of zero, parts in which postings are taken.
+#: Vectors of a block, queries of a pack, levels of a dimension on each side of zero, parts in which postings are taken.
 BLOCK, BATCH, LEVELS, PARTS = 8192, 512, 8, 10
 
 
@@ -74,17 +82,21 @@ class ImpactIndex:
         n, d = self.vectors.shape
         impact = np.abs(query[self.dim]) * self.largest
         order = np.argsort(-impact, kind="stable")
-        sizes = (self.end - self.start)[order]
-        done = np.cumsum(sizes)
+        done = np.cumsum((self.end - self.start)[order])
         total, sums, at = int(done[-1]), np.zeros(n), 0
         for part in range(3, PARTS + 1):
             to = int(np.searchsorted(done, total * part // PARTS)) + 1
-            chosen = order[at:to]
+            # segments that lie beside each other are read as one slice
+            chosen = np.sort(order[at:to])
             if len(chosen):
-                spans = np.repeat(self.start[chosen], sizes[at:to]) + _ramp(sizes[at:to])
+                first = np.flatnonzero(np.diff(chosen, prepend=-2) != 1)
+                last = np.append(first[1:], len(chosen)) - 1
+                spans = [slice(a, b) for a, b in zip(self.start[chosen[first]].tolist(), self.end[chosen[last]].tolist(), strict=True)]
+                factors = np.repeat(query[self.dim[chosen]] * float(base), self.end[chosen] - self.start[chosen])
                 # one sum carries the score and, below it, the number of dimensions seen
-                gains = np.repeat(query[self.dim[chosen]] * float(base), sizes[at:to]) * self.values[spans] + 1.0
-                sums += np.bincount(self.ids[spans], weights=gains, minlength=n)
+                factors *= np.concatenate([self.values[x] for x in spans])
+                factors += 1.0
+                sums += np.bincount(np.concatenate([self.ids[x] for x in spans]), weights=factors, minlength=n)
             at = to
             seen = np.mod(sums, base)
             score = (sums - seen) / base
@@ -96,29 +108,47 @@ class ImpactIndex:
         return members
 
 
-def _ramp(sizes: np.ndarray) -> np.ndarray:
-    """0 .. size - 1 for each size, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _best_of_block(index: ImpactIndex, ids: np.ndarray, query_id: int, query: np.ndarray, k: int):
+    members, scores = index.best(query, k + int(np.searchsorted(ids, query_id, "right") - np.searchsorted(ids, query_id)))
+    other = ids[members] != query_id
+    members, scores = members[other], scores[other]
+    top = np.lexsort((ids[members], -scores))[:k]
+    return ids[members][top], scores[top]
 
 
 def _search(k: int):
-    def run(_key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(rows) and len(queries):
-            ids = rows["vec_id"].to_numpy(np.int64)
-            order = np.argsort(ids)
-            ids = ids[order]
-            index = ImpactIndex(np.array(rows["q"].tolist(), np.int64).reshape(len(ids), -1)[order])
-            for query_id, q in zip(queries["vec_id"], queries["q"], strict=True):
-                members, scores = index.best(np.asarray(q, np.int64), k + int((ids == query_id).sum()))
-                other = ids[members] != query_id
-                members, scores = members[other], scores[other]
-                top = np.lexsort((ids[members], -scores))[:k]
-                out["query_id"] += [query_id] * len(top)
-                out["vec_id"] += ids[members][top].tolist()
-                out["score"] += scores[top].tolist()
-        return pd.DataFrame(out)
+    """From rows sorted by (d, block, is_query): a block's vectors, then its queries."""
+
+    def run(batches):
+        key, ids, vectors, index = None, [], [], None
+        for batch in batches:
+            out = {"query_id": [], "vec_id": [], "score": []}
+            packs = (batch.column(c).to_pylist() for c in ("d", "block", "is_query", "ids"))
+            values = batch.column("values")
+            for n, (d, block, is_query, own) in enumerate(zip(*packs, strict=True)):
+                if (d, block) != key:
+                    key, ids, vectors, index = (d, block), [], [], None
+                matrix = np.array(values[n].values, np.int64).reshape(len(own), d)
+                if not is_query:
+                    ids += own
+                    vectors.append(matrix)
+                    continue
+                if not len(ids):
+                    continue
+                if index is None:
+                    order = np.argsort(ids, kind="stable")
+                    ids = np.array(ids, np.int64)[order]
+                    index = ImpactIndex(np.concatenate(vectors)[order])
+                    vectors = []
+                for query_id, query in zip(own, matrix, strict=True):
+                    found, scores = _best_of_block(index, ids, query_id, query, k)
+                    out["query_id"] += [query_id] * len(found)
+                    out["vec_id"] += found.tolist()
+                    out["score"] += scores.tolist()
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     return run
 
@@ -128,13 +158,17 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, block: int = BLOCK, b
     rows = staged(vectors.withColumn("d", F.size("q")).dropDuplicates(["vec_id", "q"]), "vectors")
     asked = rows.filter(queries)
     blocks = max(1, -(-rows.count() // block))
-    batches = max(1, -(-asked.count() // batch))
-    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    packs = max(1, -(-asked.count() // batch))
     part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    left = rows.select("vec_id", "q", "d", part(blocks, 1).alias("block"), spread(batches, "batch"))
-    right = asked.select("vec_id", "q", "d", part(batches, 2).alias("batch"), spread(blocks, "block"))
-    keys = ["d", "block", "batch"]
-    found = shipped(left).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    left = rows.select("d", part(blocks, 1).alias("block"), F.lit(0).alias("is_query"), F.array("vec_id").alias("ids"), F.col("q").alias("values"))
+    packed = asked.groupBy("d", part(packs, 2).alias("_pack")).agg(F.collect_list(F.struct("vec_id", "q")).alias("_rows"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    right = packed.select(
+        "d", every.alias("block"), F.lit(1).alias("is_query"), F.col("_rows.vec_id").alias("ids"), F.flatten("_rows.q").alias("values")
+    )
+    keys = ["d", "block"]
+    dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "is_query")
+    found = shipped(dealt).mapInArrow(_search(k), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
