@@ -1,3 +1,8 @@
+import random
+import re
+import struct
+
+import xxhash
 from pyspark.sql import functions as F
 
 from siftlake.llm import lines, substrings
@@ -61,6 +66,81 @@ def brute_lines(rows):
     return out
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def folded(hashes):
+    """Spark's hash of an array of longs: each element's hash is the next one's seed."""
+    seed = 42
+    for h in hashes:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+    return signed(seed)
+
+
+def brute_chunks(text):
+    """Chunk ranges from the text alone, by plain loops."""
+    all_lines = text.split("\n")
+    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in all_lines]
+    filled = [i for i, x in enumerate(all_lines) if x.strip(" \t\n\x0b\f\r")]
+    out, first = set(zip(filled, filled[1:])), 0
+    for i in range(len(all_lines)):
+        rolling = folded(hashes[max(0, i - lines.WINDOW + 1) : i + 1])
+        if i == len(all_lines) - 1 or rolling % lines.MEAN_LINES == 0:
+            inside = [j for j in filled if first <= j <= i]
+            if i > first and inside and inside != [first, i]:
+                out.add((first, i))
+            first = i + 1
+    return out
+
+
+def test_boundaries_against_plain_loops(spark):
+    pool = [sentence(3, i) for i in range(9)] + ["", "é", " "]
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(40)]
+    found = {i: set() for i in range(40)}
+    for r in lines.chunks(docs(spark, texts)).collect():
+        found[r["doc_id"]].add((r["first"], r["last"]))
+    assert found == {i: brute_chunks(t) for i, t in enumerate(texts)}
+
+
+def brute_spans(texts):
+    """Sentence spans by plain loops over all documents in order: what each document keeps."""
+    seen, out = {}, []
+    for doc_id, text in enumerate(texts):
+        pieces = re.split(substrings.ENDS, text or "")
+        known = [(i, p.strip(" \t\n\x0b\f\r").lower()) for i, p in enumerate(pieces)]
+        known = [(i, p) for i, p in known if p]
+        covered = set()
+        for k in range(len(known)):
+            for n in range(substrings.RUN, len(known) - k + 1):
+                part = tuple(p for _, p in known[k : k + n])
+                if sum(map(len, part)) >= substrings.MIN_CHARS:
+                    if seen.setdefault(part, (doc_id, k)) != (doc_id, k):
+                        covered |= set(range(k, k + n))
+                    break
+        drop = {known[k][0] for k in covered}
+        drop |= {j for k in covered if k + 1 in covered for j in range(known[k][0], known[k + 1][0])}
+        out.append("".join(p for i, p in enumerate(pieces) if i not in drop) if drop else text)
+    return out
+
+
+def test_spans_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = [sentence(rng.randint(1, 14), i) for i in range(25)]
+    ends = [" ", "\n", "\n\n", "  "]
+    texts = []
+    for _ in range(60):
+        at = rng.randrange(20)
+        shared = pool[at : at + rng.randint(2, 5)]
+        own = [sentence(rng.randint(1, 9), rng.randrange(10**6)) for _ in range(rng.randint(0, 6))]
+        cut = rng.randint(0, len(own))
+        texts.append("".join(x + rng.choice(ends) for x in own[:cut] + shared + own[cut:]))
+    texts += ["", "x. y.", None]
+    out = substrings.without_repeats(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == brute_spans(texts) and sum(r["n_removed"] > 0 for r in out) > 10
+
+
 def test_lines_against_brute_force(spark):
     pool = [sentence(3, i) for i in range(6)] + ["", "é"]
     texts = ["\n".join(pool[(i * k + k * k) % 8] for k in range(i % 17)) for i in range(60)] + [None]

@@ -200,3 +200,63 @@ def test_chats_odd_rows(spark):
     rows = [(1, 0, None, None), (None, 0, "user", "> a\nb"), (1, None, "user", "a"), (1, 1, "user", ""), (1, 1, "user", ""), (1, 2, "user", "> \n>\n" + "x " * 9000), (1, 3, "user", ">>> a")]
     df = spark.createDataFrame(rows, CHAT).withColumn("own", F.lit(1)).withColumn("root", F.lit(2))
     assert chats.conversations(df).count() == 7 and chats.conversations(df.limit(0)).count() == 0
+
+
+def quoted(text, level=1):
+    return "\n".join(">" * level + " " + x for x in text.split("\n"))
+
+
+def wrapped(text, width, rng):
+    """The words of a text in lines of other lengths."""
+    w, out = text.split(), []
+    while w:
+        n = rng.randint(3, width)
+        out.append(" ".join(w[:n]))
+        w = w[n:]
+    return "\n".join(out)
+
+
+def test_random_quotes_against_a_plain_linker(spark):
+    """Every quoted passage is a piece of one earlier message, cut, wrapped and nested at random; a plain search over all earlier texts links them."""
+    rng, rows, own, want = random.Random(8), [], {}, {}
+    for conv in range(4):
+        for turn in range(14):
+            paragraphs = ["\n".join(words(rng.randint(6, 12), 10_000 * conv + 100 * turn + 10 * i + j) for j in range(3)) for i in range(3)]
+            text, quotes = "\n\n".join(paragraphs), []
+            for _ in range(rng.randint(0, 2) if turn else 0):
+                source = own[(conv, rng.randrange(turn))]
+                kind = rng.choice(["whole", "paragraph", "lines", "cut"])
+                if kind == "paragraph":
+                    source = rng.choice(source.split("\n\n"))
+                elif kind == "lines":
+                    all_ = [x for x in source.split("\n") if x]
+                    at = rng.randrange(len(all_) - 1)
+                    source = "\n".join(all_[at : at + rng.randint(1, 3)])
+                elif kind == "cut":
+                    w = source.split()
+                    at = rng.randrange(len(w) - 14)
+                    source = " ".join(w[at : at + rng.randint(12, 14)])
+                quotes.append((source if kind == "lines" else wrapped(source, 9, rng), rng.randint(1, 3)))
+            own[(conv, turn)] = text
+            body = "\n".join(f"{quoted(q, level)}\n{part}" for (q, level), part in zip(quotes, paragraphs, strict=False))
+            body += ("\n" if quotes else "") + "\n\n".join(paragraphs[len(quotes) :])
+            own[(conv, turn)] = "\n".join(paragraphs[: len(quotes)]) + ("\n" if quotes else "") + "\n\n".join(paragraphs[len(quotes) :])
+            rows.append((conv, turn, "user", body))
+            holders = []
+            for q, level in quotes:
+                flat = f" {' '.join(q.split())} "
+                at = [t for t in range(turn) if flat in f" {' '.join(own[(conv, t)].split())} "]
+                holders += [(level, -at[0])] if at else []
+            want[(conv, turn)] = (-min(holders)[1] if holders else None, len(quotes) - len(holders))
+    out = {(r["conv_id"], r["turn"]): r for r in chats.conversations(spark.createDataFrame(rows, CHAT)).collect()}
+    wrong = [(k, out[k]["parent_turn"], w) for k, w in want.items() if (out[k]["parent_turn"], out[k]["n_unlinked"]) != w]
+    assert not wrong and sum(w[0] is not None for w in want.values()) > 25
+    assert all(" ".join(out[k]["text"].split()) == " ".join(own[k].split()) for k in own)
+
+
+def test_replies_follow_their_branch(spark):
+    says = [words(12, 900 + i) for i in range(7)]
+    parent = {1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: None}
+    rows = [(1, 0, "user", says[0])] + [(1, i, "user", (quoted(says[p]) + "\n" if p is not None else "") + says[i]) for i, p in parent.items()]
+    out = [r["turn"] for r in chats.conversations(spark.createDataFrame(rows, CHAT)).collect()]
+    assert out == [0, 1, 3, 5, 2, 4, 6]
