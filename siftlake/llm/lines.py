@@ -123,7 +123,7 @@ def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     n = F.aggregate("_cut", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     count = free_name("n_removed", own)
     field = lambda c: F.col("_doc").getField(c).alias(c)
-    cleaned = df.select(*[text.alias(c) if c == "text" else field(c) for c in own], F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"))
+    cleaned = df.select(*[text.alias(c) if c == "text" else field(c) for c in own], F.coalesce(n, F.lit(0)).cast("long").alias(count))
     rest = met.filter(F.col("_ranges").isNull()).select(*map(field, own), F.lit(0).cast("long").alias(count))
     return cleaned.unionByName(rest)
 
