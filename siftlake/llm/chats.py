@@ -84,8 +84,8 @@ def parts(passage: str) -> dict[str, int]:
     return out
 
 
-def parse(text: str) -> tuple[str, list[int], list[tuple[int, int, list[tuple[int, int]]]]]:
-    """A message's own text, the hashes of its own passages, and (level, hash, (rank, hash) of its parts) of each quoted passage."""
+def parse(text: str) -> tuple[str, list[str], list[tuple[int, int, list[tuple[int, int]]]]]:
+    """A message's own text, its runs between quotes, and (level, hash, (rank, hash) of its parts) of each quoted passage."""
     runs: list[tuple[int, list[str]]] = []
     for line in text.split("\n"):
         marks, body = _LEVEL.match(line).groups()
@@ -101,22 +101,27 @@ def parse(text: str) -> tuple[str, list[int], list[tuple[int, int, list[tuple[in
     own_runs = ["\n".join(lines) for level, lines in runs if not level]
     own = "\n".join(own_runs)
     own = own.strip("\n") if quotes else own
-    passages = {part for passage in {own, *own_runs} for part in parts(passage)}
     hashed = [(level, _hash(normalised(q)), [(rank, _hash(part)) for part, rank in parts(q).items()]) for level, q in quotes if q.strip()]
-    return own, [_hash(p) for p in sorted(passages)], hashed
+    return own, own_runs if quotes else [], hashed
 
 
-_PARSED = "own string, passages array<bigint>, quotes array<struct<level:int,hash:bigint,parts:array<struct<rank:int,hash:bigint>>>>"
+def passages(own: str, runs: list[str]) -> list[int]:
+    """The hashes of all that a quote of a message may hold: parts of its own text and of its runs."""
+    return [_hash(p) for p in sorted({part for passage in {own, *runs} for part in parts(passage)})]
+
+
+_PARSED = "own string, runs array<string>, quotes array<struct<level:int,hash:bigint,parts:array<struct<rank:int,hash:bigint>>>>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """own, passages and quotes of every message, beside conv_id, turn and all its columns as the struct _m."""
+    """own, runs and quotes of every message, beside conv_id, turn and its columns but the text as the struct _m."""
     columns = ["_m", "conv_id", "turn"]
-    source = messages.select(F.struct(*messages.columns).alias("_m"), "conv_id", "turn", F.col("text").alias("_text"))
+    rest = F.struct(*[c for c in messages.columns if c != "text"]).alias("_m")
+    source = messages.select(rest, "conv_id", "turn", F.col("text").alias("_text"))
 
     def run(batches):
         part = pa.struct([("rank", pa.int32()), ("hash", pa.int64())])
-        kinds = pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("parts", pa.list_(part))]))
+        kinds = pa.list_(pa.string()), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("parts", pa.list_(part))]))
         for batch in batches:
             rows = [(None, [], []) if t is None else parse(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -126,17 +131,27 @@ def parsed(messages: DataFrame) -> DataFrame:
                     pa.array([r[1] for r in rows], kinds[0]),
                     pa.array([[{"level": q[0], "hash": q[1], "parts": [{"rank": k, "hash": h} for k, h in q[2]]} for q in r[2]] for r in rows], kinds[1]),
                 ],
-                [*columns, "own", "passages", "quotes"],
+                [*columns, "own", "runs", "quotes"],
             )
 
     fields = [f for f in source.schema.fields if f.name != "_text"]
     return shipped(source).mapInArrow(run, StructType([*fields, *StructType.fromDDL(_PARSED).fields]))
 
 
+def _hashed(batches):
+    for batch in batches:
+        rows = zip(batch.column("own").to_pylist(), batch.column("runs").to_pylist(), strict=True)
+        hashes = pa.array([passages(own, runs) if own else [] for own, runs in rows], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), hashes], ["conv_id", "turn", "passages"])
+
+
 def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent and n_linked for messages that quote an earlier one."""
     quoting = messages.filter(F.size("quotes") > 0).select("conv_id").distinct()
     originals = messages.filter("turn is not null").join(quoting, "conv_id", "left_semi")
+    types = dict(originals.dtypes)
+    schema = f"conv_id {types['conv_id']}, turn {types['turn']}, passages array<bigint>"
+    originals = shipped(originals).select("conv_id", "turn", "own", "runs").mapInArrow(_hashed, schema)
     originals = originals.select("conv_id", "turn", F.explode("passages").alias("hash"))
     originals = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q"))
