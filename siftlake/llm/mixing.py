@@ -2,9 +2,11 @@
 
 Each source has a weight that changes over training time t in [0, 1]. Its
 integral is the source's cumulative demand for words; documents of the source,
-in an order given by a hash of their id, fill that demand one after another,
+in an order given by a hash of id and text, fill that demand one after another,
 and inverting the demand at a document's first word gives its position in
-training. The mix is the documents sorted by position. A source whose demand
+training. All sources share this time, and the words of the whole mix before it
+are the sum of their demands, which grows with it; so documents sorted by
+position lie in the order of the mix's cumulative words. A source whose demand
 exceeds its size is passed through again; the last pass stops at the word
 where the demand ends, so its last document may be taken in part.
 
@@ -14,8 +16,10 @@ weight among the others. That is one water level for all sources, found by a
 running sum over the sources in the order in which they fill up.
 
 Nulls and odd rows: a null text has size 0 and takes no part; a null source is
-a source of its own and comes last; rows that repeat an id are separate
-documents; an empty table gives an empty mix.
+a source of its own and comes last; rows that lack or repeat an id are separate
+documents; rows equal in id and text are counted as one group and numbered only
+where their texts join the plan; a very long text is a long document, cut at a
+word where its source's demand ends; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ WEIGHTS = (5, 2, 1)
 #: Multipliers of a source's weight at equally spaced times, for the first, second, third weight: early, steady, late.
 CURRICULUM = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
+#: Equal rows that one task takes from a group.
+COPIES = 65536
+
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total_ratio: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
     """From (source, source_size) to (source, source_size, rank, target). The table has one row for each source."""
@@ -73,16 +80,16 @@ def position(share: Column, rank: Column, curriculum=CURRICULUM) -> Column:
     return out
 
 
-def plan_mix(docs: DataFrame, sizes: DataFrame, weights=WEIGHTS, total_ratio=1.5, max_repeats=2.0, curriculum=CURRICULUM) -> DataFrame:
-    """Add source_size, target, taken and passes (pass, position, words) to rows that have doc_id, source, size and order.
+def plan_groups(rows: DataFrame, weights=WEIGHTS, total_ratio=1.5, max_repeats=2.0) -> DataFrame:
+    """One row for each distinct (source, order, doc_id, size): its number n of equal rows, the words of its source before them, and the source's size, rank and demand.
 
-    ``sizes`` holds at least source, order and size of the same rows; it is read for the
-    totals, so a staged table of those columns saves a second look at the texts.
-    Words before a document are counted in two steps, within a bucket of its source's
-    hash order and over the buckets before it: no task holds a whole source.
+    Equal rows are counted before they are shuffled. Words before a group are summed in two
+    steps, within a cell of its source's order and over the cells before it: no task holds
+    a whole source or a whole id.
     """
-    bucket = F.substring("order", 1, 3)
-    cells = sizes.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("_cell"))
+    groups = rows.groupBy("source", "order", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    groups = staged(groups.withColumn("_bucket", F.substring("order", 1, 3)), "mix-groups")
+    cells = groups.groupBy("source", "_bucket").agg(F.sum(F.col("size") * F.col("n")).alias("_cell"))
     cells = staged(cells, "mix-cells")
     goal = targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, total_ratio, max_repeats)
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,30 +98,56 @@ def plan_mix(docs: DataFrame, sizes: DataFrame, weights=WEIGHTS, total_ratio=1.5
     cells = cells.join(goal, F.col("source").eqNullSafe(F.col("_source"))).select(
         F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "source_size", "rank", "target"
     )
-    docs = docs.withColumn("_bucket", bucket)
-    docs = docs.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
+    groups = groups.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
     within = Window.partitionBy("source", "_bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    demand = F.floor(F.col("target") + 0.5).cast("long")
-    docs = docs.withColumn("_demand", demand)
-    last = F.when(F.col("source_size") > 0, F.expr("_demand div source_size")).otherwise(F.lit(0)).cast("long")
+    begun = F.col("_before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0))
+    return groups.withColumn("begun", begun).drop("_bucket", "_before").withColumn("demand", F.floor(F.col("target") + 0.5).cast("long"))
+
+
+def with_passes(rows: DataFrame, curriculum=CURRICULUM) -> DataFrame:
+    """Add passes (pass, position, words) and taken to rows of a group whose number among its equals is ``copy``."""
+    rows = rows.withColumn("_at", F.col("begun") + F.col("copy") * F.col("size"))
+    last = F.when(F.col("source_size") > 0, F.expr("demand div source_size")).otherwise(F.lit(0)).cast("long")
     start = lambda p: p * F.col("source_size") + F.col("_at")
     passes = F.transform(
         F.sequence(F.lit(0).cast("long"), last),
         lambda p: F.struct(
             p.cast("int").alias("pass"),
-            position(start(p) / F.col("_demand").cast("double"), F.col("rank"), curriculum).alias("position"),
-            F.least(F.col("size"), F.col("_demand") - start(p)).alias("words"),
+            position(start(p) / F.col("demand").cast("double"), F.col("rank"), curriculum).alias("position"),
+            F.least(F.col("size"), F.col("demand") - start(p)).alias("words"),
         ),
     )
-    passes = F.when((F.col("size") > 0) & (F.col("_demand") > 0), F.filter(passes, lambda x: x["words"] > 0))
-    docs = docs.withColumn("passes", F.coalesce(passes, F.array()))
+    passes = F.when((F.col("size") > 0) & (F.col("demand") > 0), F.filter(passes, lambda x: x["words"] > 0))
+    rows = rows.withColumn("passes", F.coalesce(passes, F.array()))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return docs.withColumn("taken", taken).drop("_bucket", "_before", "_at", "_demand", "rank")
+    return rows.withColumn("taken", taken).drop("_at", "copy", "n", "begun", "demand", "rank")
+
+
+def copies(groups: DataFrame, block: int = COPIES) -> DataFrame:
+    """The rows of the groups again, numbered by ``copy``; a group of many is spread over tasks by blocks."""
+    blocks = groups.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))))
+    first = F.col("_block") * block
+    each = F.sequence(first, F.least(first + block, F.col("n")) - 1)
+    return blocks.repartition("order", "_block").withColumn("copy", F.explode(each)).drop("_block")
 
 
-def hash_order(doc_id: str = "doc_id") -> Column:
-    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def plan_mix(docs: DataFrame, sizes: DataFrame, weights=WEIGHTS, total_ratio=1.5, max_repeats=2.0, curriculum=CURRICULUM) -> DataFrame:
+    """Add source_size, target, taken and passes (pass, position, words) to rows that have doc_id, source, size and order.
+
+    ``sizes`` holds those four columns of the same rows; the plan is made on it alone, and
+    the rows, whatever they carry, are shuffled once to meet it. Equal rows are numbered there.
+    """
+    key = F.md5(F.concat_ws(":", "order", F.col("doc_id").cast("string"), "size", F.concat(F.lit("s"), "source")))
+    groups = plan_groups(sizes, weights, total_ratio, max_repeats).withColumn("_key", key)
+    groups = groups.select("_key", "n", "begun", "demand", "rank", "source_size", "target").hint("shuffle_hash")
+    met = docs.withColumn("_key", key).join(groups, "_key")
+    equal = Window.partitionBy("_key").orderBy("order")
+    return with_passes(met.withColumn("copy", F.row_number().over(equal) - 1), curriculum).drop("_key")
+
+
+def hash_order(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A source's order of documents: a hash of the id and the text, so rows that lack or repeat an id are spread too."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -123,11 +156,9 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     Columns that the plan needs for itself carry names of their own, so extra columns of ``docs`` stay as they are.
     """
     own = docs.columns
-    light = docs.select("doc_id", "source", n_words("text").alias("size"), hash_order().alias("order"))
-    rows = docs.select(
-        "doc_id", "source", n_words("text").alias("size"), hash_order().alias("order"), F.struct(*own).alias("_doc")
-    )
-    planned = plan_mix(rows, staged(light.select("source", "order", "size"), "mix-sizes"), **settings)
+    light = ["doc_id", "source", n_words("text").alias("size"), hash_order().alias("order")]
+    rows = docs.select(*light, F.struct(*own).alias("_doc")).filter("size > 0")
+    planned = plan_mix(rows, docs.select(*light), **settings)
     out = planned.select("_doc", "doc_id", "size", F.explode("passes").alias("_pass"))
     text = F.col("_doc.text")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_pass.words").cast("int")), "")
@@ -141,8 +172,7 @@ def op1_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", n_words("text").alias("size"), hash_order().alias("order")
     )
-    docs = staged(docs, "op1")
-    planned = plan_mix(docs, docs)
+    planned = with_passes(copies(plan_groups(docs)))
     first = F.array_min(F.transform("passes", lambda x: x["position"]))
     return (
         planned.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
@@ -154,7 +184,7 @@ def op1_curriculum_mix(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    md5(coalesce(doc_id::varchar, '')) as o
+    md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as o
   from documents
 ),
 s as (select source, sum(size)::bigint as source_size from d group by source),

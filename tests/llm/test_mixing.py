@@ -66,3 +66,27 @@ def test_odd_rows(spark):
     assert out[(2, 0)]["taken"] == 0 and out[(3, 0)]["taken"] == 0
     assert plan(odd_docs(spark)).count() == 10
     assert plan(odd_docs(spark).limit(0)).count() == 0 and mixing.mix(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_or_repeat_whole(spark):
+    n = 300
+    texts = [words(12, 1)] * 100 + [words(3 + i % 40, i) for i in range(100, n)]
+    sources = ["hot"] * 250 + ["b"] * 50
+    df = docs(spark, texts, sources).withColumn("doc_id", F.when(F.col("doc_id") >= 200, F.col("doc_id")))
+    rows = plan(df).collect()
+    spread = mixing.with_passes(mixing.copies(mixing.plan_groups(df.select("doc_id", "source", n_words("text").alias("size"), mixing.hash_order().alias("order"))), block=7)).collect()
+    key = lambda r: (str(r["doc_id"]), r["order"], r["source"], r["size"], r["taken"], str(r["passes"]))
+    assert len(rows) == n and sorted(map(key, rows)) == sorted(map(key, spread))
+    for s in ("hot", "b"):
+        mine = [r for r in rows if r["source"] == s]
+        begun, taken = 0, {}
+        for r in sorted(mine, key=lambda r: (r["order"], str(r["doc_id"]), r["size"])):
+            demand, total = int(r["target"] + 0.5), r["source_size"]
+            take = sum(max(0, min(r["size"], demand - p * total - begun)) for p in range(demand // total + 1))
+            taken.setdefault((r["order"], r["size"]), []).append(take)
+            begun += r["size"]
+        got = {}
+        for r in mine:
+            got.setdefault((r["order"], r["size"]), []).append(r["taken"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in taken.items()}
+    assert len({r["order"] for r in rows if r["doc_id"] is None}) > 50
