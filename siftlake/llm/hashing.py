@@ -58,18 +58,19 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[a:b]
 
 
-def _hashed(text: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def word_spans(text: np.ndarray, kind: np.ndarray = ANY_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in bytes, and their hashes; a few arrays of the text's length are held."""
     text = LOWER[text]
     edge = np.diff(np.concatenate(([0], kind[text].view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power_tables(len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hash_parts(text: np.ndarray, kind: np.ndarray = ANY_WORD, size: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The hashes of the words of a text in order, in parts of about ``size`` bytes that end between words."""
+def text_parts(text: np.ndarray, kind: np.ndarray = ANY_WORD, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """The bounds of parts of a text, of about ``size`` bytes, that end between words."""
     at = 0
     while at < len(text):
         end = min(at + size, len(text))
@@ -79,10 +80,16 @@ def word_hash_parts(text: np.ndarray, kind: np.ndarray = ANY_WORD, size: int = 1
                 end += int(gaps[0])
                 break
             end = min(end + size, len(text))
-        yield _hashed(text[at:end], kind)
+        yield at, end
         at = end
 
 
+def word_hash_parts(text: np.ndarray, kind: np.ndarray = ANY_WORD, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of the words of a text in order, in parts of about ``size`` bytes that end between words."""
+    for at, end in text_parts(text, kind, size):
+        yield word_spans(text[at:end], kind)[2]
+
+
 def word_hashes(text: np.ndarray, kind: np.ndarray = ANY_WORD) -> np.ndarray:
     """The 64-bit hashes of the words of a text in order, A-Z taken as a-z."""
     parts = list(word_hash_parts(text, kind))
