@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm import chats, contamination, lines, manifest, minhash, mixing, packing, quality, sharding, substrings, toxicity, vectors
+from siftlake.llm import chats, collocations, contamination, lines, manifest, minhash, mixing, packing, quality, sharding, substrings, toxicity, vectors
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_bbit_minhash": minhash.op8_bbit_minhash,
         "op9_line_quality": quality.op9_line_quality,
         "op10_sentence_spans": substrings.op10_sentence_spans,
+        "op11_automaton_collocations": collocations.op11_automaton_collocations,
         "op12_interval_manifest": manifest.op12_interval_manifest,
         "op13_suffix_decontamination": contamination.op13_suffix_decontamination,
     }
@@ -30,6 +31,7 @@ def oracle_sql():
         "op8_bbit_minhash": minhash.OP8_SQL,
         "op9_line_quality": quality.OP9_SQL,
         "op10_sentence_spans": substrings.OP10_SQL,
+        "op11_automaton_collocations": collocations.OP11_SQL,
         "op12_interval_manifest": manifest.OP12_SQL,
         "op13_suffix_decontamination": contamination.OP13_SQL,
     }
