@@ -1,118 +1,290 @@
-"""Elements and texts of HTML pages, as column expressions.
-
-A page is cut into its tags by one regular expression; scripts and styles are
-raw text up to their own end tag (or the end of the page), comments are
-dropped. Attribute values are taken from the tag's text. That keeps the whole
-extraction inside the JVM: one pass over the page, no parser process, no
-Python. Quotes count only behind an equals sign, as in the HTML standard, and a
-tag ends before the next '<' outside a quoted value.
+"""Tokens, attributes, elements and texts of HTML pages, as column expressions.
+
+A page is cut into tokens by one expression, from left to right: comments and
+other markup declarations, scripts and styles with their content, tags, and
+text. What stands inside one token cannot begin another, so ``<!--`` in a script
+or in a quoted value is no comment. Attributes are taken out of each start tag
+once, in one pass, and character references are decoded once, left to right.
+
+``structure`` finds where elements begin and end: a fold over the page's tags
+that keeps the open elements on a stack. A start tag first ends what it cannot
+stand in (``ENDS``), an end tag closes the last element of its name and all in
+it, unless an open element of a higher rank (``RANKS``) lies between, and what
+is left ends with the page. The fold gives the bounds of the elements that texts
+are taken from. Its cost is that of the tags times the depth, which is bounded by
+``DEPTH`` as in browsers, and of the found bounds times the root of their number.
 
 Any text can stand in a page, so the expressions neither recurse nor go back:
 repeated groups are possessive, which the matcher runs as loops whatever a
-tag's length, and what may lack its end stops at the next start of its kind or
-at the end of the page.
+tag's length. What lacks its end goes to the end of the page, a tag up to the
+next '<'.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftlake.functions.dims import SKIPPED_TAGS
 from siftlake.functions.text import ascii_lower, col, trimmed
 
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 #: What stands between a tag's name and its '>'.
 ATTRIBUTES = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+#: A comment, which ``<!-->`` and ``<!--->`` are too, and other markup that is no content.
+COMMENT = r"<!--(?:-?>|.*?(?:-->|\z))"
+DECLARATION = r"<[!?][^>]*+(?:>|\z)|</(?![a-z])[^>]*+(?:>|\z)"
 
 
 def _raw(tag: str) -> str:
-    return rf"<{tag}\b{ATTRIBUTES}>.*?(?:</{tag}\s*+>|\z)"
+    return rf"<{tag}(?![^\s/<>]){ATTRIBUTES}(?<!/)>.*?(?:</{tag}\s*+>|\z)"
+
+
+TEXT = r"(?:[^<]++|<(?![a-z!?/]))++"
+TOKEN = rf"(?is){COMMENT}|{DECLARATION}|{_raw('script')}|{_raw('style')}|</?[a-z][^\s<>/=]*+{ATTRIBUTES}>|{TEXT}|<"
+#: A token's name: of a start tag its element, of an end tag that behind '/'.
+NAME = r"^<(/?[a-zA-Z][^\s<>/=]*+)"
+OPEN = rf"(?s)^<[a-zA-Z]++{ATTRIBUTES}>"
+ATTRIBUTE = r"(?s)[^\s=/>\"'][^\s=/>]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
+REFERENCE = r"[^&]++|&#[xX][0-9a-fA-F]++;?+|&#[0-9]++;?+|&[a-zA-Z][a-zA-Z0-9]*+;|&"
+SPACES = " \t\n\r\f"
+
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Open elements that a start tag ends while they are innermost, by the tag.
+ENDS: dict[str, tuple[str, ...]] = {
+    "body": ("head", "title"),
+    "a": ("a",),
+    "li": ("li", "p", *HEADINGS),
+    "dt": ("dt", "dd", "p"),
+    "dd": ("dt", "dd", "p"),
+    "option": ("option",),
+    "optgroup": ("option", "optgroup"),
+    "td": ("td", "th", "p", "a", "b", "i", "span", "font"),
+    "th": ("td", "th", "p", "a", "b", "i", "span", "font"),
+    "tr": ("td", "th", "tr", "p"),
+    **{t: ("td", "th", "tr", "p", "thead", "tbody", "tfoot") for t in ("thead", "tbody", "tfoot")},
+    "table": ("p", "a", *HEADINGS),
+    "p": ("p", *HEADINGS),
+    **{t: ("p", *HEADINGS) for t in HEADINGS},
+    **{
+        t: ("p",)
+        for t in "address article aside blockquote center details div dl fieldset figure footer form header hr main menu nav ol pre section ul".split()
+    },
+}
+#: An end tag does not reach past an open element of a higher rank; names not listed have rank 1.
+RANKS = {"p": 0, "div": 2, "td": 3, "th": 3, "tr": 4, "thead": 5, "tbody": 5, "tfoot": 5, "table": 6, "head": 7, "body": 7, "html": 8}
+#: Elements that lie deeper are not told apart from their surroundings.
+DEPTH = 256
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _literals(known: dict) -> Column:
+    return F.create_map(*[F.lit(y) for item in known.items() for y in item])
+
+
+def _number(reference: Column) -> Column:
+    """The character of a numeric reference; empty for what is no character."""
+    digits = F.rtrim(F.substring(reference, 3, 1 << 20), F.lit(";"))
+    is_hex = ascii_lower(F.substring(digits, 1, 1)) == "x"
+    plain = F.ltrim(F.when(is_hex, F.substring(digits, 2, 1 << 20)).otherwise(digits), F.lit("0"))
+    # no character has more digits
+    code = F.when(is_hex & (F.length(plain) <= 6), plain).when(~is_hex & (F.length(plain) <= 7), F.conv(plain, 10, 16))
+    n = F.conv(code, 16, 10).cast("int")
+    good = n.isin(9, 10, 13) | n.between(0x20, 0xD7FF) | n.between(0xE000, 0xFFFD) | n.between(0x10000, 0x10FFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(F.lit(""))
 
 
-RAW = f"(?is){_raw('script')}|{_raw('style')}"
-TAG = f"{RAW}|<[a-z][a-z0-9]*+{ATTRIBUTES}>"
-NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"
-HEADING = rf"(?is)<h[1-6]\b{ATTRIBUTES}>.*?(?:</h[1-6]\s*+>|(?=<h[1-6]\b)|\z)"
-ANCHOR = rf"(?is)<a\b{ATTRIBUTES}>.*?(?:</a\s*+>|(?=<a\b)|\z)"
-TITLE = rf"(?is)<title\b{ATTRIBUTES}>(.*?)(?:</title\s*+>|\z)"
-#: Any tag, to be taken out of a text.
-MARKUP = r"<[^<>]*+>"
+def decoded(x: Column) -> Column:
+    """Character references decoded: those with a name of HTML 4 (and &apos;) and a semicolon, and numeric ones."""
+    names = {f"&{name};": chr(n) for name, n in name2codepoint.items()} | {"&apos;": "'"}
+    one = lambda p: (
+        F.when(~p.startswith("&"), p).when(p.startswith("&#") & (F.length(p) > 2), _number(p)).otherwise(F.coalesce(F.try_element_at(_literals(names), p), p))
+    )
+    parts = F.transform(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0)), one)
+    return F.when(x.contains("&"), F.array_join(parts, "")).otherwise(x)
 
 
-def decoded(x: Column) -> Column:
-    """The common character references decoded; &amp; last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+def tokens(page: str | Column) -> Column:
+    """The tokens of a page in order, as (name, token, text): scripts and styles have their content as text, tags and comments none."""
+    page = F.coalesce(col(page), F.lit(""))
+    named = lambda t: F.when(t.startswith("<"), ascii_lower(F.regexp_extract(t, NAME, 1))).otherwise(F.lit(""))
+    cut = F.transform(F.regexp_extract_all(page, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(named(t).alias("name"), t.alias("token")))
+    none = lambda t: t.startswith("<!") | t.startswith("<?") | t.startswith("</")
 
+    def text(k: Column) -> Column:
+        raw = F.when(k["name"].isin("script", "style"), _raw_body(k["token"])).otherwise(F.lit(""))
+        return F.when(k["name"] != "", raw).when(none(k["token"]), F.lit("")).otherwise(decoded(k["token"]))
 
-def attr(tag: Column, name: str) -> Column:
-    """An attribute's value: null if absent, empty without a value."""
-    found = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
-    return F.when(has(tag, name), decoded(F.regexp_replace(found, "^[\"']|[\"']$", "")))
+    return F.transform(cut, lambda k: F.struct(k["name"].alias("name"), k["token"].alias("token"), text(k).alias("text")))
 
 
-def has(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?i)\s{name}(?:[\s=>/]|$)")
+def _raw_body(token: Column) -> Column:
+    """What stands between a script's or style's tags; empty for a tag that ends itself."""
+    inner = F.substring(token, F.length(F.regexp_extract(token, OPEN, 0)) + 1, F.length(token))
+    return F.regexp_replace(inner, r"(?i)</(?:script|style)\s*+>$", "")
 
 
-def without_comments(html: str | Column) -> Column:
-    return F.regexp_replace(F.coalesce(col(html), F.lit("")), COMMENT, "")
+def attributes(token: Column, name: Column) -> Column:
+    """The attributes of a start tag in order, as (name, value): names in lower case, empty values where there are none."""
+    is_raw = name.isin("script", "style")
+    tag = F.when(is_raw, F.regexp_extract(token, OPEN, 0)).otherwise(token)
+    inner = F.substring(tag, F.length(name) + 2, F.length(tag) - F.length(name) - 2)
 
+    def one(a: Column) -> Column:
+        at = F.instr(a, "=")
+        value = F.btrim(F.substring(a, at + 1, F.length(a)), F.lit(SPACES))
+        quoted = value.startswith('"') | value.startswith("'")
+        value = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        known = F.when(at == 0, a).otherwise(F.substring(a, F.lit(1), at - 1))
+        return F.struct(ascii_lower(F.rtrim(known, F.lit(SPACES))).alias("name"), F.when(at == 0, F.lit("")).otherwise(decoded(value)).alias("value"))
 
-def elements(page: str | Column) -> Column:
-    """The tags of a page in order, as (tag, open, whole); for scripts and styles ``whole`` holds their content too."""
-    return F.transform(
-        F.regexp_extract_all(col(page), F.lit(TAG), F.lit(0)),
-        lambda t: F.struct(
-            ascii_lower(F.regexp_extract(t, NAME, 1)).alias("tag"),
-            F.when(t.rlike(r"(?i)^<(?:script|style)\b"), F.regexp_extract(t, rf"(?s)^<[a-zA-Z]++{ATTRIBUTES}>", 0)).otherwise(t).alias("open"),
-            t.alias("whole"),
-        ),
-    )
+    # most tags have none
+    found = F.transform(F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0)), one)
+    return F.when(F.length(inner) > 1, found).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
 
 
-def raw_body(element: Column) -> Column:
-    """What stands between a script's or style's tags."""
-    inner = F.substring(element["whole"], F.length(element["open"]) + 1, F.length(element["whole"]))
-    return F.regexp_replace(inner, r"(?i)</(?:script|style)\s*>$", "")
+def elements(page_tokens: str | Column) -> Column:
+    """The start tags in order, as (tag, attrs, body); scripts and styles have their content as body."""
+    starts = F.filter(col(page_tokens), lambda k: (k["name"] != "") & ~k["name"].startswith("/"))
+    return F.transform(starts, lambda k: F.struct(k["name"].alias("tag"), attributes(k["token"], k["name"]).alias("attrs"), k["text"].alias("body")))
 
 
-def inner_text(fragment: Column) -> Column:
-    """The text of a fragment: tags out, references decoded, untrimmed."""
-    return decoded(F.regexp_replace(fragment, MARKUP, ""))
+def attr(element: Column, name: str) -> Column:
+    """An attribute's value: null if absent, empty without a value; the first of several counts."""
+    return F.try_element_at(F.filter(element["attrs"], lambda a: a["name"] == name), F.lit(1))["value"]
 
 
-def without_raw(page: str | Column) -> Column:
-    return F.regexp_replace(col(page), RAW, " ")
+def has(element: Column, name: str) -> Column:
+    return F.exists(element["attrs"], lambda a: a["name"] == name)
 
 
-def title(page: Column) -> Column:
-    """The text of the first title, untrimmed; null if there is none."""
-    return F.when(page.rlike(TITLE), inner_text(F.regexp_extract(page, TITLE, 1)))
+_OPEN_TYPE = "struct<name:string,at:int,rank:int,wanted:boolean,skipped:boolean>"
+_BOUNDS_TYPE = "struct<name:string,first:int,last:int>"
 
 
-def headings(page: Column) -> Column:
-    """(level, text) of h1 to h6 in order, text trimmed and possibly empty."""
-    return F.transform(
-        F.regexp_extract_all(page, F.lit(HEADING), F.lit(0)),
-        lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), trimmed(inner_text(h)).alias("text")),
+def structure(page_tokens: str | Column) -> Column:
+    """The bounds (name, first, last) of all titles, headings, links and bodies and of the outermost skipped elements.
+
+    ``first`` is the number of the start tag's token and ``last`` of the first token behind the element's content.
+    """
+    page_tokens = col(page_tokens)
+    skipped = [t for t in SKIPPED_TAGS if t not in ("script", "style")]
+    texts = ("title", "a", "body", *HEADINGS)
+    ends = _literals({t: "".join(f" {x} " for x in xs) for t, xs in ENDS.items()})
+    ranks = _literals(RANKS)
+    tags = F.filter(
+        F.transform(page_tokens, lambda k, i: F.struct(k["name"].alias("name"), i.alias("at"), k["token"].endswith("/>").alias("empty"))),
+        lambda e: (e["name"] != "") & ~e["empty"] & ~e["name"].isin("script", "style", *VOID),
     )
+    last_where = lambda open_, test: F.coalesce(F.array_max(F.transform(open_, lambda x, j: F.when(test(x), j + 1).otherwise(F.lit(0)))), F.lit(0))
+
+    def kept_by_start(open_: Column, name: Column) -> Column:
+        """How many open elements stay open at a start tag."""
+        mine = F.try_element_at(ends, name)
+        stays = lambda x: ~F.contains(mine, F.concat(F.lit(" "), x["name"], F.lit(" ")))
+        return F.when(mine.isNull(), F.size(open_)).otherwise(last_where(open_, stays))
+
+    def kept_by_end(open_: Column, name: Column) -> Column:
+        rank = F.coalesce(F.try_element_at(ranks, name), F.lit(1))
+        barred = lambda m: F.exists(F.slice(open_, m + 1, F.size(open_) - m), lambda x: x["rank"] > rank)
+        return _let(last_where(open_, lambda x: x["name"] == name), lambda m: F.when((m == 0) | barred(m), F.size(open_)).otherwise(m - 1))
+
+    def closed(open_: Column, kept: Column, at: Column) -> Column:
+        gone = F.filter(F.slice(open_, kept + 1, F.size(open_) - kept), lambda x: x["wanted"])
+        return F.transform(gone, lambda x: F.struct(x["name"].alias("name"), x["at"].alias("first"), at.alias("last")))
+
+    def opened(open_: Column, e: Column) -> Column:
+        """The open elements with one more."""
+        inside = F.coalesce(F.try_element_at(open_, F.lit(-1))["skipped"], F.lit(False))
+        skips = e["name"].isin(*skipped)
+        wanted = e["name"].isin(*texts) | (skips & ~inside)
+        new = F.struct(e["name"].alias("name"), e["at"].alias("at"), F.coalesce(F.try_element_at(ranks, e["name"]), F.lit(1)).alias("rank"), wanted.alias("wanted"), (skips | inside).alias("skipped"))
+        again = e["name"].isin("html", "head", "body") & F.exists(open_, lambda x: x["name"] == e["name"])
+        return F.when((F.size(open_) >= DEPTH) | again, open_).otherwise(F.concat(open_, F.array(new)))
+
+    def step(state: Column, e: Column) -> Column:
+        ends_one = e["name"].startswith("/")
+        name = F.when(ends_one, F.substring(e["name"], 2, 1 << 20)).otherwise(e["name"])
+        kept = _let(state["open"], lambda o: F.when(ends_one, kept_by_end(o, name)).otherwise(kept_by_start(o, name)))
+        rest = F.slice(state["open"], F.lit(1), kept)
+        open_ = F.when(ends_one, rest).otherwise(_let(rest, lambda o: opened(o, e)))
+        return F.struct(open_.alias("open"), _let(kept, lambda k: F.concat(state["found"], closed(state["open"], k, e["at"]))).alias("found"))
+
+    def folded(tags: Column) -> Column:
+        """All bounds. A fold copies its state at each step, so found bounds are handed over once a block; blocks are as many as a block has tags."""
+        size = F.greatest(F.ceil(F.sqrt(F.size(tags))), F.lit(1)).cast("int")
+        blocks = F.sequence(F.lit(0), F.floor(F.size(tags) / size).cast("int"))
+        empty = F.array().cast(f"array<{_BOUNDS_TYPE}>")
+        start = F.struct(F.array().cast(f"array<{_OPEN_TYPE}>").alias("open"), F.array().cast(f"array<array<{_BOUNDS_TYPE}>>").alias("found"))
+        taken = lambda s, more: F.concat(s["found"], F.array(more))
+        block = lambda s, j: F.aggregate(
+            F.slice(tags, j * size + 1, size),
+            F.struct(s["open"].alias("open"), empty.alias("found")),
+            step,
+            lambda x: F.struct(x["open"].alias("open"), taken(s, x["found"]).alias("found")),
+        )
+        return F.aggregate(blocks, start, block, lambda s: F.flatten(taken(s, closed(s["open"], F.lit(0), F.size(page_tokens)))))
+
+    # elements in the order of their start tags
+    by_first = lambda b: F.sort_array(F.transform(b, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["name"].alias("name"))))
+    return by_first(_let(tags, folded))
+
+
+def inner_text(page_tokens: str | Column, bounds: Column) -> Column:
+    """The text between an element's bounds, untrimmed."""
+    inside = F.slice(col(page_tokens), bounds["first"] + 2, bounds["last"] - bounds["first"] - 1)
+    return F.array_join(F.transform(inside, lambda k: k["text"]), "")
+
+
+def _named(bounds: str | Column, *names: str) -> Column:
+    return F.filter(col(bounds), lambda x: x["name"].isin(*names))
+
+
+def title(page_tokens: str | Column, bounds: str | Column) -> Column:
+    """The text of the first title, untrimmed; null if there is none."""
+    first = F.try_element_at(_named(bounds, "title"), F.lit(1))
+    return F.when(first.isNotNull(), inner_text(page_tokens, first))
 
 
-def anchor_texts(page: Column) -> Column:
-    """The trimmed texts of links."""
-    return F.transform(F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0)), lambda a: trimmed(inner_text(a)))
+def headings(page_tokens: str | Column, bounds: str | Column) -> Column:
+    """(level, text) of h1 to h6 in order, text trimmed and possibly empty."""
+    one = lambda x: F.struct(F.substring(x["name"], 2, 1).cast("int").alias("level"), trimmed(inner_text(page_tokens, x)).alias("text"))
+    return F.transform(_named(bounds, *HEADINGS), one)
 
 
-def body_text(page: Column) -> Column:
-    """The text of the first body, a space between its parts, without the skipped elements."""
-    body = F.when(page.rlike(r"(?i)<body\b"), F.regexp_extract(page, rf"(?is)<body\b{ATTRIBUTES}>(.*)", 1)).otherwise(
-        F.regexp_replace(page, r"(?is)^.*</head\s*>", "")
+def anchor_texts(page_tokens: str | Column, bounds: str | Column) -> Column:
+    """The trimmed texts of links."""
+    return F.transform(_named(bounds, "a"), lambda x: trimmed(inner_text(page_tokens, x)))
+
+
+def body_text(page_tokens: str | Column, bounds: str | Column) -> Column:
+    """The text of the first body, a space behind each part, without the skipped elements; scripts and styles are none of it.
+
+    A page without a body tag has its body behind its head's end, or else all but its titles is body.
+    """
+    page_tokens, bounds = col(page_tokens), col(bounds)
+    place = lambda name: F.array_position(F.transform(page_tokens, lambda k: k["name"]), name)
+    body = F.try_element_at(_named(bounds, "body"), F.lit(1))
+    head_end = place("/head").cast("int")
+    ended = lambda name: F.when(place(name) > 0, place(name).cast("int") - 1)
+    implied = F.struct((head_end - 1).alias("first"), F.coalesce(F.least(ended("/body"), ended("/html")), F.size(page_tokens)).alias("last"), F.lit("body").alias("name"))
+    skips = lambda whole: F.filter(
+        bounds,
+        lambda x: (x["first"] > whole["first"]) & (x["first"] < whole["last"]) & (x["name"].isin(*SKIPPED_TAGS) | ((whole["first"] < 0) & (x["name"] == "title"))),
+    )
+    # what lies between the skipped elements
+    begin = lambda cut, i, whole: F.coalesce(F.get(cut, i - 1)["last"], whole["first"] + 1)
+    between = lambda cut, whole: F.concat(
+        F.transform(cut, lambda x, i: F.struct(begin(cut, i, whole).alias("a"), x["first"].alias("b"))),
+        F.array(F.struct(begin(cut, F.size(cut), whole).alias("a"), whole["last"].alias("b"))),
     )
-    body = F.regexp_replace(body, r"(?is)</body\s*>.*$", "")
-    for tag in SKIPPED_TAGS:
-        body = F.regexp_replace(body, f"(?is){_raw(tag)}", " ")
-    body = decoded(F.regexp_replace(body, MARKUP, " "))
-    return F.regexp_replace(body, r"&[A-Za-z]+;|&#[0-9]+;", " ")
+    part = lambda r: F.filter(F.slice(page_tokens, r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))), lambda k: (k["name"] == "") & (k["text"] != ""))
+    parts = lambda whole: F.flatten(F.transform(_let(skips(whole), lambda cut: between(cut, whole)), part))
+    return F.array_join(F.transform(_let(F.coalesce(body, implied), parts), lambda k: F.concat(k["text"], F.lit(" "))), "")

@@ -40,65 +40,64 @@ def first_match(text: Column, entries: list[tuple[str, str]]) -> Column:
 
 def parsed_elements(pages: DataFrame) -> DataFrame:
     """Add the element arrays that the extractors read; drop the HTML."""
-    df = pages.withColumn("html_bytes", n_bytes("html")).withColumn("_page", html.without_comments("html"))
-    df = df.withColumn("_els", html.elements("_page")).withColumn("_plain", html.without_raw("_page"))
+    df = pages.withColumn("html_bytes", n_bytes("html")).withColumn("_tokens", html.tokens("html"))
+    df = df.withColumns({"_els": html.elements("_tokens"), "_bounds": html.structure("_tokens")})
     of = lambda tag: F.filter("_els", lambda e: e["tag"] == tag)
-    pick = lambda tag, *names: F.transform(of(tag), lambda e: F.struct(*[html.attr(e["open"], n).alias(n.replace("-", "_")) for n in names]))
+    pick = lambda tag, *names: F.transform(of(tag), lambda e: F.struct(*[html.attr(e, n).alias(n.replace("-", "_")) for n in names]))
     scripts = F.transform(
         of("script"),
         lambda e: F.struct(
-            html.attr(e["open"], "src").alias("src"),
-            html.has(e["open"], "async").alias("is_async"),
-            html.has(e["open"], "defer").alias("is_defer"),
-            html.attr(e["open"], "type").alias("type"),
-            html.raw_body(e).alias("body"),
+            html.attr(e, "src").alias("src"),
+            html.has(e, "async").alias("is_async"),
+            html.has(e, "defer").alias("is_defer"),
+            html.attr(e, "type").alias("type"),
+            e["body"].alias("body"),
         ),
     )
     images = F.transform(
         of("img"),
-        lambda e: F.struct(
-            html.attr(e["open"], "alt").alias("alt"),
-            (html.has(e["open"], "width") & html.has(e["open"], "height")).alias("has_size"),
-        ),
+        lambda e: F.struct(html.attr(e, "alt").alias("alt"), (html.has(e, "width") & html.has(e, "height")).alias("has_size")),
     )
     inputs = F.transform(
         of("input"),
         lambda e: F.struct(
-            html.attr(e["open"], "type").alias("type"),
-            html.attr(e["open"], "id").alias("id"),
-            (html.has(e["open"], "aria-label") | html.has(e["open"], "aria-labelledby")).alias("has_aria"),
+            html.attr(e, "type").alias("type"),
+            html.attr(e, "id").alias("id"),
+            (html.has(e, "aria-label") | html.has(e, "aria-labelledby")).alias("has_aria"),
         ),
     )
     marks = F.transform(
-        "_els", lambda e: F.struct(ascii_lower(html.attr(e["open"], "id")).alias("id"), ascii_lower(html.attr(e["open"], "class")).alias("cls"))
+        F.filter("_els", lambda e: html.has(e, "id") | html.has(e, "class")),
+        lambda e: F.struct(ascii_lower(html.attr(e, "id")).alias("id"), ascii_lower(html.attr(e, "class")).alias("cls")),
     )
-    lang = F.try_element_at(of("html"), F.lit(1))["open"]
+    plain_http = lambda e: F.coalesce(html.attr(e, "src").startswith("http://"), F.lit(False)) | F.coalesce(html.attr(e, "href").startswith("http://"), F.lit(False))
+    plays = lambda e, role: F.coalesce(html.attr(e, "role") == role, F.lit(False))
     return (
-        df.withColumn("scripts", scripts)
-        .withColumns(
+        df.withColumns(
             {
-                "styles": F.transform(of("style"), html.raw_body),
+                "scripts": scripts,
+                "styles": F.transform(of("style"), lambda e: e["body"]),
                 "metas": pick("meta", "name", "property", "content"),
                 "link_els": pick("link", "rel", "href", "hreflang"),
-                "hrefs": F.filter(F.transform(of("a"), lambda e: html.attr(e["open"], "href")), lambda h: h.isNotNull()),
-                "iframes": F.transform(of("iframe"), lambda e: html.attr(e["open"], "src")),
+                "hrefs": F.filter(F.transform(of("a"), lambda e: html.attr(e, "href")), lambda h: h.isNotNull()),
+                "iframes": F.transform(of("iframe"), lambda e: html.attr(e, "src")),
                 "images": images,
                 "inputs": inputs,
-                "label_fors": F.transform(of("label"), lambda e: html.attr(e["open"], "for")),
-                "marks": F.filter(marks, lambda m: m["id"].isNotNull() | m["cls"].isNotNull()),
-                "headings_all": html.headings(F.col("_plain")),
-                "anchor_texts": html.anchor_texts(F.col("_plain")),
-                "title": html.title(F.col("_plain")),
-                "body_text": html.body_text(F.col("_page")),
-                "html_lang": html.attr(lang, "lang"),
+                "label_fors": F.transform(of("label"), lambda e: html.attr(e, "for")),
+                "marks": marks,
+                "headings_all": html.headings("_tokens", "_bounds"),
+                "anchor_texts": html.anchor_texts("_tokens", "_bounds"),
+                "title": html.title("_tokens", "_bounds"),
+                "body_text": html.body_text("_tokens", "_bounds"),
+                "html_lang": html.attr(F.try_element_at(of("html"), F.lit(1)), "lang"),
                 "n_deprecated": count_if("_els", lambda e: e["tag"].isin("font", "center", "marquee")),
-                "n_plain_http": count_if("_els", lambda e: e["open"].rlike(r"(?i)\s(?:src|href)\s*=\s*[\"']?(?-i:http://)")),
-                "n_positive_tabindex": count_if("_els", lambda e: html.attr(e["open"], "tabindex").try_cast("double") > 0),
-                "has_main_landmark": F.exists("_els", lambda e: (e["tag"] == "main") | F.coalesce(html.attr(e["open"], "role") == "main", F.lit(False))),
-                "has_nav_landmark": F.exists("_els", lambda e: (e["tag"] == "nav") | F.coalesce(html.attr(e["open"], "role") == "navigation", F.lit(False))),
+                "n_plain_http": count_if("_els", plain_http),
+                "n_positive_tabindex": count_if("_els", lambda e: html.attr(e, "tabindex").try_cast("double") > 0),
+                "has_main_landmark": F.exists("_els", lambda e: (e["tag"] == "main") | plays(e, "main")),
+                "has_nav_landmark": F.exists("_els", lambda e: (e["tag"] == "nav") | plays(e, "navigation")),
             }
         )
-        .drop("html", "_page", "_els", "_plain")
+        .drop("html", "_tokens", "_els", "_bounds")
     )
 
 

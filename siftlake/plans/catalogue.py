@@ -11,7 +11,7 @@ from siftlake.functions import dims, text
 from siftlake.operators import crawl, events, features, reports, rules
 from siftlake.plans import decorate
 from siftlake.plans.decorate import KEYWORD, decorated
-from siftlake.plans.oracle import audit, decode, host, low, occurrences, prelude, q, third, trim, words
+from siftlake.plans.oracle import audit, decode, entity_map, host, low, occurrences, prelude, q, third, trim, words
 from siftlake.session import exploded, table
 from siftlake.sources import documents, enrich, robots, sitemaps
 from siftlake.streaming import totals
@@ -569,7 +569,7 @@ def robots_allowed(spark, sf_dir):
 _MAP_ROWS = (
     f"b as (select page_id, {decorate.SITEMAP_XML_SQL} as xml from pages),"
     "u as (select page_id, generate_subscripts(y, 1) as i, unnest(y) as x from (select page_id, regexp_extract_all(xml, '(?s)<url>.*?</url>') as y from b where not contains(xml, '<sitemapindex'))),"
-    f"c as (select page_id, i, {', '.join(f'''nullif({trim(decode(f'regexp_extract(x, {chr(39)}(?s)<{p}>(.*?)</{p}>{chr(39)}, 1)'))}, '') as {p}''' for p in ('loc', 'lastmod', 'changefreq', 'priority'))} from u)"
+    f"c as (select page_id, i, {', '.join(f'''nullif({trim(decode(f'regexp_extract(x, {chr(39)}(?s)<{p}>(.*?)</{p}>{chr(39)}, 1)', entity_map()))}, '') as {p}''' for p in ('loc', 'lastmod', 'changefreq', 'priority'))} from u)"
 )
 
 

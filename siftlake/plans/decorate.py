@@ -40,6 +40,7 @@ def html_sql(shift: int = 0) -> str:
         f" when 1 then concat('<script>', repeat('abcdefg ', 2625), '</script>') else '' end",
         f"case {p} % 6 when 0 then '<script type=\"application/ld+json\">{{\"@type\":\"FAQPage\"}}</script>'"
         f" when 1 then '<script type=\"application/ld+json\">{{\"@type\":\"Article\",\"author\":\"A\",\"publisher\":\"B\"}}</script>' else '' end",
+        _every(p, 5, "= 2", '<script>var a = "<!--"; var b = "<b>";</script><meta name="author" content="A &eacute;" CONTENT="B">'),
         _every(p, 14, "= 3", '<link rel="preload" href="/p.js"><link rel="preconnect" href="https://x.example.org"><link rel="dns-prefetch" href="https://y.example.org"><link rel="alternate" hreflang="de" href="/de">'),
     ]
     body = [
@@ -53,11 +54,15 @@ def html_sql(shift: int = 0) -> str:
         f"case when {p} % 3 = 0 then '<h2>How to audit</h2>' else '<h2>Overview</h2>' end",
         _every(p, 10, "= 0", '<div class="Cookie-Banner">ok</div>'),
         f"case when {p} % 29 = 3 then concat('<p>', repeat('audit tool ', 400), '</p>') else '' end",
+        _every(p, 6, "= 3", '<pre>alpha<code>beta</code>gamma</pre><p title="<!--">delta</p><!--><p>epsilon<style>q{}</style>'),
+        _every(p, 7, "= 2", '<h2>Open heading<p>behind it</p><a href="/1" HREF="/2">one<b>bold<a id=x>two</b></a><h3>caf&eacute; &#8212; &#x41;udit&nbsp;tool</h3>'),
+        _every(p, 9, "= 4", '<ul><li>x<li>&uuml;ber na&#239;ve &nope; &amp;lt;<ul><li>y</ul></ul><template><noscript>t</noscript>u</template>'),
+        _every(p, 10, "= 7", '<div><span></div>tail</span><table><tr><td><a href=/t>c<td>d</table></p><div class=a/>e < f'),
         _every(p, 12, "= 5", '<iframe src="https://www.youtube.com/embed/1"></iframe><main>m</main>'),
     ]
     html = f"replace(html, '</head>', concat({', '.join(head)}, '</head>'))"
     html = f"replace({html}, '<body>', concat('<body>', {', '.join(body)}))"
-    titles = f"case {p} % 19 when 0 then '<title></title><title>' when 1 then '<title>Tiny</title><title>' when 2 then concat('<title>', repeat('long title ', 8), '</title><title>') else '<title>' end"
+    titles = f"case {p} % 19 when 0 then '<title></title><title>' when 1 then '<title>Tiny</title><title>' when 2 then concat('<title>', repeat('long title ', 8), '</title><title>') when 3 then '<title>Caf&eacute; &#8211; &#x41;&amp;lt; &copy</title><title>' else '<title>' end"
     html = f"replace({html}, '<title>', {titles})"
     html = f"replace({html}, ' lang=\"', case when {p} % 17 = 0 then ' data-lang=\"' else ' lang=\"' end)"
     # a page of stop words only

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from siftlake.functions import dims
+from html.entities import codepoint2name
+
+from siftlake.functions import dims, html
 from siftlake.plans.decorate import KEYWORD, SITEMAP_SQL, html_sql
 
 # The patterns are the oracle's own: linear matching, without possessives and lookaheads.
-COMMENT = r"(?s)<!--.*?-->"
-RAW = r"(?is)<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)"
-TAG = (
-    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|<[a-z][a-z0-9]*(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"
+_INSIDE = r"(?:[^<>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*"
+TOKEN = (
+    r"(?is)<!--(?:-?>|.*?(?:-->|\z))|<[!?][^>]*(?:>|\z)|</(?:[^a-z>][^>]*)?(?:>|\z)"
+    rf"|<script(?:[\s/]{_INSIDE})?>.*?(?:</script\s*>|\z)|<style(?:[\s/]{_INSIDE})?>.*?(?:</style\s*>|\z)"
+    rf"|</?[a-z]{_INSIDE}>|(?:[^<]|<[^a-z!?/<])+|<"
 )
-NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"
-HEADING = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"
-ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+ATTRIBUTE = r"(?s)[^\s=/>\"'][^\s=/>]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?"
+REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
+#: The entities of HTML 4, from the standard library's table by character rather than by name.
+ENTITIES = {f"&{name};": chr(n) for n, name in codepoint2name.items()} | {"&apos;": "'"}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -28,20 +30,27 @@ def low(x: str) -> str:
     return LOWER.format(x)
 
 
-def decode(x: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        x = f"replace({x}, {q(a)}, {q(b)})"
-    return x
+def _map(known: dict) -> str:
+    return "map {" + ", ".join(f"{q(k)}: {v if isinstance(v, int) else q(v)}" for k, v in known.items()) + "}"
+
+
+def entity_map() -> str:
+    return _map(ENTITIES)
+
+
+def decode(x: str, entities: str = "ents") -> str:
+    number = "case when p[3] in ('x', 'X') then try_cast('0x' || rtrim(substr(p, 4), ';') as bigint) else try_cast(rtrim(substr(p, 3), ';') as bigint) end"
+    valid = f"{number} in (9, 10, 13) or {number} between 32 and 55295 or {number} between 57344 and 65533 or {number} between 65536 and 1114111"
+    one = f"case when p like '&#_%' then case when {valid} then chr(({number})::int) else '' end when p like '&%' then coalesce({entities}[p], p) else p end"
+    return f"case when contains({x}, '&') then array_to_string(list_transform(regexp_extract_all({x}, {q(REFERENCE)}), lambda p: {one}), '') else {x} end"
 
 
-def has(tag: str, name: str) -> str:
-    return f"regexp_matches({tag}, {q(rf'(?i)\s{name}(?:[\s=>/]|$)')})"
+def has(name: str) -> str:
+    return f"list_contains(names, {q(name)})"
 
 
-def attr(tag: str, name: str) -> str:
-    pattern = q(rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
-    value = f"regexp_replace(regexp_extract({tag}, {pattern}, 1), {q(r'''^["']|["']$''')}, '', 'g')"
-    return f"case when {has(tag, name)} then {decode(value)} end"
+def attr(name: str) -> str:
+    return f"vals[list_position(names, {q(name)})]"
 
 
 def trim(x: str) -> str:
@@ -60,10 +69,6 @@ def first_of(x: str, entries) -> str:
     return "case " + " ".join(f"when contains({x}, {q(a)}) then {q(b)}" for a, b in entries) + " end"
 
 
-def sub(x: str, pattern: str, by: str) -> str:
-    return f"regexp_replace({x}, {q(pattern)}, {q(by)}, 'g')"
-
-
 def occurrences(text: str, phrase: str) -> str:
     t, p = low(f"coalesce({text}, '')"), low(phrase)
     return f"(len({t}) - len(replace({t}, {p}, ''))) // greatest(len({p}), 1)"
@@ -73,56 +78,106 @@ def words(x: str) -> str:
     return f"len(regexp_extract_all({x}, '[A-Za-z]+'))"
 
 
-def body_text(page: str) -> str:
-    body = rf"case when regexp_matches({page}, '(?i)<body\b') then regexp_extract({page}, '(?is)<body\b[^>]*>(.*)', 1) else {sub(page, r'(?is)^.*</head\s*>', '')} end"
-    body = sub(body, r"(?is)</body\s*>.*$", "")
-    for tag in dims.SKIPPED_TAGS:
-        body = sub(body, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    return sub(decode(sub(body, "<[^>]*>", " ")), "&[A-Za-z]+;|&#[0-9]+;", " ")
-
-
-def inner(x: str) -> str:
-    return decode(sub(x, "<[^>]*>", ""))
-
-
 def prelude(shift: int = 0, tag: str = "") -> str:
     """CTEs from pages to features; ``tag`` is a suffix to their names."""
     t = tag
-    open_ = rf"case when regexp_matches(t, '(?i)^<(?:script|style)\b') then regexp_extract(t, '(?s)^<[^>]*>') else t end"
-    raw = q(r"(?i)</(?:script|style)\s*>$")
+    skips = ", ".join(q(x) for x in dims.SKIPPED_TAGS)
+    void = ", ".join(q(x) for x in html.VOID)
+    heads = ", ".join(q(x) for x in html.HEADINGS)
+    ends = _map({k: "".join(f" {x} " for x in v) for k, v in html.ENDS.items()})
+    ranks = _map(html.RANKS)
+    opening = q(rf"(?s)^<[a-zA-Z]+{_INSIDE}>")
+    body = q(rf"(?s)^<[a-zA-Z]+{_INSIDE}>(.*)$")
+    edges = q(r"^\s+|\s+$")
+    reach = "list_transform(open, lambda x: x.name)"
+    found = f"list_position(list_reverse({reach}), g.name)"
     question = " or ".join(f"starts_with({low('text')}, {q(p)})" for p in dims.QUESTION_PREFIXES)
     stop = ", ".join(q(w) for w in sorted(set(dims.STOP_WORDS)))
     generic = ", ".join(q(w) for w in dims.GENERIC_LINK_TEXTS)
     rel = lambda r: f"count(*) filter (where tag = 'link' and rel = '{r}')"
     ext = "tag = 'script' and coalesce(src, '') <> ''"
-    return rf"""
+    return rf"""{"" if tag else "recursive"}
 dec{t} as (select page_id, url, {html_sql(shift)} as html, {SITEMAP_SQL} as has_sitemap from pages),
-pg{t} as (select *, {sub("html", COMMENT, "")} as page from dec{t}),
-pl{t} as (select *, {sub("page", RAW, " ")} as plain, {body_text("page")} as body_text from pg{t}),
-tk{t} as (
-  select page_id, url, i, t, {low(f"regexp_extract(t, {q(NAME)}, 1)")} as tag, {open_} as o
-  from (select page_id, url, generate_subscripts(x, 1) as i, unnest(x) as t
-        from (select page_id, url, regexp_extract_all(page, {q(TAG)}) as x from pl{t}))
+tl{t} as (select page_id, url, regexp_extract_all(coalesce(html, ''), {q(TOKEN)}) as x, {entity_map()} as ents from dec{t}),
+tr{t} as (
+  select page_id, url, i, t, ents, case when t like '<%' then {low("regexp_extract(t, '^<(/?[a-zA-Z][^ \t\n\f\r<>/=]*)', 1)")} else '' end as name
+  from (select page_id, url, ents, generate_subscripts(x, 1) - 1 as i, unnest(x) as t from tl{t})
+),
+tk{t} as materialized (
+  select page_id, url, i, name, t, ents,
+    case when name in ('script', 'style') then regexp_replace(regexp_extract(t, {body}, 1), '(?i)</(?:script|style)\s*>$', '')
+      when name <> '' or t like '<!%' or t like '<?%' or t like '</%' then '' else {decode("t")} end as text
+  from tr{t}
+),
+ar{t} as (
+  select page_id, url, i, name as tag, text as body, list_transform(x, lambda a: {low("rtrim(split_part(a, '=', 1))")}) as names,
+    list_transform(list_transform(x, lambda a: case when contains(a, '=') then regexp_replace(substr(a, instr(a, '=') + 1), {edges}, '', 'g') else '' end),
+      lambda v: case when v[1] in ('"', chr(39)) then substr(v, 2, len(v) - 2) else v end) as raws, ents
+  from (select *, regexp_extract_all(substr(case when name in ('script', 'style') then regexp_extract(t, {opening}) else t end, len(name) + 2), {q(ATTRIBUTE)}) as x
+        from tk{t} where name <> '' and name not like '/%')
 ),
+av{t} as (select page_id, url, i, tag, body, names, list_transform(raws, lambda v: {decode("v")}) as vals from ar{t}),
 el{t} as (
-  select page_id, url, i, tag, o, {attr("o", "src")} as src, {attr("o", "href")} as href, {attr("o", "rel")} as rel,
-    {attr("o", "name")} as name, {attr("o", "property")} as property, {attr("o", "content")} as content,
-    {attr("o", "type")} as type, {attr("o", "id")} as id, {attr("o", "class")} as cls, {attr("o", "for")} as "for",
-    {attr("o", "alt")} as alt, {attr("o", "role")} as role, {attr("o", "hreflang")} as hreflang, {attr("o", "tabindex")} as tabindex,
-    {has("o", "async")} as is_async, {has("o", "defer")} as is_defer, {has("o", "width")} and {has("o", "height")} as has_size,
-    {has("o", "aria-label")} or {has("o", "aria-labelledby")} as has_aria,
-    regexp_matches(o, {q(r'''(?i)\s(?:src|href)\s*=\s*["']?(?-i:http://)''')}) as plain_http,
-    regexp_replace(substr(t, len(o) + 1), {raw}, '') as body
-  from tk{t}
+  select page_id, url, i, tag, {attr("src")} as src, {attr("href")} as href, {attr("rel")} as rel,
+    {attr("name")} as name, {attr("property")} as property, {attr("content")} as content,
+    {attr("type")} as type, {attr("id")} as id, {attr("class")} as cls, {attr("for")} as "for", {attr("lang")} as lang,
+    {attr("alt")} as alt, {attr("role")} as role, {attr("hreflang")} as hreflang, {attr("tabindex")} as tabindex,
+    {has("async")} as is_async, {has("defer")} as is_defer, {has("width")} and {has("height")} as has_size,
+    {has("aria-label")} or {has("aria-labelledby")} as has_aria,
+    coalesce(starts_with({attr("src")}, 'http://'), false) or coalesce(starts_with({attr("href")}, 'http://'), false) as plain_http, body
+  from av{t}
+),
+tg{t} as materialized (
+  select page_id, i::bigint as place, ltrim(name, '/') as name, name like '/%' as is_end, row_number() over (partition by page_id order by i) as n, {ends} as ends, {ranks} as ranks
+  from tk{t} where name <> '' and t not like '%/>' and name not in ('script', 'style', {void})
+),
+st{t}(page_id, n, open, gone, place) as (
+  select page_id, 0::bigint, []::struct(name varchar, place bigint)[], []::struct(name varchar, place bigint)[], 0::bigint from dec{t}
+  union all
+  select page_id, n, case when is_end or kept >= {html.DEPTH} or (name in ('html', 'head', 'body') and list_contains(list_transform(list_slice(open, 1, kept), lambda x: x.name), name))
+      then list_slice(open, 1, kept) else list_append(list_slice(open, 1, kept), {{'name': name, 'place': place}}) end, list_slice(open, kept + 1, len(open)), place
+  from (
+    select g.*, s.open, case
+      when not is_end and ends[g.name] is null then len(open)
+      when not is_end then coalesce(list_max(list_transform(range(1, len(open) + 1), lambda j: case when contains(ends[g.name], ' ' || open[j].name || ' ') then 0 else j end)), 0)
+      when not list_contains({reach}, g.name) then len(open)
+      when len(list_filter(list_slice(open, len(open) - {found} + 2, len(open)), lambda x: coalesce(ranks[x.name], 1) > coalesce(ranks[g.name], 1))) > 0 then len(open)
+      else len(open) - {found} end as kept
+    from st{t} s join tg{t} g on g.page_id = s.page_id and g.n = s.n + 1
+  )
+),
+sm{t} as materialized (select * from st{t}),
+bd{t} as materialized (
+  select page_id, x.name as name, x.place as a, b from (
+    select page_id, unnest(gone) as x, place as b from sm{t} where len(gone) > 0
+    union all
+    select s.page_id, unnest(open), len(tl{t}.x)::bigint from sm{t} s join tl{t} using (page_id)
+    join (select page_id, max(n) as n from sm{t} group by 1) m on m.page_id = s.page_id and m.n = s.n)
+),
+xt{t} as (
+  select bd.page_id, bd.name, a, coalesce(string_agg(k.text, '' order by k.i), '') as text
+  from (select * from bd{t} where name in ('title', 'a', {heads})) bd left join tk{t} k on k.page_id = bd.page_id and k.i > a and k.i < b
+  group by all
 ),
-hd{t} as (
-  select page_id, i, substr(h, 3, 1)::int as level, {trim(inner("h"))} as text
-  from (select page_id, generate_subscripts(x, 1) as i, unnest(x) as h from (select page_id, regexp_extract_all(plain, {q(HEADING)}) as x from pl{t}))
+bo{t} as (
+  select page_id, coalesce(min(a) filter (where name = 'body'), max(h) - 1, -1) as a,
+    case when count(*) filter (where name = 'body') > 0 then min_by(b, a) filter (where name = 'body') else coalesce(min(e), max(n)) end as b
+  from (
+    select page_id, name, a, b, null as h, null as e, null as n from bd{t}
+    union all select page_id, '', null, null, min(i) filter (where name = '/head') + 1, min(i) filter (where name in ('/body', '/html')), max(i) + 1 from tk{t} group by 1
+  ) group by 1
 ),
-an{t} as (
-  select page_id, {trim(inner("a"))} as text
-  from (select page_id, unnest(regexp_extract_all(plain, {q(ANCHOR)})) as a from pl{t})
+bt{t} as (
+  select k.page_id, string_agg(k.text || ' ', '' order by k.i) as body_text
+  from tk{t} k join bo{t} o on o.page_id = k.page_id and k.i > o.a and k.i < o.b
+  where k.name = '' and k.text <> '' and not exists (
+    select 1 from bd{t} x where x.page_id = k.page_id and (x.name in ({skips}) or (o.a < 0 and x.name = 'title')) and x.a > o.a and k.i > x.a and k.i < x.b)
+  group by 1
 ),
+pl{t} as (select d.*, coalesce(body_text, '') as body_text from dec{t} d left join bt{t} using (page_id)),
+hd{t} as (select page_id, a as i, substr(name, 2, 1)::int as level, {trim("text")} as text from xt{t} where name in ({heads})),
+an{t} as (select page_id, {trim("text")} as text from xt{t} where name = 'a'),
+ti{t} as (select page_id, min_by(text, a) as title from xt{t} where name = 'title' group by 1),
 hx{t} as (
   select page_id, count(*) filter (where level = 1) as h1_count, min_by(text, i) filter (where level = 1) as h1,
     list(level order by i) as heading_sequence, list(level order by i) filter (where text <> '') as outline,
@@ -157,7 +212,7 @@ ex{t} as (
     min_by(content, i) filter (where tag = 'meta' and property = 'og:title') as og_title,
     min_by(content, i) filter (where tag = 'meta' and property = 'og:description') as og_description,
     min_by(content, i) filter (where tag = 'meta' and property = 'og:image') as og_image,
-    min_by({attr("o", "lang")}, i) filter (where tag = 'html') as html_lang,
+    min_by(lang, i) filter (where tag = 'html') as html_lang,
     coalesce(bool_or(tag = 'meta' and name = 'author' and content is not null), false) as author_meta,
     min_by(href, i) filter (where tag = 'link' and rel = 'canonical' and href is not null) as canonical,
     count(*) filter (where tag = 'link' and hreflang is not null) as hreflang_count,
@@ -196,14 +251,14 @@ ex{t} as (
 ),
 fe{t} as (
   select p.page_id, p.url, p.has_sitemap, p.body_text, strlen(p.html) as html_bytes,
-    case when regexp_matches(plain, {q(TITLE)}) then {inner(f"regexp_extract(plain, {q(TITLE)}, 1)")} end as title,
+    ti.title,
     starts_with(p.url, 'https://') as is_https, ex.* exclude (page_id), hx.* exclude (page_id, h1_count, has_qa_headings),
     coalesce(h1_count, 0) as h1_count, coalesce(hx.has_qa_headings, false) as has_qa_headings,
     coalesce(empty_links, 0) as empty_links, coalesce(generic_links, 0) as generic_links,
     coalesce(total_words, 0) as total_words, coalesce(has_keywords, false) as has_keywords,
     coalesce(n_trackers, 0) as n_trackers, coalesce(list_sort(script_domains), []) as script_domains,
     coalesce(tx.tool, mk.tool) as consent_tool, coalesce(inputs_missing_label, 0) as inputs_missing_label
-  from pl{t} p left join ex{t} ex using (page_id) left join hx{t} hx using (page_id) left join ax{t} ax using (page_id)
+  from pl{t} p left join ti{t} ti using (page_id) left join ex{t} ex using (page_id) left join hx{t} hx using (page_id) left join ax{t} ax using (page_id)
     left join wx{t} wx using (page_id) left join tx{t} tx using (page_id) left join mk{t} mk using (page_id) left join ix{t} ix using (page_id)
 ),
 f{t} as (
