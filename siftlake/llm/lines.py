@@ -3,23 +3,26 @@
 Lines are hashed, and a hash rolling over ``WINDOW`` of them ends a chunk where
 it falls into one residue class, so boundaries depend on the lines around them
 and not on their numbers: lines inserted before a shared passage shift nothing
-in it. A passage's edges fall inside chunks and a short one may hold none, so
-every two neighbouring lines with text, and the blank lines between them, are a
-chunk too. Chunks of several lines that occur more than once in the corpus are
-removed everywhere but at their first place, after their bytes are compared; a
-repeat that overlaps its first place loses only what lies after it. So of every
-run of two or more lines with text that an earlier place holds, no line stays.
+in it. The chunks between boundaries, and the windows that set them, are looked
+up over the whole corpus. One that occurs more than once is extended to both
+sides, line by line, against its first place, so that a passage goes to its
+edges, which fall inside chunks: as far as the neighbouring chunks reach, for
+beyond them the next chunk repeats as a whole. What has several lines with text
+then is removed everywhere but at its first place; bytes decide, both of the
+chunk and of the lines around it. A repeat that overlaps its first place loses
+only what lies after it. A passage of few lines may hold neither a whole chunk
+nor a boundary; it stays.
 
 Counting is over hashes alone. Documents that hold a chunk whose hash repeats
-are then met with it, and only such chunks carry their text on; grouping and
-joining them by hash and text is the byte comparison. Counts are
-map-side combined and the joins are ones that adaptive execution splits, so a
-chunk that a third of all documents hold is never gathered anywhere. First
-means the smallest doc_id, then the earliest line in it.
+are then met with it, and only such chunks and their neighbours carry their
+lines on; grouping and joining them by hash and text is the byte comparison.
+Counts are map-side combined and the joins are ones that adaptive execution
+splits, so a chunk that a third of all documents hold is never gathered
+anywhere. First means the smallest doc_id, then the earliest line in it.
 
 Nulls and odd rows: a null text has no chunks and stays null, an empty one
-stays empty; blank lines are lines, but a chunk of blank lines only is never
-removed; a null doc_id comes after all others; rows that repeat a doc_id with
+stays empty; blank lines are lines, but what has fewer than two lines with text is
+never removed; a null doc_id comes after all others; rows that repeat a doc_id with
 one text are one document and lose the same lines; a very long text is one long
 row; an empty table gives an empty table. Own columns keep their names and
 values: beside a column called n_removed the result is called n_removed_.
@@ -27,7 +30,7 @@ values: beside a column called n_removed the result is called n_removed_.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.substrings import place
@@ -36,56 +39,81 @@ from siftlake.session import discard_between, exploded, staged, staged_so_far, t
 
 WINDOW = 2
 #: A chunk ends after one line in so many.
-MEAN_LINES = 3
+MEAN_LINES = 2
+
+
+def _filled(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE)) != ""
 
 
 def chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """One row for each chunk of two lines or more that are not all blank: doc_id, row_hash, first and last line, hash."""
+    """One row for each chunk, and each window that ends one, that has a line with text: doc_id, row_hash, first and last line, low and high (how far it may be extended) and hash."""
     df = docs.select("doc_id", row_hash("text").alias("row_hash"), F.split(whole("text"), "\n").alias("_lines"))
-    filled = lambda x: F.btrim(x, F.lit(SPACE)) != ""
     df = df.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
     last = F.size("_hashes") - 1
     rolling = lambda i: F.xxhash64(F.slice("_hashes", F.greatest(i - (window - 2), F.lit(1)), F.least(i + 1, F.lit(window))))
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolling(i), F.lit(mean_lines)) == 0))
-    df = df.withColumn("_ends", ends).withColumn("_filled", F.filter(F.sequence(F.lit(0), last), lambda i: filled(F.get("_lines", i))))
-    begin = lambda j: F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0))
+    fires = lambda i: F.pmod(rolling(i), F.lit(mean_lines)) == 0
+    df = df.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | fires(i)))
+    begin = lambda j: F.when(j < 0, F.lit(0)).otherwise(F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0)))
+    reach = lambda j: (begin(j - 1).alias("low"), F.coalesce(F.get("_ends", j + 1), last).alias("high"))
+    made = F.transform("_ends", lambda e, j: F.struct(begin(j).alias("first"), e.alias("last"), *reach(j)))
+    # the window at a chunk's end, where it is not the chunk itself; the text's own end is no boundary
+    back = lambda c: F.greatest(c["last"] - (window - 1), F.lit(0))
+    windows = F.transform(
+        F.filter(made, lambda c: (c["last"] > 0) & (back(c) != c["first"]) & fires(c["last"])),
+        lambda c: F.struct(back(c).alias("first"), *[c[x].alias(x) for x in ("last", "low", "high")]),
+    )
     part = lambda x, c: F.slice(x, c["first"] + 1, c["last"] - c["first"] + 1)
-    made = F.transform("_ends", lambda e, j: F.struct(begin(j).alias("first"), e.alias("last")))
-    n_filled = lambda c: F.size(F.filter(part("_lines", c), filled))
-    inner = lambda c: filled(F.get("_lines", c["first"])) & filled(F.get("_lines", c["last"]))
-    # a chunk of two lines with text at its ends is a pair
-    made = F.filter(made, lambda c: (c["last"] > c["first"]) & (n_filled(c) > F.when(inner(c), 2).otherwise(0)))
-    made = F.transform(made, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(part("_hashes", c)).alias("hash")))
-    next_to = lambda i, j: F.xxhash64(F.get("_hashes", i), F.get("_hashes", j), j - i)
-    pair = lambda i, j: F.struct(i.alias("first"), j.alias("last"), next_to(i, j).alias("hash"))
-    pairs = F.transform(F.slice("_filled", 1, F.greatest(F.size("_filled") - 1, F.lit(0))), lambda i, k: pair(i, F.get("_filled", k + 1)))
-    return exploded(df, F.concat(made, pairs), "_c", "doc_id", "row_hash").select("doc_id", "row_hash", "_c.*")
+    both = F.filter(F.concat(made, windows), lambda c: F.exists(part("_lines", c), _filled))
+    both = F.transform(both, lambda c: F.struct(*[c[x].alias(x) for x in _RANGE], F.xxhash64(part("_hashes", c)).alias("hash")))
+    return exploded(df, both, "_c", "doc_id", "row_hash").select("doc_id", "row_hash", "_c.*")
+
+
+_RANGE = ("first", "last", "low", "high")
 
 
 def repeated_hashes(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, row_hash and the chunks (first, last, hash) whose hash occurs more than once; no text is shuffled."""
+    """doc_id, row_hash and the chunks (first, last, low, high, hash) whose hash occurs more than once; no text is shuffled."""
     every = staged(chunks(docs, **settings), "line-chunks")
     # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
     shared = staged(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "line-shared")
     found = every.join(shared, "hash").groupBy("doc_id", "row_hash")
-    return found.agg(F.collect_set(F.struct("first", "last", "hash")).alias("_ranges"))
+    return found.agg(F.collect_set(F.struct(*_RANGE, "hash")).alias("_ranges"))
+
+
+def _alike(mine: str, theirs: str) -> Column:
+    """How many lines two arrays begin with alike."""
+    same = F.zip_with(mine, theirs, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(mine))
 
 
 def not_first(touched: DataFrame) -> DataFrame:
-    """_doc_id, _row_hash and the sorted, separate line ranges of chunks that are not the first with their bytes, from rows with _doc and _ranges."""
+    """_doc_id, _row_hash and the sorted, separate line ranges that repeat a first place with their bytes, from rows with _doc and _ranges."""
     lines = touched.select("_doc_id", "_row_hash", F.split("_doc.text", "\n").alias("_lines"), "_ranges")
-    line = lambda i: F.get("_lines", i)
-    part = lambda c: F.array_join(F.slice("_lines", c["first"] + 1, c["last"] - c["first"] + 1), "\n")
-    body = lambda c: F.when(c["last"] == c["first"] + 1, F.concat_ws("\n", line(c["first"]), line(c["last"]))).otherwise(part(c))
-    bodies = F.transform("_ranges", lambda c: F.struct(*[c[x].alias(x) for x in ("first", "last", "hash")], body(c).alias("chunk")))
+    part = lambda a, n: F.slice("_lines", a + 1, F.greatest(n, F.lit(0)))
+    bodies = F.transform(
+        "_ranges",
+        lambda c: F.struct(
+            *[c[x].alias(x) for x in ("first", "last", "hash")],
+            F.array_join(part(c["first"], c["last"] - c["first"] + 1), "\n").alias("chunk"),
+            F.reverse(part(c["low"], c["first"] - c["low"])).alias("before"),
+            part(c["last"] + 1, c["high"] - c["last"]).alias("after"),
+        ),
+    )
     rows = exploded(lines, bodies, "_c", "_doc_id", "_row_hash")
     rows = rows.select("_doc_id", "_row_hash", "_c.*").withColumn("place", place("_doc_id", F.col("first")))
-    same_bytes = rows.groupBy("hash", "chunk").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).filter("n > 1")
-    same_bytes = staged(same_bytes.drop("n"), "line-bytes")
+    around = F.min_by(F.struct("before", "after"), "place").alias("_first")
+    same_bytes = rows.groupBy("hash", "chunk").agg(F.min("place").alias("first_place"), around, F.count("*").alias("n")).filter("n > 1")
+    same_bytes = staged(same_bytes.select("hash", "chunk", "first_place", F.col("_first.before").alias("_before"), F.col("_first.after").alias("_after")), "line-bytes")
     found = rows.join(same_bytes, ["hash", "chunk"]).filter(F.col("place") > F.col("first_place"))
+    found = found.withColumns({"_up": _alike("before", "_before"), "_down": _alike("after", "_after")})
+    taken = F.concat(F.slice("before", F.lit(1), F.col("_up")), F.split("chunk", "\n"), F.slice("after", F.lit(1), F.col("_down")))
+    found = found.filter(F.size(F.filter(taken, _filled)) > 1)
+    found = found.withColumns({"first": F.col("first") - F.col("_up"), "last": F.col("last") + F.col("_down")})
     # lines that the first place holds too stay
     kept = F.greatest(F.col("last") - F.col("first") + 1 - (F.col("place") - F.col("first_place")), F.lit(0)).cast("int")
-    cut = found.select("_doc_id", "_row_hash", (F.col("first") + kept).alias("first"), "last").groupBy("_doc_id", "_row_hash")
+    cut = found.select("_doc_id", "_row_hash", (F.col("first") + kept).alias("first"), "last").filter("first <= last").groupBy("_doc_id", "_row_hash")
     cut = cut.agg(F.collect_set(F.struct("first", "last")).alias("_cut"))
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("_cut", lambda r: F.sequence(r["first"], r["last"])))))
     cut = cut.select("_doc_id", "_row_hash", numbers.alias("_numbers"))

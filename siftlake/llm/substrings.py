@@ -1,12 +1,12 @@
 """Substring dedup by sliding sentence spans, in DataFrame functions.
 
-A text is cut into sentences. From every sentence a span of several consecutive
-sentences begins: the fewest, two at least, that have ``min_chars`` characters
-together, so that stock phrases of a few words make no span. Spans are hashed
-over the sentences' trimmed, lower-cased texts, whatever lies between them,
-twice over with different seeds (128 bits together). Spans with one hash are
-joined over the whole corpus, and every sentence that a span other than the
-first with its hash covers is removed.
+A text is cut into sentences. Every run of ``run`` consecutive sentences is a
+span, however short they are. Spans are hashed over the sentences' trimmed,
+lower-cased texts, whatever lies between them, twice over with different seeds
+(128 bits together). Spans with one hash are joined over the whole corpus, and
+every sentence that a span other than the first with its hash covers is removed;
+so of a repeated passage of ``run`` sentences or more none stays, and a repeated
+sentence between sentences of its own does.
 
 Only hashes and positions are shuffled to find repeats. Their counts and first
 places are map-side combined, and the join back to the spans is one that
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.text import SPACE, free_name, row_hash, whole
 from siftlake.session import exploded, staged, table
 
-#: A span has at least so many sentences, and characters in them (about twenty words).
-RUN, MIN_CHARS = 2, 120
+#: A span has so many sentences.
+RUN = 3
 #: A sentence ends after white space that follows a full stop, exclamation or question mark, or after a line break.
 ENDS = r"(?<=[.!?][ \t\n])|(?<=\n)"
 
@@ -54,71 +54,37 @@ def _filled(pieces: str) -> Column:
     return F.filter(known, lambda x: x["s"] != "")
 
 
-def spans(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each span: doc_id, row_hash, k (its first sentence's number), n (its sentences), hash and hash2."""
+def spans(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """One row for each span: doc_id, row_hash, k (its first sentence's number), hash and hash2."""
     df = docs.select("doc_id", row_hash("text").alias("row_hash"), sentences("text").alias("_pieces"))
-    hashed = lambda x: F.struct(
-        F.xxhash64(x["s"]).alias("h"),
-        F.xxhash64(F.lit(1), x["s"]).alias("g"),
-        F.length(x["s"]).alias("size"),
-    )
+    df = df.withColumn("_known", F.transform(_filled("_pieces"), lambda x: F.struct(F.xxhash64(x["s"]).alias("h"), F.xxhash64(F.lit(1), x["s"]).alias("g"))))
     field = lambda c: F.transform("_known", lambda x: x[c])
-    df = df.withColumn("_known", F.transform(_filled("_pieces"), hashed)).withColumns({c: field(c) for c in ("h", "g", "size")})
-    enough = lambda n, chars: (n >= run) & (chars >= min_chars)
-    step = lambda at, size: F.when(enough(at["n"], at["chars"]), at).otherwise(
-        F.struct((at["n"] + 1).alias("n"), (at["chars"] + size).alias("chars"))
-    )
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
-
-    def reach(_size: Column, k: Column) -> Column:
-        """The span from sentence k; the first few lengths are tried before counting on."""
-        chars, out = F.lit(0), None
-        for j in range(run + 2):
-            chars = chars + F.get("size", k + j)
-            if j + 1 >= run:
-                test, short = chars >= min_chars, F.struct(F.lit(j + 1).alias("n"), chars.alias("chars"))
-                out = F.when(test, short) if out is None else out.when(test, short)
-        # a sentence has a character at least, so no span needs more sentences than this
-        return out.otherwise(F.aggregate(F.slice("size", k + 1, F.lit(max(run, min_chars))), start, step))
-
-    df = df.withColumn("_reach", F.transform("size", reach))
-
-    def hashed_span(c: str, k: Column, n: Column, *salt: Column) -> Column:
-        """The hash of n hashes; that of an array is that of its elements, so short spans need no slice."""
-        some = lambda j: F.xxhash64(*salt, *[F.get(c, k + i) for i in range(j)])
-        return F.when(n == 2, some(2)).when(n == 3, some(3)).when(n == 4, some(4)).otherwise(F.xxhash64(*salt, F.slice(c, k + 1, n)))
-
+    df = df.withColumns({c: field(c) for c in ("h", "g")})
+    # the hash of an array is that of its elements one after another
+    span = lambda c, k, *salt: F.xxhash64(*salt, *[F.get(c, k + i) for i in range(run)])
     made = F.transform(
-        "_reach",
-        lambda r, k: F.when(
-            enough(r["n"], r["chars"]),
-            F.struct(
-                k.alias("k"),
-                r["n"].alias("n"),
-                hashed_span("h", k, r["n"]).alias("hash"),
-                hashed_span("g", k, r["n"], F.lit(1)).alias("hash2"),
-            ),
-        ),
+        F.slice("h", F.lit(1), F.greatest(F.size("h") - (run - 1), F.lit(0))),
+        lambda _, k: F.struct(k.alias("k"), span("h", k).alias("hash"), span("g", k, F.lit(1)).alias("hash2")),
     )
     return exploded(df, made, "_run", "doc_id", "row_hash").select("doc_id", "row_hash", "_run.*")
 
 
-def repeated_sentences(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_sentences(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, row_hash and the sorted numbers of the sentences that spans other than the first cover."""
-    ordered = staged(spans(docs, run, min_chars), "spans").withColumn("place", place("doc_id", F.col("k")))
+    ordered = staged(spans(docs, run), "spans").withColumn("place", place("doc_id", F.col("k")))
     shared = ordered.groupBy("hash", "hash2").agg(F.min("place").alias("first_place"), F.count("*").alias("n_spans"))
     # written first, so that the join is between two shuffles, which adaptive execution may split at hot keys
     shared = staged(shared.filter("n_spans > 1").drop("n_spans"), "shared-spans")
     found = ordered.join(shared, ["hash", "hash2"]).filter(F.col("place") > F.col("first_place"))
-    found = found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("k", "n")).alias("_runs"))
-    numbers = F.flatten(F.transform("_runs", lambda r: F.sequence(r["k"], r["k"] + r["n"] - 1)))
+    found = found.groupBy("doc_id", "row_hash").agg(F.collect_set("k").alias("_runs"))
+    numbers = F.flatten(F.transform("_runs", lambda k: F.sequence(k, k + (run - 1))))
     return found.select("doc_id", "row_hash", F.array_sort(F.array_distinct(numbers)).alias("covered"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents with their own columns, text cleaned, and n_removed (pieces) and removed (their texts)."""
     own = docs.columns
-    covered = repeated_sentences(docs, run, min_chars).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "covered")
+    covered = repeated_sentences(docs, run).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "covered")
     df = docs.select(F.struct(*own).alias("_doc"), F.col("doc_id").alias("_doc_id"), row_hash("text").alias("_row_hash"))
     df = df.join(covered, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
     df = df.withColumn("_pieces", F.when(F.col("covered").isNotNull(), sentences("_doc.text")))
@@ -158,20 +124,12 @@ with p as (
 ),
 t as (select * exclude (i), row_number() over (partition by doc_id order by i) - 1 as i from p),
 u as (
-  select doc_id, i, b, row_number() over (partition by doc_id order by i) - 1 as k, length(b) as w
+  select doc_id, i, b, row_number() over (partition by doc_id order by i) - 1 as k
   from t where b <> ''
 ),
-v as (
-  select doc_id, k, list(w) over near as ws, list(b) over near as bs
-  from u window near as (partition by doc_id order by k rows between current row and 119 following)
-),
-r as (
-  select doc_id, k, bs, list_filter(range(2, 121), lambda n: n <= len(ws) and list_sum(list_slice(ws, 1, n)) >= 120)[1] as n from v
-),
-q as (
-  select doc_id, k, n, row_number() over (partition by array_to_string(list_slice(bs, 1, n), chr(1)) order by doc_id, k) as nth from r where n is not null
-),
-c as (select distinct doc_id, unnest(range(k, k + n)) as k from q where nth > 1),
+v as (select doc_id, k, b, lead(b) over w as b2, lead(b, 2) over w as b3 from u window w as (partition by doc_id order by k)),
+q as (select doc_id, k, row_number() over (partition by b, b2, b3 order by doc_id, k) as nth from v where b3 is not null),
+c as (select distinct doc_id, unnest([k, k + 1, k + 2]) as k from q where nth > 1),
 o as (select *, case when k - lag(k) over (partition by doc_id order by k) = 1 then 0 else 1 end as opens from c),
 g as (select *, sum(opens) over (partition by doc_id order by k) as region from o),
 x as (select g.doc_id, region, min(u.i) as f, max(u.i) as l from g join u using (doc_id, k) group by 1, 2),
