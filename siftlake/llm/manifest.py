@@ -191,7 +191,8 @@ def manifest(rows: DataFrame, *order: str, carried: tuple[str, ...] = ()) -> Man
     """The manifest of rows(tree, digest, order keys, carried); trees are ordered by name, null first."""
     # so that joins need no null-safe test: no name sorts before all others
     named = F.when(F.col("tree").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("tree").cast("string")))
-    trees = forest(rows.withColumn("tree", named), *order, carried=carried)
+    # written, so that the range sort's sample does not hash the texts once more
+    trees = forest(staged(rows.withColumn("tree", named), "manifest-digests"), *order, carried=carried)
     tops = trees.roots().select(F.lit("").alias("tree"), F.col("tree").alias("name"), *[F.col(c).alias(f"top_{c}") for c in ("level", "lo", "hi")], "digest")
     over = forest(tops, "name", carried=_TOP)
     root = over.roots().first()

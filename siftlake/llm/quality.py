@@ -2,8 +2,10 @@
 
 Every line of a document is judged by itself: punctuation (a short line that
 does not end a sentence, or a line of marks), navigation (a row of menu items)
-and boilerplate (a short notice, in four languages). Failing lines are removed
-first; then a document is rejected if it has lost too much of its text.
+and boilerplate (a line that is a notice and nothing else, in four languages:
+marks, spaces and digits at its ends do not count, words around it do, so prose
+that speaks of cookies stays). Failing lines are removed first; then a document
+is rejected if it has lost too much of its text.
 
 Nulls and odd rows: a null text counts as empty; it has no words and fails the
 base rule. Blank lines pass and lose nothing. Repeated rows are judged alike. A
@@ -23,16 +25,16 @@ from siftlake.session import table
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: Short notices, looked for in lines of at most MAX_NOTICE_WORDS words after lower-casing.
+#: Notices that are a whole line, in lower case and without what EDGES has at its ends.
 NOTICES = (
-    "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright", "javascript",
-    "lorem ipsum", "subscribe", "newsletter", "click here", "read more", "sign in", "sign up", "log in", "licensed under",
-    "released under", "datenschutz", "nutzungsbedingungen", "alle rechte vorbehalten", "impressum", "abonnieren",
-    "mehr lesen", "anmelden", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés",
-    "s'abonner", "lire la suite", "se connecter", "política de privacidad", "términos de uso",
-    "todos los derechos reservados", "suscríbete", "leer más", "iniciar sesión",
+    "cookie", "cookies", "cookie policy", "we use cookies", "accept cookies", "privacy policy", "terms of use", "terms of service",
+    "all rights reserved", "copyright", "enable javascript", "javascript is required", "lorem ipsum", "subscribe", "subscribe now",
+    "newsletter", "click here", "read more", "sign in", "sign up", "log in", "datenschutz", "nutzungsbedingungen",
+    "alle rechte vorbehalten", "impressum", "abonnieren", "mehr lesen", "anmelden", "politique de confidentialité",
+    "conditions d'utilisation", "tous droits réservés", "s'abonner", "lire la suite", "se connecter", "política de privacidad",
+    "términos de uso", "todos los derechos reservados", "suscríbete", "leer más", "iniciar sesión",
 )
-MAX_NOTICE_WORDS = 30
+EDGES = SPACE + ".,:;!?|>»•·*#-–—()[]\"©0123456789"
 #: A line of fewer words must end a sentence, with one of these characters.
 MIN_OPEN_WORDS = 8
 ENDS = ".!?\"')]…。”’:;"
@@ -66,7 +68,7 @@ def line_fails(line: Column) -> Column:
     shouts = body.contains("!!") & (F.regexp_count(body, F.lit("!!")) > n * MAX_SHOUT_SHARE)
     open_end = ~F.substring(body, -1, 1).isin(*ENDS) & (n < MIN_OPEN_WORDS)
     navigation = _says(body, ("|", "»", ">", "•", "·")) & (n >= 3) & (F.regexp_count(body, F.lit(r"(^|\s)[|»>•·](\s|$)")) > n * MAX_BAR_SHARE)
-    notice = (n <= MAX_NOTICE_WORDS) & _says(F.lower(body), NOTICES)
+    notice = F.btrim(F.lower(body), F.lit(EDGES)).isin(*NOTICES)
     return (body != "") & (open_end | shouts | marks | navigation | notice)
 
 
@@ -166,7 +168,7 @@ fails as (
     sym > vis * 0.1 or shouts > n * 0.3
     or (n < 8 and not regexp_matches(b, '[.!?"'')\]…。”’:;]$'))
     or (n >= 3 and bars > n * 0.2)
-    or (n <= 30 and regexp_matches(lower(b), 'cookie|privacy policy|terms of use|terms of service|all rights reserved|copyright|javascript|lorem ipsum|subscribe|newsletter|click here|read more|sign in|sign up|log in|licensed under|released under|datenschutz|nutzungsbedingungen|alle rechte vorbehalten|impressum|abonnieren|mehr lesen|anmelden|politique de confidentialité|conditions d''utilisation|tous droits réservés|s''abonner|lire la suite|se connecter|política de privacidad|términos de uso|todos los derechos reservados|suscríbete|leer más|iniciar sesión'))
+    or trim(lower(b), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '.,:;!?|>»•·*#-–—()[]"©0123456789') in ({notices})
   ) as fail from judged
 ),
 per as (
@@ -181,4 +183,4 @@ select d.doc_id, len(w.w)::bigint as n_words, per.vis::bigint as word_chars,
   not (len(w.w) < 20 or 100 * coalesce(reps.n_repeat_words, 0) > 30 * len(w.w))
     and (per.vis = 0 or 1 - (per.vis - per.lost) / per.vis <= 0.5) as kept
 from d join w using (r) join per using (r) left join reps using (r)
-"""
+""".replace("{notices}", ", ".join("'" + x.replace("'", "''") + "'" for x in NOTICES))

@@ -1,7 +1,9 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from siftlake.llm import catalogue
 from siftlake.session import staged, table
-from tests.llm.helpers import DOCS, words
+from tests.llm.helpers import DOCS, odd_docs, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +29,18 @@ def test_texts_that_share_an_id_are_judged_by_themselves(spark):
     assert [i for i, t in got if t == a] == [0, 5] and (5, c) in got and (6, d) in got and [t for i, t in got if i == 9] == ["", ""]
 
 
+def test_stages_keep_columns_of_any_name_and_take_odd_rows(spark):
+    names = ["_first", "_last", "_nth", "_key", "_row_hash", "doc", "id", "key", "first", "row_hash", "score", "n_removed", "hash", "_lines"]
+    odd = odd_docs(spark).select("*", *[F.lit(f"mine {c}").alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = staged(stage(spark, odd, SF), "test")
+        rows = out.collect()
+        assert out.columns == odd.columns and rows and all(r[c] == f"mine {c}" for r in rows for c in names)
+        assert staged(stage(spark, odd.limit(0), SF), "test").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in odd.collect()}
+
+
 def test_run_packs_what_the_mix_takes(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -35,5 +49,5 @@ def test_run_packs_what_the_mix_takes(spark):
 
 def test_every_operator_is_registered():
     names = catalogue.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(catalogue.oracle_sql()) <= set(names)

@@ -45,6 +45,19 @@ def test_verdicts(spark):
     assert rows[4]["clean_text"] == clean and rows[7]["clean_text"] == clean
 
 
+def test_prose_that_speaks_of_notices_stays(spark):
+    prose = [
+        "The cookie jar stood on the shelf, and grandmother filled it every Sunday morning before church.",
+        "He wanted to subscribe to the old idea that stars guide our lives and our loves.",
+        *[f"It was said that {x} is what the sign over the old mill had read for years." for x in quality.NOTICES],
+    ]
+    for line, r in check(spark, prose).items():
+        assert (r["clean_text"], r["lost_share"]) == (prose[line], 0.0)
+    notices = [x for n in quality.NOTICES for x in (n, n.capitalize() + ".", f"© 2024 {n.upper()}!")]
+    rows = check(spark, ["\n".join([words(30, 1) + ".", *notices])])
+    assert rows[0]["clean_text"] == words(30, 1) + "."
+
+
 def test_odd_rows(spark):
     df = odd_docs(spark).withColumnRenamed("lang", "clean")
     check(spark, [r["text"] for r in df.collect()])
