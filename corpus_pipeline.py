@@ -7,11 +7,19 @@ All but the last return the columns of the documents.
 A stage's result must be written before the next stage is called: what a stage
 has staged for itself is deleted when the next one begins, so the shared folder
 never holds the intermediate tables of two stages.
+
+Nulls and odd rows: null and empty texts are scored as such, lose no lines, have
+no shingles and so are near duplicates of nothing, and are packed as one end
+token each; rows without a doc_id stay to the end; very long texts go whole
+through every stage; ties and repeated rows are resolved as each stage says; an
+empty table gives an empty result. Other columns of the documents, whatever
+their names, keep their values through all stages but the last.
 """
 
 from __future__ import annotations
 
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +33,8 @@ from siftlake.session import discard, discard_between, staged, staged_so_far, ta
 ORACLE_SQL = None
 
 
-_last: list[list] = [[], []]
+#: What the last stage of each session has staged: the marks before and behind it.
+_last: WeakKeyDictionary[SparkSession, tuple[list, list]] = WeakKeyDictionary()
 
 
 def stage(f):
@@ -33,10 +42,10 @@ def stage(f):
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard_between(spark, *_last)
+        discard_between(spark, *_last.get(spark, ([], [])))
         before = staged_so_far()
         out = f(spark, docs, sf_dir)
-        _last[:] = before, staged_so_far()
+        _last[spark] = before, staged_so_far()
         return out
 
     return run_stage
@@ -62,16 +71,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     others get one of their own, after all ids that are below 2**62, so every
     text is judged by itself.
     """
-    known = docs.filter("doc_id is not null").withColumn("_row_hash", row_hash("text"))
-    shared = known.groupBy("doc_id").agg(F.min("_row_hash").alias("_first"), F.max("_row_hash").alias("_last"))
-    shared = staged(shared.filter("_first < _last").drop("_last"), "pipeline-shared-ids")
-    other = F.lit(2**62) + F.pmod(F.xxhash64("doc_id", "_row_hash"), F.lit(2**62))
-    key = F.when(F.col("_row_hash") == F.coalesce("_first", "_row_hash"), F.col("doc_id").cast("long")).otherwise(other)
-    known = known.join(shared, "doc_id", "left").withColumn("_key", key)
-    kept = minhash.near_duplicates(known.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
-    first = Window.partitionBy("_key").orderBy("_row_hash")
-    once = known.join(kept, "_key", "left_semi")
-    once = once.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    own = docs.columns
+    known = docs.filter("doc_id is not null").select(F.struct(*own).alias("doc"), F.col("doc_id").alias("id"), "text", row_hash("text").alias("row_hash"))
+    shared = known.groupBy("id").agg(F.min("row_hash").alias("first"), F.max("row_hash").alias("last"))
+    shared = staged(shared.filter("first < last").drop("last"), "pipeline-shared-ids")
+    other = F.lit(2**62) + F.pmod(F.xxhash64("id", "row_hash"), F.lit(2**62))
+    key = F.when(F.col("row_hash") == F.coalesce("first", "row_hash"), F.col("id").cast("long")).otherwise(other)
+    known = known.join(shared, "id", "left").select("doc", "row_hash", "text", key.alias("key"))
+    kept = minhash.near_duplicates(known.select(F.col("key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("key")).distinct()
+    once = known.join(kept, "key", "left_semi")
+    # of equal rows one stays; all but the first of each partition go before the shuffle
+    first = Window.partitionBy("key").orderBy("row_hash")
+    once = once.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select(*[F.col("doc").getField(c).alias(c) for c in own])
     return once.unionByName(docs.filter("doc_id is null"))
 
 
