@@ -8,14 +8,14 @@ up over the whole corpus. One that occurs more than once is extended to both
 sides, line by line, against its first place, so that a passage goes to its
 edges, which fall inside chunks: as far as the neighbouring chunks reach, for
 beyond them the next chunk repeats as a whole. What has several lines with text
-then is removed everywhere but at its first place; bytes decide, both of the
-chunk and of the lines around it. A repeat that overlaps its first place loses
+then is removed everywhere but at its first place, after its bytes are compared;
+the lines around it are told apart by 128 bits of hashes. A repeat that overlaps its first place loses
 only what lies after it. A passage of few lines may hold neither a whole chunk
 nor a boundary; it stays.
 
 Counting is over hashes alone. Documents that hold a chunk whose hash repeats
-are then met with it, and only such chunks and their neighbours carry their
-lines on; grouping and joining them by hash and text is the byte comparison.
+are then met with it, and only such chunks carry their lines on, and hashes of
+the lines around them; grouping and joining them by hash and text is the byte comparison.
 Counts are map-side combined and the joins are ones that adaptive execution
 splits, so a chunk that a third of all documents hold is never gathered
 anywhere. First means the smallest doc_id, then the earliest line in it.
@@ -81,11 +81,21 @@ def repeated_hashes(docs: DataFrame, **settings) -> DataFrame:
     return found.agg(F.collect_set(F.struct(*_RANGE, "hash")).alias("_ranges"))
 
 
+def _marks(lines: Column) -> Column:
+    """Two hashes for each line, one after another; the second of a blank line is 0."""
+    return F.flatten(F.transform(lines, lambda x: F.array(F.xxhash64(x), F.when(_filled(x), F.xxhash64(F.lit(1), x)).otherwise(F.lit(0).cast("long")))))
+
+
 def _alike(mine: str, theirs: str) -> Column:
-    """How many lines two arrays begin with alike."""
+    """How many lines two arrays of marks begin with alike."""
     same = F.zip_with(mine, theirs, lambda x, y: F.coalesce(x == y, F.lit(False)))
     at = F.array_position(same, False).cast("int")
-    return F.when(at > 0, at - 1).otherwise(F.size(mine))
+    return F.floor(F.when(at > 0, at - 1).otherwise(F.size(mine)) / 2).cast("int")
+
+
+def _n_filled(marks: str, n: str) -> Column:
+    """How many of the first n lines have text."""
+    return F.size(F.filter(F.slice(marks, F.lit(1), 2 * F.col(n)), lambda x, i: (i % 2 == 1) & (x != 0)))
 
 
 def not_first(touched: DataFrame) -> DataFrame:
@@ -97,8 +107,8 @@ def not_first(touched: DataFrame) -> DataFrame:
         lambda c: F.struct(
             *[c[x].alias(x) for x in ("first", "last", "hash")],
             F.array_join(part(c["first"], c["last"] - c["first"] + 1), "\n").alias("chunk"),
-            F.reverse(part(c["low"], c["first"] - c["low"])).alias("before"),
-            part(c["last"] + 1, c["high"] - c["last"]).alias("after"),
+            _marks(F.reverse(part(c["low"], c["first"] - c["low"]))).alias("before"),
+            _marks(part(c["last"] + 1, c["high"] - c["last"])).alias("after"),
         ),
     )
     rows = exploded(lines, bodies, "_c", "_doc_id", "_row_hash")
@@ -108,8 +118,8 @@ def not_first(touched: DataFrame) -> DataFrame:
     same_bytes = staged(same_bytes.select("hash", "chunk", "first_place", F.col("_first.before").alias("_before"), F.col("_first.after").alias("_after")), "line-bytes")
     found = rows.join(same_bytes, ["hash", "chunk"]).filter(F.col("place") > F.col("first_place"))
     found = found.withColumns({"_up": _alike("before", "_before"), "_down": _alike("after", "_after")})
-    taken = F.concat(F.slice("before", F.lit(1), F.col("_up")), F.split("chunk", "\n"), F.slice("after", F.lit(1), F.col("_down")))
-    found = found.filter(F.size(F.filter(taken, _filled)) > 1)
+    n = F.size(F.filter(F.split("chunk", "\n"), _filled)) + _n_filled("before", "_up") + _n_filled("after", "_down")
+    found = found.filter(n > 1)
     found = found.withColumns({"first": F.col("first") - F.col("_up"), "last": F.col("last") + F.col("_down")})
     # lines that the first place holds too stay
     kept = F.greatest(F.col("last") - F.col("first") + 1 - (F.col("place") - F.col("first_place")), F.lit(0)).cast("int")
