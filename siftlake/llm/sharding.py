@@ -8,7 +8,11 @@ numbers are the leading 32 bits of md5(key ':' step), so that any engine and
 language can compute the same placement.
 
 Nulls and odd rows: a null key counts as the empty string; a null text as
-empty; rows that repeat a key share its shard and get slots of their own.
+empty; a very long text only counts by its bytes; rows that repeat a key share
+its shard and get slots of their own; rows with equal keys and equal order
+columns may take each other's slots; an empty table gives an empty table. Own
+columns keep their names and values; a result whose name is taken carries an
+underscore.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.text import whole
+from siftlake.llm.text import free_name, whole
 from siftlake.session import staged, table
 
 #: A key jumps about ln(shards) + 0.6 times; more than this many jumps has a chance below 1e-40 even for 2**30 shards.
@@ -41,8 +45,11 @@ def jump_shard(key: Column, shards: int) -> Column:
 def assign_shards(df: DataFrame, key: str, shards: int, shard: str = "shard", grown: str | None = None) -> DataFrame:
     """Add the shard of each row's key, and with ``grown`` its shard if one more were appended. Narrow: no shuffle."""
     as_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    df = df.withColumn(shard, jump_shard(as_text, shards))
-    return df.withColumn(grown, jump_shard(as_text, shards + 1)) if grown else df
+    shard = free_name(shard, df.columns)
+    results = [jump_shard(as_text, shards).alias(shard)]
+    if grown:
+        results.append(jump_shard(as_text, shards + 1).alias(free_name(grown, [*df.columns, shard])))
+    return df.select("*", *results)
 
 
 def assign_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot", buckets: int = 256) -> DataFrame:
@@ -53,19 +60,22 @@ def assign_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot"
     task ever holds a whole shard. The table of bucket sizes has at most shards
     x buckets rows.
     """
+    own = df.columns
     spread = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
-    df = df.withColumn("_bucket", F.conv(F.substring(spread, 1, 8), 16, 10).cast("long") % buckets)
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    sizes = sizes.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = df.withColumn("_row", F.row_number().over(within))
-    return numbered.join(sizes, [shard, "_bucket"]).withColumn(slot, F.col("_row") - 1 + F.col("_before")).drop("_row", "_before", "_bucket")
+    bucket = F.conv(F.substring(spread, 1, 8), 16, 10).cast("long") % buckets
+    rows = df.select(F.struct(*own).alias("_m"), F.col(shard).alias("_shard"), bucket.alias("_bucket"))
+    within = Window.partitionBy("_shard", "_bucket").orderBy(*[F.col("_m").getField(c) for c in order])
+    before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_row", F.row_number().over(within)).join(sizes, ["_shard", "_bucket"])
+    place = (F.col("_row") - 1 + F.col("_before")).alias(free_name(slot, own))
+    return numbered.select(*[F.col("_m").getField(c).alias(c) for c in own], place)
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
     """Write the rows with one folder for each shard; a hot shard is still written by many tasks."""
-    assign_shards(df, key, shards).write.partitionBy("shard").parquet(path)
+    assign_shards(df, key, shards).write.partitionBy(free_name("shard", df.columns)).parquet(path)
 
 
 def op5_jump_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:

@@ -9,7 +9,7 @@ from siftlake.llm import chats, lines, minhash, mixing, packing, quality, shardi
 from tests.llm.helpers import odd_docs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-NAMES = ["n_removed", "removed", "score", "size", "order", "n_words", "clean_text", "lost_share", "kept", "base_failed", "component_id", "sequence_id", "offset", "item", "_doc_id", "_m", "own", "hash", "k"]
+NAMES = ["n_removed", "removed", "score", "size", "order", "n_words", "clean_text", "lost_share", "kept", "base_failed", "component_id", "sequence_id", "offset", "item", "_doc_id", "_m", "own", "hash", "k", "shard", "grown", "slot", "_row", "_bucket", "_before", "_n", "_shard"]
 
 
 def clashing(spark):
@@ -24,7 +24,7 @@ KEEPING = {
     "quality": (quality.quality, ["n_words_", "base_failed_", "clean_text_", "lost_share_", "kept_", "n_dup_lines"]),
     "toxicity": (lambda d: toxicity.score(d, NO_MODEL), ["score_"]),
     "mixing": (mixing.mix, []),
-    "sharding": (lambda d: sharding.assign_shards(d, "doc_id", 7), ["shard"]),
+    "sharding": (lambda d: sharding.assign_slots(sharding.assign_shards(d, "doc_id", 7, grown="grown"), "shard_", ["doc_id", "text"]), ["shard_", "grown_", "slot_"]),
 }
 
 
@@ -46,11 +46,11 @@ def test_readers_of_id_and_text_take_no_notice(spark):
 
 
 def test_messages_keep_their_columns(spark):
-    names = ["parent_turn", "root_turn", "depth", "n_quotes", "n_unlinked", "chat_text", "_m", "own", "path"]
+    names = ["parent_turn", "root_turn", "depth", "n_quotes", "n_unlinked", "reply_pos", "chat_text", "_m", "own", "path", "_row", "_role"]
     rows = [(1, 0, "user", "One two three."), (1, 1, "user", "> One two three.\nFour."), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").select("*", *[F.lit(f"mine {c}").alias(c) for c in names])
     out = chats.conversations(df)
-    assert out.columns == [*df.columns, "parent_turn_", "root_turn_", "depth_", "n_quotes_", "n_unlinked_", "chat_text_"]
+    assert out.columns == [*df.columns, "parent_turn_", "root_turn_", "depth_", "n_quotes_", "n_unlinked_", "reply_pos_", "chat_text_"]
     found = {r["turn"]: r for r in out.collect()}
     assert found[1]["parent_turn_"] == 0 and found[1]["text"] == "Four." and found[None]["text"] is None
     assert all(r[c] == f"mine {c}" for r in found.values() for c in names) and chats.conversations(df.limit(0)).count() == 0

@@ -260,3 +260,49 @@ def test_replies_follow_their_branch(spark):
     rows = [(1, 0, "user", says[0])] + [(1, i, "user", (quoted(says[p]) + "\n" if p is not None else "") + says[i]) for i, p in parent.items()]
     out = [r["turn"] for r in chats.conversations(spark.createDataFrame(rows, CHAT)).collect()]
     assert out == [0, 1, 3, 5, 2, 4, 6]
+
+
+def test_every_quote_counts_where_it_stands(spark):
+    """A passage quoted twice is linked twice; rows that repeat a turn count their own quotes and share a parent."""
+    twice = "> Come on Monday.\nYes.\n> Come on Monday.\nReally."
+    rows = [(1, 0, "user", "Come on Monday."), (1, 1, "user", twice), (1, 2, "user", "> Come on Monday.\nA."), (1, 2, "user", "> Nobody said so.\nB."), (1, 2, "user", "C.")]
+    out = chats.conversations(spark.createDataFrame(rows, CHAT)).collect()
+    assert [(r["text"], r["n_quotes"], r["n_unlinked"], r["parent_turn"]) for r in out if r["turn"] == 1] == [("Yes.\nReally.", 2, 0, 0)]
+    repeated = {r["text"]: (r["n_quotes"], r["n_unlinked"], r["parent_turn"]) for r in out if r["turn"] == 2}
+    assert repeated == {"A.": (1, 0, 0), "B.": (1, 1, 0), "C.": (0, 0, 0)}
+
+
+def test_short_quotes_link_wherever_they_stand(spark):
+    """A quote of a few words cut out of a line, over a line's end too, links to the first earlier message that holds them in a row."""
+    rng = random.Random(4)
+    rows, want, said = [], {}, []
+    for turn in range(30):
+        own = [words(9, 100 * turn + i) for i in range(4)]
+        own = "\n".join(" ".join(x) if isinstance(x, list) else x for x in own)
+        quote = None
+        if turn:
+            flat = said[rng.randrange(turn)].split()
+            n = rng.randint(1, chats.SHORT - 1)
+            at = rng.randrange(len(flat) - n)
+            quote = " ".join(flat[at : at + n]) if turn % 5 else " ".join(reversed(flat[at : at + n + 1]))
+            holders = [t for t in range(turn) if f" {quote.lower()} " in f" {' '.join(said[t].lower().split())} "]
+            want[turn] = holders[0] if holders else None
+        said.append(own)
+        rows.append((1, turn, "user", f"> {quote}\n{own}" if quote else own))
+    out = {r["turn"]: r for r in chats.conversations(spark.createDataFrame(rows, CHAT)).collect()}
+    assert {t: out[t]["parent_turn"] for t in want} == want and any(p is None for p in want.values()) and sum(p is not None for p in want.values()) > 15
+
+
+def test_places_and_transcripts(spark, tmp_path):
+    """reply_pos keeps the order over a write; a long conversation goes on in parts; messages without a role have an empty tag."""
+    rows = [(c, t, f"> line {t - 2}\nline {t}" if t > 1 else f"line {t}") for c in (1, 2, None) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").repartition(5)
+    chats.conversations(df).write.parquet(str(tmp_path / "told"))
+    told = sorted(spark.read.parquet(str(tmp_path / "told")).collect(), key=lambda r: (r["conv_id"] or 0, r["reply_pos"]))
+    branches = [*range(0, 12, 2), *range(1, 12, 2)]
+    assert [(r["conv_id"], r["turn"], r["reply_pos"]) for r in told if r["conv_id"]] == [(c, t, i) for c in (1, 2) for i, t in enumerate(branches)]
+    assert [r["reply_pos"] for r in told if r["conv_id"] is None] == list(range(12))
+    parts = {(r["conv_id"], r["part"]): r for r in chats.transcripts(df, 5).collect()}
+    assert [parts[(1, p)]["n_messages"] for p in range(3)] == [5, 5, 2] and len(parts) == 9
+    whole = "".join(parts[(2, p)]["chat_text"] for p in range(3))
+    assert whole == "".join(f"<||>\nline {t}\n" for t in branches) and chats.transcripts(df.limit(0)).count() == 0
