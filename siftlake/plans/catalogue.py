@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from siftlake.operators import crawl, events, features, reports, rules
 from siftlake.plans import decorate
 from siftlake.plans.decorate import KEYWORD, decorated
 from siftlake.plans.oracle import audit, decode, entity_map, host, low, occurrences, prelude, q, third, trim, words
-from siftlake.session import exploded, table
+from siftlake.session import exploded, shared_dir, table
 from siftlake.sources import documents, enrich, robots, sitemaps
-from siftlake.streaming import totals
+from siftlake.streaming import feed, reader, totals
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -353,18 +354,22 @@ def baseline_source(spark, sf_dir):
 _SCORES_JSON = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in dims.CATEGORIES) + " || '}'"
 
 
-@query(
-    _AUDIT + "select page_id, 'event: page' || chr(10) || 'data: {\"url\":\"' || url || '\",\"status\":200,\"scores\":' || " + _SCORES_JSON
-    + " || ',\"findings\":' || (select count(*) from fi where fi.page_id = sc.page_id) || '}' || chr(10) || chr(10) as event from sc"
+_PAGE_EVENT = (
+    "'event: page' || chr(10) || 'data: {\"url\":\"' || url || '\",\"status\":200,\"scores\":' || " + _SCORES_JSON
+    + " || ',\"findings\":' || (select count(*) from fi where fi.page_id = sc.page_id) || '}' || chr(10) || chr(10)"
+)
+_DONE_EVENT = (
+    "'event: done' || chr(10) || 'data: {\"total_pages\":' || (select count(*) from f) || ',\"total_findings\":' || count(*)"
+    + "".join(f" || ',\"{s}\":' || count(*) filter (where severity = '{s}')" for s in dims.SEVERITIES) + " || '}' || chr(10) || chr(10)"
 )
+
+
+@query(_AUDIT + f"select page_id, {_PAGE_EVENT} as event from sc")
 def page_events(spark, sf_dir):
     return events.page_events(_audited(spark, sf_dir), "page_id")
 
 
-@query(
-    _AUDIT + "select 'event: done' || chr(10) || 'data: {\"total_pages\":' || (select count(*) from f) || ',\"total_findings\":' || count(*)"
-    + "".join(f" || ',\"{s}\":' || count(*) filter (where severity = '{s}')" for s in dims.SEVERITIES) + " || '}' || chr(10) || chr(10) as event from fi"
-)
+@query(_AUDIT + f"select {_DONE_EVENT} as event from fi")
 def done_event(spark, sf_dir):
     return events.done_event(reports.crawl_totals(_audited(spark, sf_dir)))
 
@@ -386,20 +391,6 @@ def goals_json(spark, sf_dir):
     return events.goals_json(_covered(spark, sf_dir), "page_id")
 
 
-_TARGETS = [*events.ROUTES, "/projects/7", "/projects/7/audit", "/projects/", "/nope", "/api/audit?url=a"]
-_TARGET_SQL = "case event_id % {n} ".format(n=len(_TARGETS)) + " ".join(f"when {i} then '{t}'" for i, t in enumerate(_TARGETS)) + " end"
-_ROUTE_SQL = (
-    "case " + " ".join(f"when split_part(t, '?', 1) = '{p}' then '{r}'" for p, r in events.ROUTES.items())
-    + " when starts_with(t, '/projects/') and len(t) > 10 then case when ends_with(t, '/audit') then 'project_audit' else 'project_get' end else 'not_found' end"
-)
-
-
-@query(f"select {_ROUTE_SQL} as route, count(*)::bigint as n, count(distinct user_id)::bigint as users from (select user_id, {_TARGET_SQL} as t from events) group by 1")
-def route_counts(spark, sf_dir):
-    requests = table(spark, sf_dir, "events").select("user_id", F.expr(_TARGET_SQL).alias("target"))
-    return requests.groupBy(events.route("target").alias("route")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
-
-
 _TYPE_SQL = "case when event_id % 11 = 0 then 'progress' when event_id % 97 = 5 then 'done' when event_id % 89 = 7 then 'error' else 'page' end"
 
 
@@ -566,6 +557,22 @@ def robots_allowed(spark, sf_dir):
     return df.select("page_id", "path", robots.is_allowed("path").alias("allowed"))
 
 
+@query(
+    f"with {_ROBOT_LINES}, p as (select page_id, {host('url')} as h, substr(split_part(split_part(url, '#', 1), '?', 1), len(substr(url, 1, instr(url, '://') + 2) || {host('url')}) + 1) as path from b),"
+    "hr as (select distinct h, k, v from ru join p using (page_id) where v <> ''),"
+    "m as (select page_id, p.h, path, coalesce(max(strlen(v)) filter (where k = 'disallow'), 0) as d, coalesce(max(strlen(v)) filter (where k = 'allow'), 0) as a"
+    " from p left join hr on hr.h = p.h and starts_with(path, v) group by 1, 2, 3)"
+    " select page_id, h as host, path, d = 0 or a >= d as allowed from m"
+)
+def robots_by_host(spark, sf_dir):
+    """Every page's path against the rules of all robots texts of its host."""
+    found = _robots(spark, sf_dir).withColumn("host", text.hostname("url"))
+    cut = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
+    path = F.substring(cut, F.length(text.origin("url")) + 1, F.length("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", text.hostname("url").alias("host"), path.alias("path"))
+    return robots.allowed_by_rules(pages, robots.rule_rows(found, "host"))
+
+
 _MAP_ROWS = (
     f"b as (select page_id, {decorate.SITEMAP_XML_SQL} as xml from pages),"
     "u as (select page_id, generate_subscripts(y, 1) as i, unnest(y) as x from (select page_id, regexp_extract_all(xml, '(?s)<url>.*?</url>') as y from b where not contains(xml, '<sitemapindex'))),"
@@ -731,3 +738,28 @@ def stream_totals(spark, sf_dir):
     return totals.run_totals(found.groupBy("category", "severity").agg(F.count("*").alias("n"), F.sum("penalty").alias("penalty")))
 
 
+@query(
+    "with " + audit(0, "") + f" select 'page' as kind, page_id, {_PAGE_EVENT} as event from sc union all select 'done', null::bigint, {_DONE_EVENT} from fi"
+)
+def feed_events(spark, sf_dir):
+    """The page and done events that a stream of the pages emits."""
+    stream = totals.page_stream(spark, f"{sf_dir}/pages.parquet*")
+    pages = stream.select("page_id", "url", F.expr(decorate.html_sql()).alias("html"), F.expr(decorate.SITEMAP_SQL).alias("has_sitemap"))
+    audited = rules.with_findings(features.page_features(pages, F.lit(KEYWORD)))
+    told = feed.run_feed(audited, f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}", "page_id")
+    return told.filter("kind <> 'progress'").select("kind", "page_id", "event")
+
+
+_LIVE_SQL = "case event_type when 'view' then 'page' when 'click' then 'progress' when 'purchase' then 'done' when 'error' then 'error' end"
+
+
+@query(
+    f"select user_id, max_by(props, event_id) filter (where type = 'progress' and props is not null) as working_on, count(*) filter (where type = 'page')::bigint as pages,"
+    f" coalesce(max_by(type, event_id) filter (where type in ('done', 'error')), 'running') as status"
+    f" from (select user_id, event_id, props, {_LIVE_SQL} as type from events) group by 1"
+)
+def live_reader_state(spark, sf_dir):
+    """What each user's reader shows at the end of a stream of the events, by the events' own types."""
+    log = totals.page_stream(spark, f"{sf_dir}/events.parquet*")
+    log = log.select("user_id", F.col("event_id").alias("ordinal"), F.expr(_LIVE_SQL).alias("type"), F.col("props").alias("url"))
+    return reader.run_readers(log, "user_id", f"{shared_dir(spark)}/readers-{uuid.uuid4().hex}")
