@@ -2,33 +2,71 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.features import page_features
-from siftlake.session import exploded, staged
+from siftlake.session import exploded, kept_until_exit, shared_dir
+
+#: Parts over which the links of one page are dealt, so that no task holds all links of a hot page.
+SALTS = 8
+
+
+class _Buckets:
+    """A table in the shared folder, kept in hash buckets of its key; what is appended joins without moving what was there."""
+
+    def __init__(self, spark, name: str, keys: list[str], partition: str | None = None):
+        self.spark, self.keys, self.partition = spark, keys, partition
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = kept_until_exit(spark, f"{shared_dir(spark)}/{self.name}")
+
+    def append(self, rows: DataFrame) -> None:
+        """Rows are dealt to their buckets first, so that a bucket gets one file, not one from each task."""
+        writer = rows.repartition(self.n, *self.keys).write.mode("append").option("path", self.path).bucketBy(self.n, *self.keys)
+        (writer.partitionBy(self.partition) if self.partition else writer).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """The rows as plain files; the name goes out of the catalogue."""
+        schema = self.rows().schema
+        self.spark.sql(f"drop table {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path)
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(page, depth), depth being the least number of links from a seed; all that is reached, or down to ``max_depth``.
 
     One round a level: the frontier joins the edges, and pages that were seen
-    are left out by an anti join. Every level is written, so lineage does not
-    grow with depth; so are the edges, unless they are a staged table already.
+    are left out by an anti join. Edges are written once in buckets of their
+    source, dealt over SALTS parts; seen pages are kept in buckets of the page,
+    and each level is appended to them. So a round shuffles its frontier and
+    what that links to, never the edges or the pages of the levels before: all
+    rounds together shuffle edges and pages once. Levels are written, so
+    lineage does not grow with depth.
+
+    Null pages are kept as seeds and lead nowhere, links to null are none; repeated seeds and edges
+    count once; without seeds the result is empty.
     """
-    if not hasattr(edges, "staged_at"):
-        edges = staged(edges.select("source", "target"), "edges")
-    level = staged(seeds.select(F.col("page")).distinct().withColumn("depth", F.lit(0)), "frontier")
-    seen = level
+    spark = seeds.sparkSession
+    links = _Buckets(spark, "edges", ["source", "salt"])
+    links.append(edges.filter("source is not null and target is not null").select("source", "target", F.pmod(F.xxhash64("target"), F.lit(SALTS)).cast("int").alias("salt")))
+    seen = _Buckets(spark, "seen", ["page"], "depth")
+    seen.append(seeds.select("page").distinct().withColumn("depth", F.lit(0)))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        found = level.join(edges, level["page"] == edges["source"]).select(F.col("target").alias("page")).distinct()
-        level = staged(found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if level.isEmpty():
+        frontier = seen.rows().filter(F.col("depth") == depth - 1).select(F.col("page").alias("source"), salt)
+        found = frontier.join(links.rows(), ["source", "salt"]).select(F.col("target").alias("page")).distinct()
+        seen.append(found.join(seen.rows().select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
+        if seen.rows().filter(F.col("depth") == depth).isEmpty():
             break
-        seen = seen.unionByName(level)
-    return seen
+    links.close()
+    return seen.close()
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -49,6 +87,5 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> Data
     written; every level then joins them.
     """
     live = pages.filter(F.col("html").isNotNull())
-    edges = staged(page_links(live), "crawl-links")
-    visited = breadth_first(seeds.select(F.col("url").alias("page")), edges, max_depth)
+    visited = breadth_first(seeds.select(F.col("url").alias("page")), page_links(live), max_depth)
     return live.join(visited.withColumnRenamed("page", "url"), "url")

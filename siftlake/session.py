@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """The path, whose files go when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -58,8 +65,7 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    kept_until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _written.append((sc_id := spark.sparkContext.applicationId, path))
     out.staged_at = (sc_id, path)
