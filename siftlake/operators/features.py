@@ -88,6 +88,7 @@ def parsed_elements(pages: DataFrame) -> DataFrame:
                 "headings_all": html.headings("_tokens", "_bounds"),
                 "anchor_texts": html.anchor_texts("_tokens", "_bounds"),
                 "title": html.title("_tokens", "_bounds"),
+                "has_title": F.exists("_els", lambda e: e["tag"] == "title"),
                 "body_text": html.body_text("_tokens", "_bounds"),
                 "html_lang": html.attr(F.try_element_at(of("html"), F.lit(1)), "lang"),
                 "n_deprecated": count_if("_els", lambda e: e["tag"].isin("font", "center", "marquee")),

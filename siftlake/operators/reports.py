@@ -11,6 +11,10 @@ from siftlake.operators.features import with_top_words
 from siftlake.session import exploded
 
 
+#: What the comparison shows for a page whose technologies were not asked for.
+NOT_ASKED = "—"
+
+
 def severity_counts() -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(s) for s in dims.SEVERITIES]
 
@@ -40,13 +44,24 @@ def scores_long(scores: DataFrame, *keys: str) -> DataFrame:
 
 
 def compare(audited: DataFrame, key: str, pages: list) -> DataFrame:
-    """Categories by page, then a row of critical and warning findings; ``pages`` are the keys of the columns, in order."""
+    """Categories by page, then a row of critical and warning findings; ``pages`` are the keys of the columns, in order.
+
+    Where ``audited`` has an array column builtwith, a row "tech stack" gives
+    the number of technologies of each page that was asked about, a dash for
+    one with null, and no such row if all have null.
+    """
     n = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
     line = F.format_string("%3dc %3dw", n("critical"), n("warning"))
     chosen = audited.filter(F.col(key).isin(pages))
-    chosen = chosen.select(key, *[F.col(c).cast("string").alias(c) for c in dims.CATEGORIES], line.alias("findings"))
-    table = chosen.unpivot([key], [*dims.CATEGORIES, "findings"], "category", "score").groupBy("category").pivot(key, pages).agg(F.first("score"))
-    return table.select("category", *[F.col(str(p)).alias(f"page_{p}") for p in pages])
+    lines = [*dims.CATEGORIES, "findings"]
+    columns = [*[F.col(c).cast("string").alias(c) for c in dims.CATEGORIES], line.alias("findings")]
+    if "builtwith" in audited.columns:
+        lines.append("tech stack")
+        columns.append(F.when(F.col("builtwith").isNotNull(), F.format_string("%d detected", F.size("builtwith"))).otherwise(NOT_ASKED).alias("tech stack"))
+    table = chosen.select(key, *columns).unpivot([key], lines, "category", "score").groupBy("category").pivot(key, pages).agg(F.first("score"))
+    known = F.array(*[F.col(f"`{p}`") for p in pages])
+    table = table.filter((F.col("category") != "tech stack") | F.exists(known, lambda x: x != NOT_ASKED))
+    return table.select("category", *[F.col(f"`{p}`").alias(f"page_{p}") for p in pages])
 
 
 def compare_groups(audited: DataFrame, group: Column, values: list[str]) -> DataFrame:
@@ -206,7 +221,12 @@ def page_json(audited: DataFrame, keyword: str | None = None) -> DataFrame:
     return df.withColumn("json", F.to_json(body, {"ignoreNullFields": "false"}))
 
 
-def latest_runs(runs: DataFrame, key: str, at: str, n: int = 20, tie: str | None = None) -> DataFrame:
-    """The ``n`` latest runs of every key with their rank."""
+def latest_runs(runs: DataFrame, key: str, at: str, n: int = 20, tie: str | None = None, scores: str | None = None) -> DataFrame:
+    """The ``n`` latest runs of every key with their rank; runs without a time come last.
+
+    With ``scores``, a column of JSON text, scores_json is that text or, for a
+    run without scores, the text null.
+    """
     order = [F.col(at).desc(), *([F.col(tie).desc()] if tie else [])]
-    return runs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= n)
+    latest = runs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= n)
+    return latest if scores is None else latest.withColumn("scores_json", F.coalesce(scores, F.lit("null")))

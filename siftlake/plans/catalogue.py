@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import dims, text
-from siftlake.operators import crawl, events, features, reports, rules
+from siftlake.operators import crawl, dictionary, events, features, reports, rules
 from siftlake.plans import decorate
 from siftlake.plans.decorate import KEYWORD, decorated
 from siftlake.plans.oracle import audit, decode, entity_map, host, low, occurrences, prelude, q, third, trim, words
-from siftlake.session import exploded, shared_dir, table
-from siftlake.sources import documents, enrich, robots, sitemaps
+from siftlake.session import exploded, shared_dir, staged, table
+from siftlake.sources import documents, enrich, files, robots, sitemaps
 from siftlake.streaming import feed, reader, totals
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,11 +101,11 @@ _WCAG = ("h1_count", "images_missing_alt", "images_empty_alt", "empty_links", "g
 
 
 @query(
-    _WITH + f"select page_id, {_bigint(*_WCAG)}, html_lang, zoom_disabled, has_skip_link, has_main_landmark, has_nav_landmark,"
+    _WITH + f"select page_id, {_bigint(*_WCAG)}, html_lang, has_title, zoom_disabled, has_skip_link, has_main_landmark, has_nav_landmark,"
     " coalesce(array_to_string(heading_sequence, ' '), '') as sequence from f"
 )
 def wcag_features(spark, sf_dir):
-    flags = ("html_lang", "zoom_disabled", "has_skip_link", "has_main_landmark", "has_nav_landmark")
+    flags = ("html_lang", "has_title", "zoom_disabled", "has_skip_link", "has_main_landmark", "has_nav_landmark")
     sequence = F.array_join(F.col("heading_sequence").cast("array<string>"), " ").alias("sequence")
     return _features(spark, sf_dir).select("page_id", *_long(*_WCAG), *flags, sequence)
 
@@ -155,6 +155,30 @@ def consent_tool(spark, sf_dir):
     return _features(spark, sf_dir).groupBy("consent_tool").agg(F.count("*").alias("pages"))
 
 
+_ENTRIES = (
+    "en as (" + " union all ".join(f"select {q(f)} as fragment, {q(v)} as value, {i}::bigint as ordinal" for i, (f, v) in enumerate(dims.TRACKERS))
+    + f" union all select {host('url')}, 'site', 100 + page_id from pages union all select '/' || split_part(url, '/', 4), 'language', 1000000000 + page_id from pages)"
+)
+
+
+@query(
+    _WITH.rstrip() + f", {_ENTRIES}, e1 as (select fragment, min(ordinal) as ordinal, min_by(value, ordinal) as value from en group by 1),"
+    " ad as (select page_id, src as address from el where tag = 'script' and src is not null union all select page_id, href from el where tag = 'a' and href is not null),"
+    " mt as (select address, min_by(fragment, ordinal) as fragment, min_by(value, ordinal) as value from (select distinct address from ad) join e1 on contains(address, fragment) group by 1)"
+    " select page_id, address, fragment, value from ad left join mt using (address)"
+)
+def address_dictionary(spark, sf_dir):
+    """Every script and link address of the pages against a table of fragments: trackers, then the pages' hosts, then their languages."""
+    rows = exploded(_features(spark, sf_dir), F.concat(F.transform("scripts", lambda s: s["src"]), F.col("hrefs")), "address", "page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = spark.createDataFrame([(f, v, i) for i, (f, v) in enumerate(dims.TRACKERS)], "fragment string, value string, ordinal long")
+    sites = pages.select(text.hostname("url").alias("fragment"), F.lit("site").alias("value"), (F.col("page_id") + 100).alias("ordinal"))
+    languages = F.concat(F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4))).alias("fragment")
+    entries = entries.unionByName(sites).unionByName(pages.select(languages, F.lit("language").alias("value"), (F.col("page_id") + 1_000_000_000).alias("ordinal")))
+    found = dictionary.first_fragments(staged(rows, "addresses"), "address", entries)
+    return found.select("page_id", "address", F.col("_fragment").alias("fragment"), F.col("_value").alias("value"))
+
+
 # -- words ----------------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(q(w) for w in sorted(set(dims.STOP_WORDS)))
@@ -508,6 +532,17 @@ def event_lines(spark, sf_dir):
     return totals.parsed_events(lines).groupBy("type").agg(F.count("*").alias("n"), F.count("url").alias("urls"), done)
 
 
+@query(_SQL["event_lines"].replace("select type, count(*)", "select type as kind, count(*)"))
+def event_log(spark, sf_dir):
+    """The pages' event lines written as log files, and followed as a stream."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "pages").select(F.expr(decorate.EVENT_SQL).alias("value"))
+    lines.filter("value is not null").write.text(f"{folder}/in/day=1")
+    told = files.follow(totals.parsed_events(files.line_stream(spark, f"{folder}/in", "*.txt")), f"{folder}/out")
+    done = F.coalesce(F.sum("total_done"), F.lit(0)).alias("done")
+    return told.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"), F.count("url").alias("urls"), done)
+
+
 @query(
     "select page_id, i::int as ordinal, case when i = 0 then 'quick_win' else 'major' end as quadrant, case when i = 0 then split_part(url, '/', 4) else 't' end as title,"
     " case when i = 0 then 'd' end as detail, case when i = 0 then 'low' end as effort, case when i = 0 then 'high' end as impact from pages, range(0, 3) r(i) where i <= page_id % 3"
@@ -665,13 +700,15 @@ def tech_by_category(spark, sf_dir):
 
 
 @query(
-    "select user_id, event_id, rank::int as rank, (round(epoch_us(ts) / 1e6)::bigint * 1000000) as ran_at_us from"
+    "select user_id, event_id, rank::int as rank, (round(epoch_us(ts) / 1e6)::bigint * 1000000) as ran_at_us,"
+    " coalesce(case when event_type <> 'error' then props end, 'null') as scores_json from"
     " (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events) where rank <= 20"
 )
 def run_history_latest20(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    latest = reports.latest_runs(runs, "user_id", "ts", tie="event_id")
-    return latest.select("user_id", "event_id", "rank", text.epoch_micros_of_seconds("ts").alias("ran_at_us"))
+    scores = F.when(F.col("event_type") != "error", F.col("props")).alias("scores")
+    runs = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), scores)
+    latest = reports.latest_runs(runs, "user_id", "ts", tie="event_id", scores="scores")
+    return latest.select("user_id", "event_id", "rank", text.epoch_micros_of_seconds("ts").alias("ran_at_us"), "scores_json")
 
 
 #: Of the SQL only; the queries run until a level is empty.

@@ -235,6 +235,7 @@ ex{t} as (
     count(*) filter (where tag in ('font', 'center', 'marquee')) as deprecated_tags,
     count(*) filter (where plain_http) as n_plain_http,
     count(*) filter (where try_cast(tabindex as double) > 0) as n_positive_tabindex,
+    coalesce(bool_or(tag = 'title'), false) as has_title,
     coalesce(bool_or(tag = 'main' or role = 'main'), false) as has_main_landmark,
     coalesce(bool_or(tag = 'nav' or role = 'navigation'), false) as has_nav_landmark,
     coalesce(bool_or(tag = 'a' and starts_with(href, '#')), false) as has_skip_link,
