@@ -25,6 +25,18 @@ def test_chunks_encode_as_whole_texts():
             assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_forms_of_a_word_are_coded_once():
+    whole, coder = Tokenizer.from_file(PATH), ChunkCoder(PATH)
+    forms = [w + m for w in ("word", "Word", "WORD") for m in ("", *".,;:!?")]
+    odd = ["H\u0331 W\u030a. J\u030c", "<|ENDOFTEXT|> A<|endoftext|>", "\u0130.a \u1e9e! A\u0301.\u0301", "don'T. 'S, 4,5.x:y", "a.\u03a3 A\u03a3.", "\xd7. \xdf?"]
+    for texts in (forms, odd):
+        held = pa.array(["\xe9" * 9, *texts], pa.string())  # slices of it begin within its buffers
+        for at in range(1, len(held), 2):
+            for t, ids in zip(held[at : at + 2].to_pylist(), coder.encode(held[at : at + 2]), strict=True):
+                assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        assert coder.n == 8 or texts is odd  # the empty chunk, the word and six marks
+
+
 def check(rows, texts, capacity=2048):
     whole = Tokenizer.from_file(PATH)
     by_doc, by_bin = {}, {}
