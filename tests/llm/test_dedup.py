@@ -2,6 +2,7 @@ import random
 import re
 import struct
 
+import duckdb
 import xxhash
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def test_repeats_within_a_document(spark):
     assert out["text"].count(passage) == 1 and out["n_removed"] == 3
 
 
+def test_odd_white_space_and_letters_are_as_in_the_sql(spark, tmp_path):
+    rng = random.Random(3)
+    some = lambda parts, n, most: ["".join(rng.choice(parts) for _ in range(rng.randint(0, most))) for _ in range(n)]
+    texts = ["One two. Three four. Five six.", "One\ttwo. Three\rfour. Five\x0bsix.", "\xa0One two. \u3000Three four. Five six.\u2009"]
+    texts += some(["a", "b", "\t", "\r", "\x0b", "\f", " ", ". ", ".\t", "\n", "\r\n"], 400, 24)
+    texts += some(["a", "\xa0", "\u3000", " ", ". "], 200, 9) + some(["\u0130", "i", "\u03a3", "\u03c3", "\u03c2", ". ", "\xc9", "\xe9"], 400, 9)
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "n_removed", "removed", "text"]
+    out = sorted(map(tuple, substrings.op10_sentence_spans(spark, str(tmp_path)).select(columns).collect()))
+    assert out == sorted(con.sql(f"select {', '.join(columns)} from ({substrings.OP10_SQL})").fetchall())
+    assert [r[1] for r in out[:3]] == [0, 3, 3]
+
+
 def test_sentence_spans_odd_rows(spark):
     out = substrings.without_repeats(odd_docs(spark)).collect()
     assert len(out) == 10 and substrings.without_repeats(odd_docs(spark).limit(0)).count() == 0
