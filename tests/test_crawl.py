@@ -3,7 +3,11 @@
 import random
 import re
 
+import duckdb
+
 from siftlake.operators import crawl
+from siftlake.plans import catalogue
+from tests.test_entry import SF
 
 
 def test_random_links_are_the_plain_search(spark):
@@ -44,3 +48,21 @@ def test_seen_pages_and_edges_are_not_shuffled_again(spark, monkeypatch):
     assert len(rounds) == 7
     for plan in rounds:
         assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2 and "Bucketed: true" in plan
+
+
+def test_a_crawl_goes_beyond_the_depth_of_its_sql(spark, tmp_path):
+    """Down to depth 12 the rows are the SQL's; those beyond it are what a plain search over the site's links reaches, all of it."""
+    n = 1000
+    duckdb.sql(f"copy (select page_id + 50 * i as page_id, url, html from '{SF}/pages.parquet', range({n // 50}) r(i)) to '{tmp_path}/pages.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    want, level, depth = {}, {0}, 0
+    while level:
+        want |= dict.fromkeys(level, depth)
+        live = [p for p in level if p % 13 != 5]
+        level = {t for p in live for t in (2 * p + 1, 2 * p + 2, p // 3, *([3 * p + 2] if p % 5 == 0 else []))}
+        level, depth = {t for t in level if t < n and t not in want}, depth + 1
+    want = {(p, d) for p, d in want.items() if p % 13 != 5}
+    got = catalogue.queries()["crawl_reports"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and max(d for _, d in want) > 12
+    assert {(p, d) for p, d in want if d <= 12} == set(con.sql(catalogue.oracle_sql()["crawl_reports"]).fetchall())
